@@ -12,12 +12,13 @@ from clientscope.functions.numbers import gap_percent
 
 
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
-    """One row per key: the largest by ``order`` (compared left to right).
+    """One row per key: the largest by ``order`` (compared left to right), ties by the columns themselves.
 
-    ``max_by`` combines map-side, so unlike ``row_number() = 1`` it never sorts all rows of a key in one task.
+    ``max`` of a struct combines map-side, so unlike ``row_number() = 1`` it never sorts all rows of a key in one task.
     """
-    rest = F.struct(*[F.col(c) for c in cols])
-    return df.groupBy(*keys).agg(F.max_by(rest, F.struct(*order)).alias("__b")).select(*keys, "__b.*")
+    ordered = F.struct(*[o.alias(f"__o{i}") for i, o in enumerate(order)], *[F.col(c) for c in cols])
+    best = df.groupBy(*keys).agg(F.max(ordered).alias("__b"))
+    return best.select(*keys, *[F.col(f"__b.{c}").alias(c) for c in cols])
 
 
 def rank_in_client(df: DataFrame, key: str, order: Sequence[Column], out: str = "rn") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ANCHOR = "1998-12-31"
 QUARTER = ("1998-10-01", "1998-12-31")
@@ -16,8 +17,15 @@ CONTACT_DAYS = ("2024-01-15", "2024-01-17")
 REPORT_MONTHS = ("1998-10-31", "1998-11-30", "1998-12-31")
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One test table. Its schema is read from the footers once, so later reads start without a Spark job."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _bounded(df: DataFrame, ts: str, start: str | None, end: str | None) -> DataFrame:
@@ -122,13 +130,17 @@ def current_tags(spark, sf) -> DataFrame:
 
 def needs(spark, sf) -> DataFrame:
     """Model scores: best score per client and need: epk, need_id, life_situation, raw_score, scoring_dt."""
+    best = F.max(F.struct("amt", "dt", "mcc_code")).alias("b")
     return (
         pos_tx(spark, sf)
         .groupBy("epk", F.col("brand_code").alias("need_id"))
-        .agg(
-            F.max(F.col("amt") / 1000).alias("raw_score"),
-            F.max_by("mcc_code", F.struct("amt", "dt", "mcc_code")).alias("life_situation"),
-            F.max_by("dt", F.struct("amt", "dt", "mcc_code")).alias("scoring_dt"),
+        .agg(best)
+        .select(
+            "epk",
+            "need_id",
+            (F.col("b.amt") / 1000).alias("raw_score"),
+            F.col("b.mcc_code").alias("life_situation"),
+            F.col("b.dt").alias("scoring_dt"),
         )
     )
 

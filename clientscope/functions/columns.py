@@ -81,11 +81,14 @@ def dates_to_days_before(
 
 
 def fill_missing(df: DataFrame, skip: Sequence[str] = ("report_dt",)) -> DataFrame:
-    """The first matching name pattern decides the fill; otherwise double, int and string columns have a default."""
+    """The first matching name pattern decides the fill; otherwise double, int and string columns have a default.
+
+    Dates must have been turned into days before; a column that still is a date is left as it is.
+    """
 
     def filled(f: T.StructField) -> Column:
         c = F.col(f.name)
-        if f.name in skip:
+        if f.name in skip or isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
             return c
         for pattern, value, cast in FILL_RULES:
             if pattern in f.name:

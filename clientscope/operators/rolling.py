@@ -51,13 +51,22 @@ def rolling_windows(
     ratio_aggs: Sequence[str] | None = None,
     keep_values: bool = True,
     null_as_zero: bool = True,
+    prune: bool = True,
 ) -> DataFrame:
     """Rolling features per target row, named ``<col>_<agg>_<w>m`` and ``<col>_<agg>_<w1>_<w2>``.
 
     Pass only the columns needed: the history scan is pruned to them. Set ``unique_history=False`` when the
     history may hold several rows per client and date; it is then reduced to one before the join.
     With ``null_as_zero=False`` missing values are left out of averages, as SQL's ``avg`` does.
+
+    With ``prune`` the history is cut to the dates that any target row can reach. The borders are scalar subqueries,
+    so nothing is collected, and on a history partitioned by date only those partitions are read. Turn it off when
+    the history has been cut already.
     """
+    if prune:
+        reach = target.agg(F.min(dt).alias("lo"), F.max(dt).alias("hi"))
+        lo = reach.select(window_start(F.col("lo"), max(windows))).scalar()
+        history = history.where(F.col(dt).between(lo, reach.select("hi").scalar()))
     if unique_history:
         values = [(F.coalesce(F.col(c), F.lit(0)) if null_as_zero else F.col(c)).cast("double").alias(c) for c in cols]
         hist = history.select(F.col(key), F.col(dt).alias("__dt"), F.lit(1).cast("bigint").alias("__n"), *values)

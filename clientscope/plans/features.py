@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from clientscope.functions.columns import fix_types, select_by_pattern
 from clientscope.functions.dates import day, shift_month_end
 from clientscope.functions.numbers import null_safe_sum, safe_ratio
-from clientscope.operators.joins import assemble, broadcast_checked
+from clientscope.operators.joins import assemble, broadcast_checked, left_chain
 from clientscope.operators.rolling import rolling_windows
 
 KEYS = ("epk", "report_dt")
@@ -183,17 +183,28 @@ def pos_dynamics(target: DataFrame, sums: DataFrame, mode: str = "correct") -> D
 
 
 def dynamics_by_schema(
-    target: DataFrame, source: DataFrame, wanted: Sequence[str] | None = None, mode: str = "correct"
+    target: DataFrame,
+    source: DataFrame,
+    wanted: Sequence[str] | None = None,
+    mode: str = "correct",
+    columns_per_pass: int | None = None,
 ) -> DataFrame:
     """Four rolling sums and six ratios of every column whose name passes the pattern.
 
     ``wanted`` are feature names a model needs: only the columns behind them are read and aggregated.
+    ``columns_per_pass`` splits thousands of columns into several aggregations, each small enough to be compiled;
+    the parts are joined on the keys they are already partitioned by.
     """
     cols = select_by_pattern(source.columns)
     if wanted is not None:
         stems = {w.rsplit("_sum_", 1)[0] for w in wanted if "_sum_" in w}
         cols = [c for c in cols if c in stems]
-    out = rolling_windows(target, source.select(*KEYS, *cols), cols, aggs=("sum",), mode=mode)
+    step = columns_per_pass or max(len(cols), 1)
+    passes = [
+        rolling_windows(target, source.select(*KEYS, *part), part, aggs=("sum",), mode=mode)
+        for part in (cols[i : i + step] for i in range(0, len(cols), step))
+    ]
+    out = left_chain(passes[0], passes[1:], list(KEYS))
     return out if wanted is None else out.select(*KEYS, *[c for c in out.columns if c in set(wanted)])
 
 

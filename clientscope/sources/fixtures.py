@@ -99,13 +99,17 @@ def tags(spark, sf) -> DataFrame:
         "ts",
         "event_id",
     )
-    # The events of one (user, tag) pair; the table's own keys, spread over 100 tags per user.
-    w = W.partitionBy("epk", "nsi_id").orderBy("ts", "event_id")
-    return ev.select(
+    # Only the last event of a day points to another day, so the order is taken over the days of a (user, tag) pair,
+    # not over its events; a pair with very many events costs no single task.
+    days = ev.groupBy("epk", "nsi_id", "d").agg(F.max(F.struct("ts", "event_id")).alias("last"))
+    w = W.partitionBy("epk", "nsi_id").orderBy("d")
+    days = days.withColumn("next", F.coalesce(F.lead("d").over(w).cast("string"), F.lit("9999-12-31")))
+    is_last = (F.col("ts") == F.col("last.ts")) & (F.col("event_id") == F.col("last.event_id"))
+    return ev.join(days, ["epk", "nsi_id", "d"]).select(
         "epk",
         "nsi_id",
         "is_deleted",
-        F.coalesce(F.lead("d").over(w).cast("string"), F.lit("9999-12-31")).alias("row_actual_to_dt"),
+        F.when(is_last, F.col("next")).otherwise(F.col("d").cast("string")).alias("row_actual_to_dt"),
     )
 
 

@@ -185,3 +185,23 @@ def test_work_folder_comes_from_the_session(spark):
 def test_broadcast_only_below_the_limit(spark, limit, hinted):
     plan = joins.broadcast_checked(spark.range(3), limit)._jdf.queryExecution().logical().toString()
     assert ("broadcast" in plan.lower()) is hinted
+
+
+def test_rolling_reads_only_the_reachable_partitions(spark):
+    h, t, _, _ = history(spark)
+    path = new_path(spark, "hist")
+    h.write.partitionBy("report_dt").parquet(path)
+    stored = spark.read.parquet(path).select("epk", F.col("report_dt").cast("date").alias("report_dt"), "v")
+    last = t.where(F.col("report_dt") == F.lit(MONTHS[-1]))
+    out = rolling_windows(last, stored, ["v"], windows=(3,), aggs=("sum",))
+    assert out.count() == last.count()
+    assert "report_dt" in out._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_rolling_in_several_passes_is_the_same(spark):
+    from clientscope.plans.features import dynamics_by_schema
+
+    h, t, _, _ = history(spark)
+    wide = h.select("epk", "report_dt", F.col("v").alias("crd_a_amt"), (F.col("v") * 2).alias("dep_b_amt"), (F.col("v") + 1).alias("srv_c_amt"))
+    one = dynamics_by_schema(t, wide).orderBy("epk", "report_dt").collect()
+    assert one == dynamics_by_schema(t, wide, columns_per_pass=2).orderBy("epk", "report_dt").collect()

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientscope.operators.ranking import (
-    RANGES,
     add_range,
     cumulative_counts,
     global_row_number,
-    range_borders,
     running_totals,
+    score_ranges,
 )
 
 # Top shares of the lift table.
@@ -47,8 +47,7 @@ def class_steps(df: DataFrame, y: str, scores: dict[object, str], pooled: bool =
 
     Scores are counted per (class, value) before anything is ordered.
     """
-    cols = list(scores.values())
-    borders = dict(zip(cols, range_borders(df, cols)))
+    shared = score_ranges(df, list(scores.values())).borders
     long = df.select(
         F.explode(
             F.array(
@@ -69,10 +68,6 @@ def class_steps(df: DataFrame, y: str, scores: dict[object, str], pooled: bool =
     if pooled:
         micro = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         counts = counts.unionByName(micro.select(F.lit("micro").alias("cls"), "score", "pos", "neg"))
-    # One set of borders for all classes: the union of theirs, thinned to about twice the usual number of ranges.
-    merged = sorted({b for bs in borders.values() for b in bs[1:-1]})
-    step = max(1, len(merged) // (2 * RANGES))
-    shared = [float("-inf"), *merged[::step], float("inf")]
     ranged = add_range(counts, "score", "__range", shared)
     return running_totals(ranged, ["cls"], [F.col("score").desc()], "__range", ["pos", "neg"]).select(
         "cls", "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp")
@@ -158,13 +153,12 @@ def lift_table(df: DataFrame, label: Column, score: str, key: str, shares: Seque
     """
     scored = df.where(F.col(score).isNotNull()).select(F.col(key), F.col(score).cast("double").alias(score), F.when(label, 1).otherwise(0).alias("__y"))
     ranked = global_row_number(scored, score, key)
-    return _lift(ranked, [], score, scored.agg(F.count(F.lit(1)).alias("n")).scalar(), shares, at_least_one)
+    return _lift(ranked, [], score, scored.count(), shares, at_least_one)
 
 
-def _lift(ranked: DataFrame, by: Sequence[str], score: str, n: Column, shares: Sequence[float], at_least_one: bool) -> DataFrame:
-    def size(p: float) -> Column:
-        k = F.floor(n * F.lit(float(p)))
-        return F.greatest(k, F.lit(1)) if at_least_one else k
+def _lift(ranked: DataFrame, by: Sequence[str], score: str, n: int, shares: Sequence[float], at_least_one: bool) -> DataFrame:
+    def size(p: float) -> int:
+        return max(int(n * p), 1) if at_least_one else int(n * p)
 
     aggs = [F.sum("__y").alias("__p"), F.count(F.lit(1)).alias("__n")]
     for i, p in enumerate(shares):
@@ -205,13 +199,7 @@ def _lift(ranked: DataFrame, by: Sequence[str], score: str, n: Column, shares: S
 
 def class_lift_table(df: DataFrame, y: str, scores: dict[object, str], key: str, shares: Sequence[float] = SHARES) -> DataFrame:
     """The lift table of every class against the rest; a class has at least one row in every share."""
-    cols = list(scores.values())
-    found = range_borders(df, [*cols, key])
-    merged = sorted({b for bs in found[:-1] for b in bs[1:-1]})
-    borders = {
-        "score": [float("-inf"), *merged[:: max(1, len(merged) // (2 * RANGES))], float("inf")],
-        "key": found[-1],
-    }
+    found = score_ranges(df, list(scores.values()))
     long = df.select(
         key,
         F.explode(
@@ -223,14 +211,14 @@ def class_lift_table(df: DataFrame, y: str, scores: dict[object, str], key: str,
             )
         ).alias("r"),
     ).select(key, "r.*")
-    ranked = global_row_number(long, "score", key, by=["cls"], borders=borders)
-    return _lift(ranked, ["cls"], "score", df.agg(F.count(F.lit(1)).alias("n")).scalar(), shares, at_least_one=True)
+    ranked = global_row_number(long, "score", key, by=["cls"], found=found)
+    return _lift(ranked, ["cls"], "score", df.count(), shares, at_least_one=True)
 
 
 def best_fbeta(df: DataFrame, label: Column, score: str, beta: float = 1.0) -> DataFrame:
     """Threshold with the largest F-beta; all rows with one score fall on the same side. Ties go to the higher score."""
     steps = cumulative_counts(df, score, label)
-    total = steps.agg(F.sum("pos").alias("p")).scalar()
+    total = F.lit(df.where(label & F.col(score).isNotNull()).count())
     b2 = float(beta) ** 2
     precision = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("tp"), total), F.lit(0.0))
@@ -265,24 +253,19 @@ def describe_scores(df: DataFrame, score: str) -> DataFrame:
         F.min("score").alias("min"), F.max("score").alias("max"),
     )
     steps = cumulative_counts(df, score, F.lit(True))
-    n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
-    first = n - F.col("tp")  # rows below this score
+    n = base.count()
+    first = F.lit(n) - F.col("tp")  # rows below this score
 
-    def at(position: Column) -> Column:
+    def at(position: int) -> Column:
         """Value at a zero-based ascending position."""
-        return F.max(F.when((first <= position) & (position < first + F.col("pos")), F.col("score")))
+        return F.max(F.when((first <= position) & (F.lit(position) < first + F.col("pos")), F.col("score")))
 
     quartiles = []
     for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
-        position = (n - 1) * F.lit(q)
-        low, high = F.floor(position), F.ceil(position)
-        quartiles += [at(low).alias(f"{name}_lo"), at(high).alias(f"{name}_hi"), F.max(position - low).alias(f"{name}_w")]
-    found = steps.agg(*quartiles)
-    parts = [
-        (F.col(f"{q}_lo") + (F.col(f"{q}_hi") - F.col(f"{q}_lo")) * F.col(f"{q}_w")).alias(q) for q in ("q25", "q50", "q75")
-    ]
-    quart = found.select(F.struct(*parts).alias("s")).scalar()
+        position = (n - 1) * q
+        low, high = at(math.floor(position)), at(math.ceil(position))
+        quartiles.append(F.round(low + (high - low) * (position - math.floor(position)), 6).alias(name))
+    found = steps.agg(*quartiles).select(F.struct("q25", "q50", "q75").alias("s")).scalar()
     return facts.select(
-        "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min",
-        *[F.round(quart[q], 6).alias(q) for q in ("q25", "q50", "q75")], "max",
-    )
+        "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max", found.alias("q")
+    ).select("count", "mean", "std", "min", "q.q25", "q.q50", "q.q75", "max")

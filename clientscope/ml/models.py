@@ -91,7 +91,11 @@ def predict(model: Model, df: DataFrame, features: Sequence[str], label: str, *k
 
 def binary_auc(model: Model, df: DataFrame, features: Sequence[str], label: str) -> float:
     scored = predict(model, df, features, label).select("label", F.col("proba")[1].alias("score"))
-    return roc_auc(scored, F.col("label") == 1, "score").head()["auc"]
+    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)  # read twice; a lost block is predicted again
+    try:
+        return roc_auc(scored, F.col("label") == 1, "score").head()["auc"]
+    finally:
+        scored.unpersist()
 
 
 def multiclass_auc(model: Model, df: DataFrame, features: Sequence[str], label: str, classes: int) -> float:

@@ -30,20 +30,23 @@ def not_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """``key NOT IN (select key from other)`` with SQL's null rule, as an anti join.
 
     One null in ``other`` empties the result, and a null key is never kept (unless ``other`` is empty).
-    The null test is a scalar subquery, so no null-aware broadcast join is needed.
+    The null test is one scalar subquery, so no null-aware broadcast join is needed.
     """
-    facts = other.agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(key).isNull(), 1)).alias("nulls")
-    ).select(F.struct("n", "nulls").alias("f"))
-    f = facts.scalar()
-    keep = (f["n"] == 0) | ((f["nulls"] == 0) & F.col(key).isNotNull())
-    return df.where(keep).join(other.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    nulls = F.count(F.when(F.col(key).isNull(), 1))
+    # 2: other is empty, everything stays; 1: keys that are not null may stay; 0: a null in other, nothing stays.
+    rule = other.agg(F.when(F.count(F.lit(1)) == 0, 2).when(nulls == 0, 1).otherwise(0).alias("rule")).scalar()
+    return df.where(rule >= F.when(F.col(key).isNotNull(), 1).otherwise(2)).join(other.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
 def keys_seen_once(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs exactly once. Counting first keeps a heavy key to one row per map task."""
-    once = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").select(key)
-    return df.join(once, key, "left_semi")
+    """Rows whose key occurs exactly once.
+
+    One aggregation that carries the row along: a group of one row is that row. A heavy key is combined to one row
+    per map task, and the input is read and shuffled once.
+    """
+    others = [c for c in df.columns if c != key]
+    grouped = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in others])
+    return grouped.where("__n = 1").select(*df.columns)
 
 
 def join_recent(

@@ -8,7 +8,9 @@ borders are literals in the plan, so a recomputed partition falls into the same
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -18,21 +20,38 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def range_borders(df: DataFrame, cols: Sequence[str], ranges: int = RANGES) -> list[list[float]]:
-    """Borders of about equal-sized ranges per column: at most ``ranges - 1`` numbers each."""
+@dataclass(frozen=True)
+class Ranges:
+    """Increasing borders, and the values that hold about a range of rows or more on their own."""
+
+    borders: tuple[float, ...]
+    heavy: tuple[float, ...]
+
+
+def score_ranges(df: DataFrame, cols: Sequence[str], ranges: int = RANGES) -> Ranges:
+    """About equal-sized ranges of the values of one column, or of several columns that are ranked side by side.
+
+    A value that is found at two neighbouring quantiles is heavy; it gets a range of its own. Several columns share
+    the borders; they are thinned to about twice the usual number. Driver data: at most ``ranges`` numbers per column.
+    """
     probabilities = [i / ranges for i in range(1, ranges)]
     found = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).approxQuantile(
         list(cols), probabilities, 1 / (4 * ranges)
     )
-    return [[float("-inf"), *sorted(set(q)), float("inf")] for q in found]
+    heavy = {a for q in found for a, b in zip(q, q[1:]) if a == b}
+    merged = sorted({x for q in found for x in q})
+    kept = merged[:: max(1, len(merged) // (2 * ranges))]
+    own = {y for v in heavy for y in (v, math.nextafter(v, math.inf))}
+    borders = sorted({*kept, *own})
+    return Ranges((-math.inf, *borders, math.inf), tuple(sorted(heavy)))
 
 
-def add_range(df: DataFrame, col: str, out: str, borders: list[float]) -> DataFrame:
+def add_range(df: DataFrame, col: str, out: str, borders: Sequence[float]) -> DataFrame:
     """Adds the range number of ``col`` as an int; higher values get higher numbers."""
     if len(borders) < 3:
-        borders = [float("-inf"), 0.0, float("inf")]
+        borders = (-math.inf, 0.0, math.inf)
     helper = f"__{out}_value"
-    marked = Bucketizer(splits=borders, inputCol=helper, outputCol=out).transform(
+    marked = Bucketizer(splits=list(borders), inputCol=helper, outputCol=out).transform(
         df.withColumn(helper, F.col(col).cast("double"))
     )
     return marked.withColumn(out, F.col(out).cast("int")).drop(helper)
@@ -72,7 +91,7 @@ def cumulative_counts(df: DataFrame, score: str, label: Column, ranges: int = RA
 
     Rows are counted per score before anything is ordered, so a score shared by many rows is one row here.
     """
-    (borders,) = range_borders(df, [score], ranges)
+    borders = score_ranges(df, [score], ranges).borders
     counts = (
         df.where(F.col(score).isNotNull())
         .groupBy(F.col(score).alias("score"))
@@ -93,45 +112,41 @@ def global_row_number(
     key: str,
     out: str = "rank",
     by: Sequence[str] = (),
-    borders: dict[str, list[float]] | None = None,
+    found: Ranges | None = None,
     ranges: int = RANGES,
 ) -> DataFrame:
     """Adds the exact position by ``score`` descending, then unique numeric ``key`` ascending, within ``by``.
 
-    Rows that share one score are split by ranges of the key, so neither a heavy score nor a heavy range ends up
-    in one task: first the position of every (score, key range) cell is found from counts, then rows are
-    numbered inside their cell.
+    Rows fall into ranges of the score; the rows of a heavy score are split further by ranges of the key. Counts per
+    cell are few and give the position at which each cell starts, so the rows are shuffled once, into their cells.
+    ``df`` is read three times: pass a table, or a checkpoint of something dear to compute.
     """
-    if borders is None:
-        s, k = range_borders(df, [score, key], ranges)
-        borders = {"score": s, "key": k}
-    marked = add_range(df, key, "__kr", borders["key"])
-    cells = marked.groupBy(*by, score, "__kr").agg(F.count(F.lit(1)).alias("__n"))
-    scores = cells.groupBy(*by, score).agg(F.sum("__n").alias("__n"))
-    scores = add_range(scores, score, "__sr", borders["score"])
-    above = running_totals(scores, list(by), [F.col(score).desc()], "__sr", ["__n"]).select(
-        *by, score, (F.col("cum___n") - F.col("__n")).alias("__above")
-    )
-    earlier = W.partitionBy(*by, score).orderBy("__kr").rowsBetween(W.unboundedPreceding, -1)
-    start = cells.select(
-        *by, score, "__kr", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__earlier")
-    ).join(above, [*by, score])
-    in_cell = W.partitionBy(*by, score, "__kr").orderBy(key)
+    found = found or score_ranges(df, [score], ranges)
+    marked = add_range(df, score, "__sr", found.borders)
+    if found.heavy:
+        is_heavy = F.col(score).isin(list(found.heavy))
+        keys = score_ranges(df.where(is_heavy), [key], ranges).borders
+        marked = add_range(marked, key, "__kr", keys).withColumn("__kr", F.when(is_heavy, F.col("__kr")).otherwise(0))
+    else:
+        marked = marked.withColumn("__kr", F.lit(0))
+    cells = marked.groupBy(*by, "__sr", "__kr").agg(F.count(F.lit(1)).alias("__n"))
+    # One row per cell and group: at most the number of ranges, and for each heavy score as many again.
+    before = W.partitionBy(*by).orderBy(F.col("__sr").desc(), "__kr").rowsBetween(W.unboundedPreceding, -1)
+    start = cells.select(*by, "__sr", "__kr", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    in_cell = W.partitionBy(*by, "__sr", "__kr").orderBy(F.col(score).desc(), key)
     return (
-        marked.join(start, [*by, score, "__kr"])
-        .withColumn(
-            out, (F.row_number().over(in_cell) + F.col("__above") + F.col("__earlier")).cast("bigint")
-        )
+        marked.withColumn("__rn", F.row_number().over(in_cell))
+        .join(start, [*by, "__sr", "__kr"])
+        .withColumn(out, (F.col("__rn") + F.col("__before")).cast("bigint"))
         .select(*df.columns, out)
     )
 
 
 def top_share(df: DataFrame, score: str, key: str, share: float) -> DataFrame:
-    """The best ``floor(n * share)`` rows by score, ties by key. ``n`` is a scalar subquery, not a driver value."""
+    """The best ``floor(n * share)`` rows by score, ties by key."""
     scored = df.where(F.col(score).isNotNull())
-    n = scored.agg(F.count(F.lit(1)).alias("n"))
-    ranked = global_row_number(scored, score, key)
-    return ranked.where(F.col("rank") <= F.floor(n.scalar() * F.lit(float(share))))
+    size = int(scored.count() * share)
+    return global_row_number(scored, score, key).where(F.col("rank") <= size)
 
 
 def sample_rows(df: DataFrame, n: int, key: str | Column, seed: str = "0") -> DataFrame:

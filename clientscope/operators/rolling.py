@@ -24,7 +24,7 @@ from operator import mul
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientscope.functions.dates import window_start
+from clientscope.functions.dates import day, window_start
 from clientscope.functions.numbers import safe_ratio
 
 WINDOWS = (3, 6, 9, 12)
@@ -51,7 +51,7 @@ def rolling_windows(
     ratio_aggs: Sequence[str] | None = None,
     keep_values: bool = True,
     null_as_zero: bool = True,
-    prune: bool = True,
+    prune: bool | tuple[str, str] = True,
 ) -> DataFrame:
     """Rolling features per target row, named ``<col>_<agg>_<w>m`` and ``<col>_<agg>_<w1>_<w2>``.
 
@@ -60,10 +60,12 @@ def rolling_windows(
     With ``null_as_zero=False`` missing values are left out of averages, as SQL's ``avg`` does.
 
     With ``prune`` the history is cut to the dates that any target row can reach. The borders are scalar subqueries,
-    so nothing is collected, and on a history partitioned by date only those partitions are read. Turn it off when
-    the history has been cut already.
+    so nothing is collected, and on a history partitioned by date only those partitions are read. When the first and
+    last target date are known pass them instead; ``False`` is for a history that has been cut already.
     """
-    if prune:
+    if isinstance(prune, tuple):
+        history = history.where(F.col(dt).between(window_start(prune[0], max(windows)), day(prune[1])))
+    elif prune:
         reach = target.agg(F.min(dt).alias("lo"), F.max(dt).alias("hi"))
         lo = reach.select(window_start(F.col("lo"), max(windows))).scalar()
         history = history.where(F.col(dt).between(lo, reach.select("hi").scalar()))

@@ -81,7 +81,9 @@ def snapshot(target: DataFrame, source: DataFrame, cols: Sequence[str] | None =
     return df.withColumn("report_dt", F.col("report_dt").cast("date")).join(t, list(KEYS))
 
 
-def arrests(target: DataFrame, facts: DataFrame, value: str, mode: str = "correct") -> DataFrame:
+def arrests(
+    target: DataFrame, facts: DataFrame, value: str, mode: str = "correct", prune: bool | tuple[str, str] = True
+) -> DataFrame:
     """Rolling sums, averages and their ratios of amount and count over 1, 3, 6, 9 and 12 months.
 
     Ratios exist between the windows from three months on. In ``compat`` mode a target needs a row in its own month.
@@ -89,7 +91,7 @@ def arrests(target: DataFrame, facts: DataFrame, value: str, mode: str = "correc
     name = "val_arrests"
     hist = month_end_rollup(facts, value, name)
     cols = [f"sum_{name}", f"qty_{name}"]
-    out = rolling_windows(target, hist, cols, windows=(1, 3, 6, 9, 12), mode=mode)
+    out = rolling_windows(target, hist, cols, windows=(1, 3, 6, 9, 12), mode=mode, prune=prune)
     return out.select([c for c in out.columns if not any(f"_{a}_1_" in c for a in ("sum", "avg"))])
 
 
@@ -148,6 +150,7 @@ def flow_ratios(
     ratios: Mapping[str, tuple[str, str]] = FLOW_RATIOS,
     parts: Sequence[str] = INVEST_PARTS,
     mode: str = "correct",
+    prune: bool | tuple[str, str] = True,
 ) -> DataFrame:
     """Twelve-month averages of flows and of their monthly ratios, and the balance with investments also over three."""
     total = "tot_bal_with_invest"
@@ -159,7 +162,7 @@ def flow_ratios(
     )
     names = [*columns, *ratios, total]
     out = rolling_windows(
-        target, flows, names, windows=(3, 12), aggs=("avg",), ratios=False, mode=mode, null_as_zero=False
+        target, flows, names, windows=(3, 12), aggs=("avg",), ratios=False, mode=mode, null_as_zero=False, prune=prune
     )
     return out.select(*KEYS, *[F.col(f"{c}_avg_12m").alias(f"{c}_12m") for c in names], F.col(f"{total}_avg_3m").alias(f"{total}_3m"))
 
@@ -176,10 +179,12 @@ def pos_sums(source: DataFrame, categories: Sequence[str] = POS_CATEGORIES, paym
     return source.select(*KEYS, *cols)
 
 
-def pos_dynamics(target: DataFrame, sums: DataFrame, mode: str = "correct") -> DataFrame:
+def pos_dynamics(
+    target: DataFrame, sums: DataFrame, mode: str = "correct", prune: bool | tuple[str, str] = True
+) -> DataFrame:
     """Six ratios of averages and six of sums per spending category."""
     cols = [c for c in sums.columns if c not in KEYS]
-    return rolling_windows(target, sums, cols, mode=mode, keep_values=False)
+    return rolling_windows(target, sums, cols, mode=mode, keep_values=False, prune=prune)
 
 
 def dynamics_by_schema(
@@ -188,6 +193,7 @@ def dynamics_by_schema(
     wanted: Sequence[str] | None = None,
     mode: str = "correct",
     columns_per_pass: int | None = None,
+    prune: bool | tuple[str, str] = True,
 ) -> DataFrame:
     """Four rolling sums and six ratios of every column whose name passes the pattern.
 
@@ -201,7 +207,7 @@ def dynamics_by_schema(
         cols = [c for c in cols if c in stems]
     step = columns_per_pass or max(len(cols), 1)
     passes = [
-        rolling_windows(target, source.select(*KEYS, *part), part, aggs=("sum",), mode=mode)
+        rolling_windows(target, source.select(*KEYS, *part), part, aggs=("sum",), mode=mode, prune=prune)
         for part in (cols[i : i + step] for i in range(0, len(cols), step))
     ]
     out = left_chain(passes[0], passes[1:], list(KEYS))

@@ -113,7 +113,8 @@ def paid_tier(
     )
     mean = scores.agg(F.avg("score")).scalar()
     return (
-        totals.select("epk", band_level(bands, F.col("score") >= mean).alias("approval_level"))
+        totals.withColumn("passes", F.col("score") >= mean)
+        .select("epk", band_level(bands, F.col("passes")).alias("approval_level"))
         .where("approval_level >= 1")
         .select(
             "epk",

@@ -193,7 +193,7 @@ def join_multi_window_self(spark, sf):
 
     snap = fx.snap_sup(spark, sf, "1998-01-01", fx.ANCHOR)
     t = fx.snap_sup(spark, sf, "1998-12-01", fx.ANCHOR).select("epk", "report_dt")
-    out = rolling_windows(t, snap, ["amt"], windows=(3, 6, 12), aggs=("sum",), ratios=False)
+    out = rolling_windows(t, snap, ["amt"], windows=(3, 6, 12), aggs=("sum",), ratios=False, prune=False)
     return out.select("epk", *[F.round(f"amt_sum_{w}m", 2).alias(f"amt_sum_{w}m") for w in (3, 6, 12)])
 
 

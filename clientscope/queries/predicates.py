@@ -189,7 +189,8 @@ def tier_threshold_bands(spark, sf):
         1: {"x": (200_000, 500_000), "y": (100_000, 300_000)},
     }
     mean = score.agg(F.avg("score")).scalar()
-    return totals_98.join(score, "epk", "left").select("epk", band_level(bands, F.col("score") >= mean).alias("level"))
+    gated = totals_98.join(score, "epk", "left").withColumn("passes", F.col("score") >= mean)
+    return gated.select("epk", band_level(bands, F.col("passes")).alias("level"))
 
 
 LEFT_SUMS_SQL = """select c_custkey as epk, v.n as views, a.amt as acq from customer

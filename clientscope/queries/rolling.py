@@ -90,17 +90,18 @@ def compat_sql(table, cols, windows=WS, aggs=("sum", "avg"), values=True, first=
 
 @query("feat_rolling_windows", fx.with_views("snap_sup", TARGET_SUP) + rolling_sql(["amt", "qty", "cnt"]) + JOIN_SUP)
 def feat_rolling_windows(spark, sf):
-    return rounded(rolling_windows(target_sup(spark, sf), fx.snap_sup(spark, sf, *HISTORY), ["amt", "qty", "cnt"]))
+    return rounded(rolling_windows(target_sup(spark, sf), fx.snap_sup(spark, sf, *HISTORY), ["amt", "qty", "cnt"], prune=False))
 
 
 @query("feat_rolling_windows_sparse", fx.with_views("snap_cust", TARGET_CUST) + rolling_sql(["amt"]) + JOIN_CUST)
 def feat_rolling_windows_sparse(spark, sf):
-    return rounded(rolling_windows(target_cust(spark, sf), fx.snap_cust(spark, sf, *HISTORY), ["amt"]))
+    """The whole history is given; the operator cuts it to what the targets can reach."""
+    return rounded(rolling_windows(target_cust(spark, sf), fx.snap_cust(spark, sf), ["amt"]))
 
 
 @query("feat_rolling_windows_compat", fx.with_views("snap_cust", TARGET_CUST) + compat_sql("snap_cust", ["amt", "cnt"]))
 def feat_rolling_windows_compat(spark, sf):
-    out = rolling_windows(target_cust(spark, sf), fx.snap_cust(spark, sf, *HISTORY), ["amt", "cnt"], mode="compat")
+    out = rolling_windows(target_cust(spark, sf), fx.snap_cust(spark, sf, *HISTORY), ["amt", "cnt"], mode="compat", prune=False)
     return rounded(out)
 
 
@@ -130,7 +131,7 @@ def arrest_facts(spark, sf):
     + JOIN_CUST.replace("snap_cust", "h"),
 )
 def feat_arrests_rolling(spark, sf):
-    return rounded(ft.arrests(target_cust(spark, sf), arrest_facts(spark, sf), "v"))
+    return rounded(ft.arrests(target_cust(spark, sf), arrest_facts(spark, sf), "v", prune=("1998-11-30", fx.ANCHOR)))
 
 
 @query(
@@ -139,7 +140,7 @@ def feat_arrests_rolling(spark, sf):
     + compat_sql("h", ["sum_val_arrests", "qty_val_arrests"], (1, *WS), skip_ratio=(1,)),
 )
 def feat_arrests_rolling_compat(spark, sf):
-    return rounded(ft.arrests(target_cust(spark, sf), arrest_facts(spark, sf), "v", mode="compat"))
+    return rounded(ft.arrests(target_cust(spark, sf), arrest_facts(spark, sf), "v", mode="compat", prune=False))
 
 
 @query(
@@ -178,8 +179,9 @@ FLOW_OUT = "select t.epk, t.report_dt, " + ", ".join(
 def feat_flow_ratios(spark, sf):
     source = fx.snap_sup(spark, sf, *HISTORY).withColumn("base", F.col("qty") - 30)
     out = ft.flow_ratios(
-        target_sup(spark, sf), source, ["amt", "qty"], {"per_qty": ("amt", "base"), "cnt_share": ("cnt", "qty")}, ["amt", "qty"]
-    )
+        target_sup(spark, sf), source, ["amt", "qty"], {"per_qty": ("amt", "base"), "cnt_share": ("cnt", "qty")}, ["amt", "qty"],
+        prune=False,
+    )
     return rounded(out)
 
 
@@ -212,7 +214,7 @@ POS_COLS = ["pos_auto", "pos_leisure", "pos_utilities_rub_amt", "paid_utilities_
 )
 def feat_pos_dynamics(spark, sf):
     sums = ft.pos_sums(pos_snapshot(spark, sf), ["auto", "leisure", "utilities_rub_amt"])
-    return rounded(ft.pos_dynamics(target_cust(spark, sf), sums))
+    return rounded(ft.pos_dynamics(target_cust(spark, sf), sums, prune=False))
 
 
 def named_snapshot(spark, sf, *bounds):
@@ -232,7 +234,7 @@ NAMED_SQL = "n as (select epk, report_dt, amt as crd_total_amt, qty as dep_total
     + JOIN_SUP.replace("snap_sup", "n"),
 )
 def feat_dynamics_by_schema(spark, sf):
-    return rounded(ft.dynamics_by_schema(target_sup(spark, sf), named_snapshot(spark, sf)))
+    return rounded(ft.dynamics_by_schema(target_sup(spark, sf), named_snapshot(spark, sf), prune=False))
 
 
 def dated_embeddings(spark, sf):

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientscope.functions.dates import day, in_lookback, in_previous_month, shift_month_end
-from clientscope.functions.numbers import null_safe_sum
 from clientscope.functions.predicates import flag, is_current, like_any
 from clientscope.operators.aggregate import max_flags
 from clientscope.operators.joins import left_chain
@@ -215,7 +214,3 @@ def product_scores(flags: DataFrame, rules: Sequence[ScoreRule], keep: Sequence[
     """All scores in one projection."""
     return flags.select(*keep, *[r.column() for r in rules])
 
-
-def pair_benefit(a: str, b: str) -> Column:
-    """Benefits that come in two parts, with and without an extra option, are added."""
-    return null_safe_sum([a, b])

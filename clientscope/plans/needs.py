@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientscope.functions.dates import in_last_weeks
-from clientscope.operators.joins import broadcast_checked
+from clientscope.operators.joins import BROADCAST_ROWS, broadcast_checked
 from clientscope.operators.windows import best_row, rank_in_client, wide_top
 
 TOP = 7
@@ -28,6 +28,11 @@ def best_per_situation(df: DataFrame, key: str = "epk") -> DataFrame:
     )
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """Hint a rule table for broadcast where its number of rows, known from the rule list, allows it."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def product_table(
     spark: SparkSession, rules: Sequence[tuple[str, Sequence[str]]], first_match: bool = False
 ) -> DataFrame:
@@ -39,7 +44,7 @@ def product_table(
             if not (first_match and need in seen):
                 rows.append((need, product))
             seen.add(need)
-    return spark.createDataFrame(rows, "need_id string, product string")
+    return _small(spark.createDataFrame(rows, "need_id string, product string"), len(rows))
 
 
 def recent_needs(
@@ -70,7 +75,7 @@ def product_ranking(
 
     One row per product, then one per situation, then the level limits, then the rank. ``levels`` has one row per client.
     """
-    mapped = needs.join(F.broadcast(rules), "need_id")
+    mapped = needs.join(rules, "need_id")
     best = best_per_situation(best_per_product(mapped)).join(levels.select("epk", "approval_level"), "epk")
     for product, (low, high) in limits.items():
         level = F.col("approval_level")
@@ -100,13 +105,13 @@ def situation_table(spark: SparkSession, rules: Sequence[tuple]) -> DataFrame:
         rows, "product string, need_id string, priority int, low int, high int, situation string, sub_situation string"
     )
     one = F.struct("priority", "low", "high", "situation", "sub_situation")
-    return flat.groupBy("product", "need_id").agg(F.array_sort(F.collect_list(one)).alias("rules"))
+    return _small(flat.groupBy("product", "need_id").agg(F.array_sort(F.collect_list(one)).alias("rules")), len(rows))
 
 
 def with_situation(ranked: DataFrame, table: DataFrame) -> DataFrame:
     """Situation and sub-situation of every ranked product: the first rule whose level limits hold, else empty.
 
-    The rule table has a fixed size, so it is broadcast; the rule is picked inside the row and nothing is shuffled.
+    The rule table is small and hinted where it is built; the rule is picked inside the row and nothing is shuffled.
     """
     level = F.col("approval_level")
     fits = F.filter(
@@ -114,7 +119,7 @@ def with_situation(ranked: DataFrame, table: DataFrame) -> DataFrame:
     )
     found = F.get(fits, F.lit(0))
     return (
-        ranked.join(F.broadcast(table), ["product", "need_id"], "left")
+        ranked.join(table, ["product", "need_id"], "left")
         .withColumn("situation", F.coalesce(found["situation"], F.lit("")))
         .withColumn("sub_situation", F.coalesce(found["sub_situation"], F.lit("")))
         .drop("rules")

@@ -20,26 +20,41 @@ def overwrite(df: DataFrame, target: str, partition_by: str | None = None) -> Da
     return df.sparkSession.table(target)
 
 
-def replace_period(df: DataFrame, path: str, period: str = "report_dt") -> DataFrame:
+def replace_period(df: DataFrame, target: str, period: str = "report_dt") -> DataFrame:
     """Write the periods present in ``df`` and leave all others: running it twice changes nothing.
 
-    Only the touched partitions are rewritten; history is neither read nor copied.
+    ``target`` is a path or a table partitioned by the period. Only the touched partitions are rewritten; history is
+    neither read nor copied.
     """
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(period)
-        .parquet(path)
-    )
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    if "/" in target:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(target)
+        return spark.read.parquet(target)
+    if not spark.catalog.tableExists(target):
+        df.write.partitionBy(period).format("parquet").saveAsTable(target)
+        return spark.table(target)
+    # An insert into a table takes the overwrite mode from the session alone; a writer option would be ignored and
+    # the whole table replaced.
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        df.select(*spark.table(target).columns).write.insertInto(target, overwrite=True)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.table(target)
 
 
-def stage_if_absent(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Build and write a block once; later calls read it. A block counts as present when its write committed."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+def stage_if_absent(spark: SparkSession, target: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Build and write a block once; later calls read it. A path counts as present when its write was committed."""
+    if "/" not in target:
+        if not spark.catalog.tableExists(target):
+            build().write.saveAsTable(target)
+        return spark.table(target)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")
     if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        build().write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 def write_sized(df: DataFrame, path: str, files: int, key: str = "epk", salts: int = 1) -> DataFrame:

@@ -74,11 +74,19 @@ def month_end_rollup(facts: DataFrame, value: str, name: str, dt: str = "dt") ->
     )
 
 
+def _within_reach(df: DataFrame, target: DataFrame, months_back: int = 0) -> DataFrame:
+    """Rows dated between the first target date, less some months, and the last: scalar subqueries that prune partitions."""
+    reach = target.agg(F.min("report_dt").alias("lo"), F.max("report_dt").alias("hi"))
+    first = reach.select(F.add_months("lo", -months_back)).scalar()
+    return df.where(F.col("report_dt").between(first, reach.select("hi").scalar()))
+
+
 def snapshot(target: DataFrame, source: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Snapshot rows at the target month ends."""
+    """Snapshot rows at the target month ends. Only months within the target's are read, whichever join is chosen."""
     t = broadcast_checked(target.select(*KEYS).distinct())
     df = source.select(*KEYS, *cols) if cols else source
-    return df.withColumn("report_dt", F.col("report_dt").cast("date")).join(t, list(KEYS))
+    dated = df.withColumn("report_dt", F.col("report_dt").cast("date"))
+    return _within_reach(dated, target).join(t, list(KEYS))
 
 
 def arrests(
@@ -103,8 +111,9 @@ def counter_windows(
     The window starts at the same day of the month, ``add_months(report_dt, -(w - 1))``, not at a month end.
     """
     t = target.select(*KEYS).distinct()
-    h = history.select(F.col("epk").alias("__k"), F.col("report_dt").alias("__dt"), *counters)
     widest = max(windows)
+    reachable = _within_reach(history, target, widest - 1)
+    h = reachable.select(F.col("epk").alias("__k"), F.col("report_dt").alias("__dt"), *counters)
 
     def start(w: int) -> Column:
         return F.add_months(F.col("report_dt"), -(w - 1))

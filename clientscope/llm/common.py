@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from clientscope.session import new_path
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows whose values are Python objects at one time inside a task.
@@ -26,9 +28,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[name(c).alias(alias) for alias, c in columns.items()])
 
 
+#: Texts of ASCII, small Latin-1 letters, general punctuation and CJK signs: lower() changes A-Z in them and nothing else.
+PLAIN = r"^[\x00-\x7F\xDF-\xF6\xF8-\xFF\u2010-\u205E\u3000-\u9FFF]*$"
+
+
 def fold(text: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z to a-z and nothing else; lower() does it for most texts, the slower translate() for the others."""
+    return F.when((F.length(text) == F.octet_length(text)) | text.rlike(PLAIN), F.lower(text)).otherwise(
+        F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    )
 
 
 def text_key(text: Column) -> Column:
@@ -72,3 +80,10 @@ def restored(rows: DataFrame, slots: dict[str, str], **new: Column) -> DataFrame
     """The columns of the input again, in their order and types; ``new`` replaces some of them."""
     kinds = {s: rows.schema[s].dataType for s in slots.values()}
     return rows.select(*[(new[c].cast(kinds[s]) if c in new else F.col(s)).alias(c) for c, s in slots.items()])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there, and the planner knows the table's size."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

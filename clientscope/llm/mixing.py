@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clientscope.llm.common import WORD, pick, restored, slotted, text_key
-from clientscope.session import new_path
+from clientscope.llm.common import WORD, pick, restored, slotted, text_key, written
 
 SPACE = float(2**52)  # thirteen hexadecimal digits
 
@@ -58,12 +57,8 @@ def copies(rate: Column, key: Column, seed: str) -> Column:
 
 def rates(docs: DataFrame, text_col: str, source_col: str, **shares) -> DataFrame:
     """The table of targets, written to the shared folder: the planner then knows its size, and broadcasts it or not."""
-    spark = docs.sparkSession
     sized = pick(docs, text=text_col, source=source_col).select("source", size_of(F.col("text")).alias("size"))
-    table = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **shares)
-    path = new_path(spark, "mix-rates")
-    table.write.parquet(path)
-    return spark.read.parquet(path)
+    return written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **shares), "mix-rates")
 
 
 def mix_report(

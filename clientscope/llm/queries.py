@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from clientscope.llm import decontaminate, line_dedup, line_quality, mixing, sql
+from clientscope.llm import decontaminate, line_dedup, line_quality, mixing, near_dup, sql
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_near_duplicates", sql.NEAR_DUPLICATES)
+def op3_near_duplicates(spark, sf_dir):
+    return near_dup.near_groups(table(spark, sf_dir, "documents"), near_dup.Near(words=4))
+
+
 @query("op4_quality_rules", sql.LINE_QUALITY)
 def op4_quality_rules(spark, sf_dir):
     return line_quality.judge_lines(table(spark, sf_dir, "documents"))

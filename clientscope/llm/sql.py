@@ -86,3 +86,15 @@ it as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
        cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join it using (doc_id)"""
+
+NEAR_DUPLICATES = rf"""
+with recursive d as (select doc_id, regexp_extract_all({fold("coalesce(text, '')")}, '{WORD}') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i : i + 3], ' ') as g
+      from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as inter from s x join s y on x.g = y.g and x.doc_id <> y.doc_id
+                            group by 1, 2) p join n na on na.doc_id = a join n nb on nb.doc_id = b
+          where 100 * inter >= 80 * (na.n + nb.n - inter)),
+reach as (select doc_id as a, doc_id as b from d union select r.a, l.b from reach r join links l on l.a = r.b),
+c as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clientscope.llm import decontaminate, line_dedup, line_quality, mixing
+from clientscope.llm import decontaminate, line_dedup, line_quality, mixing, near_dup
 from clientscope.session import new_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,6 +22,11 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return line_dedup.drop_lines(docs, chars_col="n_chars")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the least id."""
+    return near_dup.drop_near_copies(docs)
+
+
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item, or a whole shorter one, go."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -35,6 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_repeats),
+    ("near_duplicates", near_duplicates),
     ("decontamination", contamination),
     ("mixing", mixture),
 ]

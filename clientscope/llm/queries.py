@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from clientscope.llm import decontaminate, line_dedup, line_quality, mixing, near_dup, sql
-from pyspark.sql import DataFrame, SparkSession
+from clientscope.llm import chat, decontaminate, line_dedup, line_quality, mixing, near_dup, secrets, sql, urls
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -27,6 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sha256(text: Column) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+@query("op1_chat_format", sql.CHAT)
+def op1_chat_format(spark, sf_dir):
+    """All conversations and one more, number -7, whose texts hold control strings; digests are read from the output."""
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"select * from values (-7L, 0L, 'user', '{text}'), (-7L, 1L, 'assistant', '{text}') as t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    chats = chat.format_chats(rows)
+    read = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat.loss_text(F.col("segments"))
+    return chats.select(
+        "conv_id", F.size(read).cast("bigint").alias("n_turns"), sha256(F.array_join(read, "")).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"), sha256(loss).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid",
+    )
+
+
 @query("op3_near_duplicates", sql.NEAR_DUPLICATES)
 def op3_near_duplicates(spark, sf_dir):
     return near_dup.near_groups(table(spark, sf_dir, "documents"), near_dup.Near(words=4))
@@ -41,7 +61,7 @@ def op4_quality_rules(spark, sf_dir):
 def op5_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs), "doc_id", "text")
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
 @query("op6_mix_sources", sql.MIX)
@@ -49,7 +69,26 @@ def op6_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents")).drop("copies")
 
 
+@query("op7_secret_scan", sql.SECRETS)
+def op7_secret_scan(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = map(count, ("assign", "access", "hex"))
+    return found.select("doc_id", *counts, sha256(secrets.listing(base)).alias("base_sha256"), secrets.listing(F.col("found")).alias("spans"))
+
+
 @query("op8_decontaminate", sql.DECONTAMINATE)
 def op8_decontaminate(spark, sf_dir):
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("matches")
+
+
+@query("op9_url_filter", sql.URLS)
+def op9_url_filter(spark, sf_dir):
+    """The list of blocked URLs is that of the pages whose id is divisible by 50."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge_urls(pages, pages.where("page_id % 50 = 0"))

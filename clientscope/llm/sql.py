@@ -2,7 +2,10 @@
 
 import re
 
+from clientscope.llm.chat import Template
 from clientscope.llm.line_quality import BOILERPLATE, END_MARKS, SEPARATORS
+from clientscope.llm.secrets import RULES as SECRET_RULES
+from clientscope.llm.urls import RULES as URL_RULES
 
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,3 +101,80 @@ links as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as int
 reach as (select doc_id as a, doc_id as b from d union select r.a, l.b from reach r join links l on l.a = r.b),
 c as (select a as doc_id, min(b) as component_id from reach group by a)
 select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)"""
+
+
+def escaped(text: str) -> str:
+    for sign, rest in Template().tails().items():
+        text = f"regexp_replace({text}, '({re.escape(sign)})(\\\\*)({rest})', '\\1\\\\\\2\\3', 'g')"
+    return text
+
+
+def chat() -> str:
+    t = Template()
+    around = " ".join(f"when '{role}' then {len(x.prefix) + len(x.suffix)}" for role, x in t.turns.items())
+    other = sum(map(len, t.role_marks))
+    allowed = ", ".join(f"'{state}>{r}'" for state, roles in t.moves.items() for r in roles)
+    return rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m as (select *, lag(role, 1, '') over w || '>' || role in ({allowed}) as ok, row_number() over w = count(*) over (partition by conv_id) as last
+      from c window w as (partition by conv_id order by turn, role, text))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast({len(t.begin)} + sum(length({escaped("text")}) + case role {around} else {other} + length({escaped("role")}) end) as bigint) as formatted_chars,
+       bool_and(ok) and bool_or(last and role = 'assistant') as valid
+from m group by conv_id"""
+
+
+CHAT = chat()
+
+
+def secrets() -> str:
+    parts = []
+    for i, r in enumerate(SECRET_RULES):
+        p = r.pattern.replace("'", "''")
+        for word in ("password", "passwd", "secret", "token", "api_?key"):  # letters in either case, but no others
+            p = p.replace(word, "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word))
+        p = p.replace("(?i:", "(?:")
+        parts.append(f"""select doc_id, {i} as ord, '{r.kind}' as kind, {str(r.base).lower()} as base,
+    unnest(regexp_extract_all(t, '{p}')) as m, unnest(regexp_extract_all(t, '{p}', {r.group})) as g, {r.least} as least,
+    unnest(list_resize(regexp_split_to_array(t, '{p}'), len(regexp_extract_all(t, '{p}')))) as gap,
+    generate_subscripts(regexp_extract_all(t, '{p}'), 1) as n from d""")
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as ({" union all ".join(parts)}),
+p as (select *, sum(length(gap)) over w + sum(length(m)) over w as stop from m window w as (partition by doc_id, ord order by n)),
+s as (select doc_id, ord, kind, base, stop - length(m) as start, kind || ':' || (stop - length(m)) || ':' || stop as span
+      from p where length(g) >= least),
+a as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+             count(*) filter (kind = 'hex') as n_hex, string_agg(span, ',' order by start, ord) filter (base) as base_spans,
+             string_agg(span, ',' order by start, ord) as spans from s group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (doc_id)"""
+
+
+SECRETS = secrets()
+
+
+def urls() -> str:
+    cases = "case " + " ".join(
+        f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{v} {h}{p}'"
+        for v, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    ) + " end"
+    parts = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
+    return rf"""
+with p as (select page_id, {fold(f"coalesce(regexp_extract(url, '{parts}', 1), '')")} as host,
+                  coalesce(regexp_extract(url, '{parts}', 2), '') as path, coalesce(regexp_extract(url, '{parts}', 3), '') as q from pages),
+k as (select *, list_sort(list_filter(string_split(substr(q, 2), '&'),
+                                      lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))) as kept,
+             {cases} as fit from p),
+c as (select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '')
+               || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as canonical from k)
+select page_id, host, path, case when fit is not null then split_part(fit, ' ', 2) end as rule, canonical,
+       case when fit is not null then split_part(fit, ' ', 1)
+            when host <> '' and canonical in (select canonical from c where page_id % 50 = 0) then 'block' else 'allow' end as verdict
+from c"""
+
+
+URLS = urls()

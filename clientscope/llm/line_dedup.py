@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clientscope.llm.common import fold, name, pick, text_key
+from clientscope.llm.common import fold, pick, restored, slotted, text_key, written
 
-BLANKS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def lines_of(text: Column) -> Column:
@@ -17,7 +17,7 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return fold(F.regexp_replace(line, BLANKS, ""))
+    return fold(F.trim(line, F.lit(BLANKS)))
 
 
 def keep_bitmaps(
@@ -45,6 +45,7 @@ def keep_bitmaps(
         F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"),
         "doc_id", "text_key", "n_lines", "pos",
     )
+    hashed = written(hashed, "line-hashes")
     ranged = hashed.repartitionByRange("hash", "slice")
     stream = W.partitionBy("hash", "slice").orderBy(F.col("doc_id").desc_nulls_last(), F.col("pos"))
     firsts = ranged.select(
@@ -58,7 +59,7 @@ def keep_bitmaps(
         .agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last_doc"))
         .where(F.col("docs") >= least_docs)
     )
-    gone = ranged.join(repeated, "hash").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    gone = hashed.join(written(repeated, "repeated-lines"), "hash").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     per_doc = gone.groupBy("doc_id", "text_key").agg(
         F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_set("pos")).alias("at")
     )

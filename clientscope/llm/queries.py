@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from clientscope.llm import chat, decontaminate, line_dedup, line_quality, mixing, near_dup, secrets, sql, urls
+from clientscope.llm import chat, decontaminate, licenses, line_dedup, line_quality, mixing, near_dup, pii, secrets, sql, urls
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +47,14 @@ def op1_chat_format(spark, sf_dir):
     )
 
 
+@query("op2_pii_surrogates")
+def op2_pii_surrogates(spark, sf_dir):
+    """Every document with its new text; the key stands for the one that an owner would keep secret."""
+    made = pii.replace_entities(table(spark, sf_dir, "documents"), key="a key of the owner")
+    spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["first"], s["end"])), ",")
+    return made.select("doc_id", F.size("found").cast("bigint").alias("n_found"), spans.alias("spans"), "text")
+
+
 @query("op3_near_duplicates", sql.NEAR_DUPLICATES)
 def op3_near_duplicates(spark, sf_dir):
     return near_dup.near_groups(table(spark, sf_dir, "documents"), near_dup.Near(words=4))
@@ -92,3 +100,13 @@ def op9_url_filter(spark, sf_dir):
     """The list of blocked URLs is that of the pages whose id is divisible by 50."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, pages.where("page_id % 50 = 0"))
+
+
+@query("op10_license_scan", sql.LICENSES)
+def op10_license_scan(spark, sf_dir):
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("licenses", lambda m: m["dice"]))
+    return found.select(
+        "doc_id", F.size("licenses").cast("bigint").alias("n_matches"), licenses.license_names(F.col("licenses")).alias("licenses"),
+        F.coalesce(best, F.lit(0.0)).alias("best_dice"),
+    )

@@ -3,6 +3,7 @@
 import re
 
 from clientscope.llm.chat import Template
+from clientscope.llm.licenses import TEMPLATES
 from clientscope.llm.line_quality import BOILERPLATE, END_MARKS, SEPARATORS
 from clientscope.llm.secrets import RULES as SECRET_RULES
 from clientscope.llm.urls import RULES as URL_RULES
@@ -178,3 +179,28 @@ from c"""
 
 
 URLS = urls()
+
+
+def licenses() -> str:
+    quote = lambda x: x.replace("'", "''")
+    rows = ", ".join(f"('{quote(k)}', {i}, '{quote(t)}')" for k, v in sorted(TEMPLATES.items()) for i, t in enumerate(v))
+    words = rf"""list_filter(list_transform(regexp_extract_all({fold("p")}, '[^\x00-\x2D\x2F\x3A-\x60\x7B-\x7F]+'),
+                                            lambda w: regexp_replace(regexp_replace(w, '^\.+', ''), '\.+$', '')), lambda w: w <> '')"""
+    grams = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
+    return rf"""
+with tt as (select license, template, {words} as ws from (values {rows}) as v(license, template, p)),
+t as (select license, template, {grams} as g from tt),
+d as (select doc_id, coalesce(text, '') as x from documents),
+p as (select distinct doc_id, p from (select doc_id, unnest(list_concat(string_split(x, chr(10)), [x],
+             regexp_split_to_array(x, '\n[\x20\t\r]*\n'))) as p from d)),
+w as (select doc_id, {words} as ws from p),
+g as (select doc_id, ws, {grams} as g from w where len(ws) > 1),
+x as (select doc_id, ws, license, template, 2.0::double * len(list_intersect(t.g, g.g)) / (len(t.g) + len(g.g)) as dice
+      from g join t on len(g.g) between len(t.g) / 4 and 4 * len(t.g)),
+b as (select *, row_number() over (partition by doc_id, ws order by dice desc, license, template) as nth from x where dice >= 0.8),
+m as (select doc_id, license, template, max(dice) as dice from b where nth = 1 group by 1, 2, 3)
+select doc_id, count(license) as n_matches, coalesce(string_agg(distinct license, ',' order by license), '') as licenses,
+       coalesce(max(dice), 0.0::double) as best_dice from d left join m using (doc_id) group by doc_id"""
+
+
+LICENSES = licenses()

@@ -12,6 +12,8 @@ from clientscope.operators.ranking import (
     add_range,
     cumulative_counts,
     global_row_number,
+    present,
+    ranges_for,
     running_totals,
     score_ranges,
 )
@@ -61,7 +63,7 @@ def class_steps(df: DataFrame, y: str, scores: dict[object, str], pooled: bool =
                 ]
             )
         ).alias("r")
-    ).select("r.*").where("score is not null")
+    ).select("r.*").where(present("score"))
     counts = long.groupBy("cls", "score").agg(
         F.sum("hit").cast("bigint").alias("pos"), F.sum(1 - F.col("hit")).cast("bigint").alias("neg")
     )
@@ -151,14 +153,18 @@ def lift_table(df: DataFrame, label: Column, score: str, key: str, shares: Seque
 
     The rows are ranked once; all shares are conditional aggregates over the ranks.
     """
-    scored = df.where(F.col(score).isNotNull()).select(F.col(key), F.col(score).cast("double").alias(score), F.when(label, 1).otherwise(0).alias("__y"))
-    ranked = global_row_number(scored, score, key)
-    return _lift(ranked, [], score, scored.count(), shares, at_least_one)
+    scored = df.where(present(score)).select(F.col(key), F.col(score).cast("double").alias(score), F.when(label, 1).otherwise(0).alias("__y"))
+    rows = scored.count()
+    ranked = global_row_number(scored, score, key, ranges=ranges_for(rows))
+    return _lift(ranked, [], score, F.lit(rows), shares, at_least_one)
 
 
-def _lift(ranked: DataFrame, by: Sequence[str], score: str, n: int, shares: Sequence[float], at_least_one: bool) -> DataFrame:
-    def size(p: float) -> int:
-        return max(int(n * p), 1) if at_least_one else int(n * p)
+def _lift(ranked: DataFrame, by: Sequence[str], score: str, n: Column, shares: Sequence[float], at_least_one: bool) -> DataFrame:
+    """``n`` is the number of ranked rows of the row's group."""
+
+    def size(p: float) -> Column:
+        rows = F.floor(n * F.lit(float(p)))
+        return F.greatest(rows, F.lit(1)) if at_least_one else rows
 
     aggs = [F.sum("__y").alias("__p"), F.count(F.lit(1)).alias("__n")]
     for i, p in enumerate(shares):
@@ -198,8 +204,13 @@ def _lift(ranked: DataFrame, by: Sequence[str], score: str, n: int, shares: Sequ
 
 
 def class_lift_table(df: DataFrame, y: str, scores: dict[object, str], key: str, shares: Sequence[float] = SHARES) -> DataFrame:
-    """The lift table of every class against the rest; a class has at least one row in every share."""
-    found = score_ranges(df, list(scores.values()))
+    """The lift table of every class against the rest; a class has at least one row in every share.
+
+    A row without a class's score is left out of that class alone, and its sizes count the rows that have one.
+    """
+    sizes = df.agg(*[F.count(F.when(present(c), 1)).alias(f"n{i}") for i, c in enumerate(scores.values())]).first()
+    ranges = ranges_for(max(sizes))
+    found = score_ranges(df, list(scores.values()), ranges)
     long = df.select(
         key,
         F.explode(
@@ -210,15 +221,18 @@ def class_lift_table(df: DataFrame, y: str, scores: dict[object, str], key: str,
                 ]
             )
         ).alias("r"),
-    ).select(key, "r.*")
-    ranked = global_row_number(long, "score", key, by=["cls"], found=found)
-    return _lift(ranked, ["cls"], "score", df.count(), shares, at_least_one=True)
+    ).select(key, "r.*").where(present("score"))
+    ranked = global_row_number(long, "score", key, by=["cls"], found=found, ranges=ranges)
+    n = F.lit(0)
+    for k, rows in zip(scores, sizes):
+        n = F.when(F.col("cls") == str(k), F.lit(rows)).otherwise(n)
+    return _lift(ranked, ["cls"], "score", n, shares, at_least_one=True)
 
 
 def best_fbeta(df: DataFrame, label: Column, score: str, beta: float = 1.0) -> DataFrame:
     """Threshold with the largest F-beta; all rows with one score fall on the same side. Ties go to the higher score."""
     steps = cumulative_counts(df, score, label)
-    total = F.lit(df.where(label & F.col(score).isNotNull()).count())
+    total = F.lit(df.where(label & present(score)).count())
     b2 = float(beta) ** 2
     precision = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("tp"), total), F.lit(0.0))
@@ -247,7 +261,7 @@ def describe_scores(df: DataFrame, score: str) -> DataFrame:
     Quartiles interpolate between neighbours. Only the rows around the three positions are looked at, so no task
     holds all scores.
     """
-    base = df.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("score"))
+    base = df.where(present(score)).select(F.col(score).cast("double").alias("score"))
     facts = base.agg(
         F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"),
         F.min("score").alias("min"), F.max("score").alias("max"),

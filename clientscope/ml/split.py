@@ -25,6 +25,16 @@ def assign_parts(df: DataFrame, key: str, seed: str = "0", parts=PARTS) -> DataF
 
 
 def month_folds(dates: list) -> list[tuple[str, list, list]]:
-    """(name, training months, validation months) for the first three month ends."""
-    m1, m2, m3 = sorted(dates)[:3]
-    return [("m1_to_m2", [m1], [m2]), ("m1_to_m3", [m1], [m3]), ("m1_m2_to_m3", [m1, m2], [m3])]
+    """(name, training months, validation months) over all month ends.
+
+    Each month after the first is predicted from the first alone and, where there are more, from all before it.
+    """
+    months = sorted(set(dates))
+    if len(months) < 2:
+        raise ValueError("folds by month need two months or more")
+    folds = []
+    for k in range(1, len(months)):
+        folds.append((f"m1_to_m{k + 1}", months[:1], [months[k]]))
+        if k > 1:
+            folds.append(("_".join(f"m{i + 1}" for i in range(k)) + f"_to_m{k + 1}", months[:k], [months[k]]))
+    return folds

@@ -8,22 +8,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side small; otherwise leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def left_chain(base: DataFrame, parts: Sequence[DataFrame], on: str | Sequence[str]) -> DataFrame:
     """Left-join per-client results one after the other; all share the key, so the base is shuffled once."""
     return reduce(lambda left, part: left.join(part, on, "left"), parts, base)
 
 
 def assemble(target: DataFrame, blocks: Sequence[DataFrame], on: Sequence[str] = ("epk", "report_dt")) -> DataFrame:
-    """Target with all feature blocks. A block must be unique on ``on``; duplicates are removed by key, not by row."""
-    return left_chain(target, [b.dropDuplicates(list(on)) for b in blocks], list(on))
+    """Target with all feature blocks. Equal rows of a block count once; two different rows for one key are an error."""
+    return left_chain(target, [one_row_per_key(b, on) for b in blocks], list(on))
+
+
+def one_row_per_key(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows by key; the job fails if a key has rows that differ.
+
+    A block that was grouped by the key already is partitioned by it, so this needs no further shuffle.
+    """
+    others = [c for c in df.columns if c not in on]
+    if not others:
+        return df.distinct()
+    mark = F.md5(F.to_json(F.struct(*others), {"ignoreNullFields": "false"}))
+    kept = df.withColumn("__mark", mark).groupBy(*on).agg(
+        *[F.first(c).alias(c) for c in others], F.countDistinct("__mark").alias("__rows")
+    )
+    fault = F.concat(F.lit("different rows for one key: "), F.to_json(F.struct(*on)))
+    checked = F.when(F.col("__rows") > 1, F.raise_error(fault).cast("int")).otherwise(1)
+    return kept.where(checked == 1).select(*df.columns)
 
 
 def not_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:

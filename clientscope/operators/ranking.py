@@ -17,7 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+LEAST_RANGES = 64
+ROWS_PER_RANGE = 1_000_000
+
+
+def present(col: str) -> Column:
+    """Neither null nor NaN: a score that is missing in either way has no place in an order."""
+    value = F.col(col).cast("double")
+    return value.isNotNull() & ~F.isnan(value)
+
+
+def ranges_for(rows: int) -> int:
+    """Ranges of about ROWS_PER_RANGE rows, so that what one task orders does not grow with the data."""
+    return max(LEAST_RANGES, -(-rows // ROWS_PER_RANGE))
 
 
 @dataclass(frozen=True)
@@ -28,14 +40,16 @@ class Ranges:
     heavy: tuple[float, ...]
 
 
-def score_ranges(df: DataFrame, cols: Sequence[str], ranges: int = RANGES) -> Ranges:
+def score_ranges(df: DataFrame, cols: Sequence[str], ranges: int | None = None) -> Ranges:
     """About equal-sized ranges of the values of one column, or of several columns that are ranked side by side.
 
     A value that is found at two neighbouring quantiles is heavy; it gets a range of its own. Several columns share
-    the borders; they are thinned to about twice the usual number. Driver data: at most ``ranges`` numbers per column.
+    the borders; they are thinned to about twice the usual number. The number of ranges follows the number of rows.
+    Driver data: one number per range and column. Null and NaN are left out.
     """
+    ranges = ranges or ranges_for(df.count())
     probabilities = [i / ranges for i in range(1, ranges)]
-    found = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).approxQuantile(
+    found = df.select(*[F.when(present(c), F.col(c).cast("double")).alias(c) for c in cols]).approxQuantile(
         list(cols), probabilities, 1 / (4 * ranges)
     )
     heavy = {a for q in found for a, b in zip(q, q[1:]) if a == b}
@@ -71,7 +85,7 @@ def running_totals(
     """
     range_order = F.col(range_col).desc() if descending else F.col(range_col).asc()
     per_range = df.groupBy(*keys, range_col).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    # At most RANGES rows per key: this window is small whatever the size of df.
+    # One row per range and key: about a millionth of the rows of df.
     before = W.partitionBy(*keys).orderBy(range_order).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.select(
         *keys, range_col, *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums]
@@ -86,14 +100,14 @@ def running_totals(
     )
 
 
-def cumulative_counts(df: DataFrame, score: str, label: Column, ranges: int = RANGES) -> DataFrame:
+def cumulative_counts(df: DataFrame, score: str, label: Column, ranges: int | None = None) -> DataFrame:
     """One row per distinct score with ``pos``, ``neg`` and their totals at this score and above (``tp``, ``fp``).
 
     Rows are counted per score before anything is ordered, so a score shared by many rows is one row here.
     """
     borders = score_ranges(df, [score], ranges).borders
     counts = (
-        df.where(F.col(score).isNotNull())
+        df.where(present(score))
         .groupBy(F.col(score).alias("score"))
         .agg(
             F.sum(F.when(label, 1).otherwise(0)).cast("bigint").alias("pos"),
@@ -113,7 +127,7 @@ def global_row_number(
     out: str = "rank",
     by: Sequence[str] = (),
     found: Ranges | None = None,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Adds the exact position by ``score`` descending, then unique numeric ``key`` ascending, within ``by``.
 
@@ -121,6 +135,7 @@ def global_row_number(
     cell are few and give the position at which each cell starts, so the rows are shuffled once, into their cells.
     ``df`` is read three times: pass a table, or a checkpoint of something dear to compute.
     """
+    ranges = ranges or ranges_for(df.count())
     found = found or score_ranges(df, [score], ranges)
     marked = add_range(df, score, "__sr", found.borders)
     if found.heavy:
@@ -144,9 +159,10 @@ def global_row_number(
 
 def top_share(df: DataFrame, score: str, key: str, share: float) -> DataFrame:
     """The best ``floor(n * share)`` rows by score, ties by key."""
-    scored = df.where(F.col(score).isNotNull())
-    size = int(scored.count() * share)
-    return global_row_number(scored, score, key).where(F.col("rank") <= size)
+    scored = df.where(present(score))
+    rows = scored.count()
+    size = int(rows * share)
+    return global_row_number(scored, score, key, ranges=ranges_for(rows)).where(F.col("rank") <= size)
 
 
 def sample_rows(df: DataFrame, n: int, key: str | Column, seed: str = "0") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from clientscope.functions.columns import fix_types, select_by_pattern
 from clientscope.functions.dates import day, shift_month_end
 from clientscope.functions.numbers import null_safe_sum, safe_ratio
-from clientscope.operators.joins import assemble, broadcast_checked, left_chain
+from clientscope.operators.joins import assemble, left_chain
 from clientscope.operators.rolling import rolling_windows
 
 KEYS = ("epk", "report_dt")
@@ -83,7 +83,7 @@ def _within_reach(df: DataFrame, target: DataFrame, months_back: int = 0) -> Dat
 
 def snapshot(target: DataFrame, source: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Snapshot rows at the target month ends. Only months within the target's are read, whichever join is chosen."""
-    t = broadcast_checked(target.select(*KEYS).distinct())
+    t = target.select(*KEYS).distinct()
     df = source.select(*KEYS, *cols) if cols else source
     dated = df.withColumn("report_dt", F.col("report_dt").cast("date"))
     return _within_reach(dated, target).join(t, list(KEYS))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientscope.functions.dates import in_last_weeks
-from clientscope.operators.joins import BROADCAST_ROWS, broadcast_checked
 from clientscope.operators.windows import best_row, rank_in_client, wide_top
 
 TOP = 7
@@ -28,11 +27,6 @@ def best_per_situation(df: DataFrame, key: str = "epk") -> DataFrame:
     )
 
 
-def _small(table: DataFrame, rows: int) -> DataFrame:
-    """Hint a rule table for broadcast where its number of rows, known from the rule list, allows it."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
 def product_table(
     spark: SparkSession, rules: Sequence[tuple[str, Sequence[str]]], first_match: bool = False
 ) -> DataFrame:
@@ -44,7 +38,7 @@ def product_table(
             if not (first_match and need in seen):
                 rows.append((need, product))
             seen.add(need)
-    return _small(spark.createDataFrame(rows, "need_id string, product string"), len(rows))
+    return F.broadcast(spark.createDataFrame(rows, "need_id string, product string"))  # as long as the rules in code
 
 
 def recent_needs(
@@ -58,7 +52,7 @@ def recent_needs(
     recent = scores.where(in_last_weeks(F.col("scoring_dt"), anchor, weeks))
     best = recent.groupBy("epk", "model_id").agg(F.max("raw_score").alias("raw_score"))
     return (
-        best.join(broadcast_checked(wanted.select("model_id", "need_id", "life_situation")), "model_id")
+        best.join(wanted.select("model_id", "need_id", "life_situation"), "model_id")
         .groupBy("epk", "need_id", "life_situation")
         .agg(F.max("raw_score").alias("raw_score"))
     )
@@ -105,7 +99,7 @@ def situation_table(spark: SparkSession, rules: Sequence[tuple]) -> DataFrame:
         rows, "product string, need_id string, priority int, low int, high int, situation string, sub_situation string"
     )
     one = F.struct("priority", "low", "high", "situation", "sub_situation")
-    return _small(flat.groupBy("product", "need_id").agg(F.array_sort(F.collect_list(one)).alias("rules")), len(rows))
+    return F.broadcast(flat.groupBy("product", "need_id").agg(F.array_sort(F.collect_list(one)).alias("rules")))
 
 
 def with_situation(ranked: DataFrame, table: DataFrame) -> DataFrame:

@@ -10,14 +10,9 @@ from clientscope.operators import aggregate as a
 from clientscope.queries.registry import query
 from clientscope.sources import fixtures as fx
 
-Q = "date '1998-10-01' and date '1998-12-31'"
 CATEGORIES = ("ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE", "NONE")
 
 
-def quarter(spark, sf):
-    return fx.pos_tx(spark, sf, *fx.QUARTER)
-
-
 @query(
     "agg_group_basic",
     fx.with_views("pos_tx")
@@ -60,7 +55,7 @@ def agg_distinct_count(spark, sf):
 )
 def agg_distinct_count_case(spark, sf):
     """Distinct (client, tag) first, then plain conditional counts: one exchange per step and no row expansion."""
-    tags = fx.current_tags(spark, sf).where(p.is_current()).select("epk", "nsi_id").distinct()
+    tags = fx.tags(spark, sf).where(p.is_current()).select("epk", "nsi_id").distinct()
     return a.count_and_flag(
         tags,
         ["epk"],
@@ -78,25 +73,25 @@ PIVOT_SQL = ", ".join(
 @query(
     "agg_conditional_pivot",
     fx.with_views("pos_tx")
-    + f"select epk, {PIVOT_SQL}, count(*) as all_cnt, round(sum(amt), 2) as all_amt from pos_tx where dt between {Q} group by epk",
+    + f"select epk, {PIVOT_SQL}, count(*) as all_cnt, round(sum(amt), 2) as all_amt from pos_tx group by epk",
 )
 def agg_conditional_pivot(spark, sf):
-    wide = a.conditional_pivot(quarter(spark, sf), ["epk"], "mcc_code", CATEGORIES, "amt")
+    wide = a.conditional_pivot(fx.pos_tx(spark, sf), ["epk"], "mcc_code", CATEGORIES, "amt")
     return wide.select("epk", *[(F.round(c, 2) if c.endswith("_amt") else F.col(c)).alias(c.lower()) for c in wide.columns[1:]])
 
 
 @query(
     "agg_two_level",
     fx.with_views("pos_tx acq_tx")
-    + f"""select epk, cast(sum(n) as bigint) as n, round(sum(s), 2) as amt, cast(sum(big) as bigint) as big from (
+    + """select epk, cast(sum(n) as bigint) as n, round(sum(s), 2) as amt, cast(sum(big) as bigint) as big from (
             select epk, 'pos' as src, count(*) as n, sum(amt) as s, sum(case when amt > 50000 then 1 else 0 end) as big
-            from pos_tx where dt between {Q} group by 1
+            from pos_tx group by 1
             union all select epk, 'acq', count(*), sum(amt), sum(case when amt > 50000 then 1 else 0 end)
-            from acq_tx where dt between {Q} group by 1) group by epk""",
+            from acq_tx group by 1) group by epk""",
 )
 def agg_two_level(spark, sf):
     """Partial and final aggregation of one ``groupBy`` already are the two levels."""
-    both = quarter(spark, sf).select("epk", "amt").unionByName(fx.acq_tx(spark, sf, *fx.QUARTER).select("epk", "amt"))
+    both = fx.pos_tx(spark, sf).select("epk", "amt").unionByName(fx.acq_tx(spark, sf).select("epk", "amt"))
     return both.groupBy("epk").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.sum("amt"), 2).alias("amt"),
@@ -109,11 +104,11 @@ def agg_two_level(spark, sf):
     fx.with_views("pos_tx")
     + """select c_custkey as epk, max(coalesce(case when mcc_code = 'ECONOMY' then 1 end, 0)) as economy,
                 max(coalesce(case when amt > 90000 then 1 end, 0)) as large from customer
-         left join (select * from pos_tx where dt >= date '1998-12-01' and dt <= date '1998-12-31') t on t.epk = c_custkey
+         left join pos_tx t on t.epk = c_custkey
          group by 1""",
 )
 def agg_max_flags(spark, sf):
-    tx = fx.pos_tx(spark, sf, "1998-12-01", fx.ANCHOR)
+    tx = fx.pos_tx(spark, sf)
     flags = a.max_flags(
         tx.select(
             "epk",
@@ -244,9 +239,9 @@ SHARE_SQL = ", ".join(
 )
 
 
-@query("agg_share_of_total", fx.with_views("pos_tx") + f"select epk, {SHARE_SQL} from pos_tx where dt between {Q} group by epk")
+@query("agg_share_of_total", fx.with_views("pos_tx") + f"select epk, {SHARE_SQL} from pos_tx group by epk")
 def agg_share_of_total(spark, sf):
-    wide = a.conditional_pivot(quarter(spark, sf), ["epk"], "mcc_code", CATEGORIES, "amt")
+    wide = a.conditional_pivot(fx.pos_tx(spark, sf), ["epk"], "mcc_code", CATEGORIES, "amt")
     shares = wide.select("epk", *a.share_columns(CATEGORIES))
     return shares.select("epk", *[F.round(c, 6).alias(c.lower()) for c in shares.columns[1:]])
 
@@ -302,16 +297,16 @@ def agg_masked_group_means(spark, sf):
 
 @query(
     "agg_pattern_counts",
-    fx.with_views("contacts")
+    fx.with_views("daily_contacts")
     + """select count(*) filter ((error is null or error = 0) and (signup is null or signup = 0)
                                  and "view" is not null and click is not null) as no_contact_both,
                 count(*) filter ("view" is null and click is not null and (error is null or signup is null)) as click_only
-         from contacts""",
+         from daily_contacts""",
 )
 def agg_pattern_counts(spark, sf):
     """All patterns counted in one scan."""
     view, click = F.col("view"), F.col("click")
-    return fx.contacts(spark, sf).agg(
+    return fx.daily_contacts(spark, sf).agg(
         F.count(F.when(p.none_of_counts(["error", "signup"]) & view.isNotNull() & click.isNotNull(), 1)).alias("no_contact_both"),
         F.count(F.when(view.isNull() & click.isNotNull() & (F.isnull("error") | F.isnull("signup")), 1)).alias("click_only"),
     )

@@ -60,7 +60,7 @@ def quarter_category():
 @query("lifestyle_top_category", fx.with_views("pos_tx tags", LIFE_SQL) + "select epk, category as top_category from rf where rn = 1")
 def lifestyle_top_category(spark, sf):
     return lifestyle.top_category(
-        fx.pos_tx(spark, sf, *fx.QUARTER), fx.current_tags(spark, sf), A, quarter_category(), CATEGORIES, tag_prefix(LIFE_TAGS)
+        fx.pos_tx(spark, sf, *fx.QUARTER), fx.tags(spark, sf), A, quarter_category(), CATEGORIES, tag_prefix(LIFE_TAGS)
     )
 
 
@@ -172,7 +172,7 @@ def sphere_scores(spark, sf):
 def situations(spark, sf, mode="correct"):
     spend = ls.sphere_spend(both(spark, sf), A, SPHERES)
     found = ls.situation(
-        spend, fx.current_tags(spark, sf), sphere_scores(spark, sf), LABELS, tag_prefix(SPHERE_TAGS), MINIMUM, GATED, mode
+        spend, fx.tags(spark, sf), sphere_scores(spark, sf), LABELS, tag_prefix(SPHERE_TAGS), MINIMUM, GATED, mode
     )
     return ls.attach_situation(fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("epk")), found)
 
@@ -240,7 +240,7 @@ def recent_propensity(spark, sf, base=None):
 def life_sub_situation(spark, sf):
     codes = ["ECONOMY", "STANDARD", "PROMO", "SMALL", "LARGE", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     return ls.sub_situation(
-        situations(spark, sf), both(spark, sf), fx.current_tags(spark, sf), recent_propensity(spark, sf), tag_prefix(SUB_TAGS),
+        situations(spark, sf), both(spark, sf), fx.tags(spark, sf), recent_propensity(spark, sf), tag_prefix(SUB_TAGS),
         SUBS, codes, ("auto",),
     )
 
@@ -262,12 +262,12 @@ def propensity_max(spark, sf):
     fx.with_views("tags snap_cust", tag_count_sql("tc", SPHERE_TAGS[:2]))
     + """select a.epk, round(least(coalesce(t.tags, 0) * 0.05::double, a.score * 0.3::double), 9) as trips_bonus,
                 round(least(coalesce(p.tags, 0) * 0.05::double, a.score * 0.3::double), 9) as sport_bonus
-         from (select epk, sum(cnt) / 12.0::double as score from snap_cust where report_dt between date '1998-01-31' and date '1998-12-31' group by 1) a
+         from (select epk, sum(cnt) / 12.0::double as score from snap_cust group by 1) a
          left join tc t on t.epk = a.epk and t.category = 'trips' left join tc p on p.epk = a.epk and p.category = 'sport'""",
 )
 def tag_bonus(spark, sf):
-    score = fx.snap_cust(spark, sf, "1998-01-01", A).groupBy("epk").agg((F.sum("cnt") / 12.0).alias("score"))
-    counts = s.tag_counts(fx.current_tags(spark, sf), tag_prefix(SPHERE_TAGS[:2]), ["trips", "sport"])
+    score = fx.snap_cust(spark, sf).groupBy("epk").agg((F.sum("cnt") / 12.0).alias("score"))
+    counts = s.tag_counts(fx.tags(spark, sf), tag_prefix(SPHERE_TAGS[:2]), ["trips", "sport"])
     return score.join(counts, "epk", "left").select(
         "epk",
         *[

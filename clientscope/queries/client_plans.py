@@ -25,7 +25,7 @@ FREE_SQL = f"""free as (select epk, max(case when nsi_id = 'purchase_1' then 6 w
 
 @query("client_free_tier", fx.with_views("tags", FREE_SQL) + "select * from free")
 def client_free_tier(spark, sf):
-    return tiers.free_tier(fx.current_tags(spark, sf), LEVEL_TAGS)
+    return tiers.free_tier(fx.tags(spark, sf), LEVEL_TAGS)
 
 
 PAID_SQL = """rec as (select c_custkey as epk, sum(amt) filter (mcc_code = 'ECONOMY') as dep, sum(amt) filter (mcc_code = 'PROMO') as inv,
@@ -73,7 +73,7 @@ def client_paid_tier(spark, sf):
     acq = fx.acq_tx(spark, sf, "1998-12-01", A).select("epk", F.col("amt").alias("amount"), "dt", "status")
     score = fx.needs(spark, sf).groupBy("epk").agg(F.max("raw_score").alias("score"))
     paid = tiers.paid_tier(base, acq, acq.where("status = 'O'"), acq.where("status = 'F'"), score, A, BANDS)
-    return tiers.all_tiers(tiers.free_tier(fx.current_tags(spark, sf), LEVEL_TAGS), paid)
+    return tiers.all_tiers(tiers.free_tier(fx.tags(spark, sf), LEVEL_TAGS), paid)
 
 
 BRANDS = range(1, 6)
@@ -116,7 +116,7 @@ def rollup_sql():
 def client_benefit_rollup(spark, sf):
     """Rows with more than one client row per report date would be summed; the stand-in has one."""
     wide = benefit_wide(spark, sf).withColumns({"report_dt": F.lit(A).cast("date"), "death_flag": F.lit(0)})
-    clients = tiers.free_tier(fx.current_tags(spark, sf), LEVEL_TAGS).select("epk", "approval_level")
+    clients = tiers.free_tier(fx.tags(spark, sf), LEVEL_TAGS).select("epk", "approval_level")
     kinds = {
         "rubles": ["transfer_{level}", "card_{level}", "deposit_{level}", "savings_{level}"],
         "bonuses": ["bonus_{level}", "grocery_{level}"],
@@ -224,7 +224,7 @@ def flag_coin_purchase(spark, sf):
          where row_actual_to_dt = '9999-12-31' and (nsi_id like '%view_1%' or nsi_id like '%click_1%') group by epk""",
 )
 def flag_card_design(spark, sf):
-    cards = fx.current_tags(spark, sf).withColumnRenamed("nsi_id", "card_design")
+    cards = fx.tags(spark, sf).withColumnRenamed("nsi_id", "card_design")
     return core_products.design_flags(cards, {"sticker_flag": "view_1", "metal_flag": "click_1"})
 
 
@@ -247,7 +247,7 @@ def avg_balance_3m(spark, sf):
           where {CURRENT} and nsi_id in ('view_7', 'click_8') group by epk""",
 )
 def flag_tag_interest(spark, sf):
-    return core_products.tag_flags(fx.current_tags(spark, sf), ("view_7", "click_8"))
+    return core_products.tag_flags(fx.tags(spark, sf), ("view_7", "click_8"))
 
 
 FLAG_NAMES = ("transfer_flag", "service_fee", "notify_fee", "cash_fee", "prime", "prime_plus", "coins_flag", "sticker_flag",

@@ -158,7 +158,7 @@ def tier_case_max(spark, sf):
     level = p.first_match(
         [(6, tag == "purchase_1"), (5, tag.isin("view_2", "click_2")), (4, tag.isin("view_3", "click_3"))], 0
     )
-    return fx.current_tags(spark, sf).where(p.is_current()).groupBy("epk").agg(F.max(level).alias("approval_level"))
+    return fx.tags(spark, sf).where(p.is_current()).groupBy("epk").agg(F.max(level).alias("approval_level"))
 
 
 @query(
@@ -195,8 +195,7 @@ def tier_threshold_bands(spark, sf):
 
 LEFT_SUMS_SQL = """select c_custkey as epk, v.n as views, a.amt as acq from customer
     left join (select user_id, count(*) as n from events where event_type = 'view' group by 1) v on v.user_id = c_custkey
-    left join (select o_custkey, round(sum(o_totalprice), 2) as amt from orders where o_orderstatus = 'F'
-               and o_orderdate >= timestamp '1998-01-01' and o_orderdate < timestamp '1999-01-01' group by 1) a
+    left join (select o_custkey, round(sum(o_totalprice), 2) as amt from orders where o_orderstatus = 'F' group by 1) a
            on a.o_custkey = c_custkey"""
 
 
@@ -207,7 +206,7 @@ def left_sums(spark, sf):
         .groupBy(F.col("user_id").alias("epk")).agg(F.count(F.lit(1)).alias("views"))
     )
     acq = (
-        fx.acq_tx(spark, sf, "1998-01-01", "1998-12-31").where("status = 'F'")
+        fx.acq_tx(spark, sf).where("status = 'F'")
         .groupBy("epk").agg(F.round(F.sum("amt"), 2).alias("acq"))
     )
     base = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("epk"))
@@ -417,15 +416,16 @@ def literal_columns(spark, sf):
 
 @query(
     "zero_or_null_ladder",
-    fx.with_views("contacts")
-    + """select epk, case when (error = 0 or error is null) and (signup = 0 or signup is null) then 1 else 0 end as no_contact,
+    fx.with_views("daily_contacts")
+    + """select epk, day, case when (error = 0 or error is null) and (signup = 0 or signup is null) then 1 else 0 end as no_contact,
                 case when error > 0 or signup > 0 then 1 else 0 end as contact,
-                case when error is not null or signup is not null then 1 else 0 end as present from contacts""",
+                case when error is not null or signup is not null then 1 else 0 end as present from daily_contacts""",
 )
 def zero_or_null_ladder(spark, sf):
     channels = ["error", "signup"]
-    return fx.contacts(spark, sf).select(
+    return fx.daily_contacts(spark, sf).select(
         "epk",
+        "day",
         p.flag(p.none_of_counts(channels)).alias("no_contact"),
         p.flag(p.some_of_counts(channels)).alias("contact"),
         p.flag(p.some_of_counts(channels, strict=False)).alias("present"),

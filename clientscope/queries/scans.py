@@ -11,14 +11,9 @@ from clientscope.sources import fixtures as fx
 from clientscope.sources import readers, sinks
 from clientscope.functions.columns import ids_first
 
-SNAP_98 = "select * from snap_sup where report_dt between date '1998-01-31' and date '1998-12-31'"
 SNAP_OUT = "epk, report_dt, round(amt, 2) as amt, cast(cnt as bigint) as cnt"
 
 
-def snap_98(spark, sf):
-    return fx.snap_sup(spark, sf, "1998-01-01", "1998-12-31")
-
-
 def rounded(df):
     return df.select("epk", "report_dt", F.round("amt", 2).alias("amt"), "cnt")
 
@@ -78,11 +73,11 @@ def scan_sharded_union(spark, sf):
     )
 
 
-@query("sink_table_overwrite", fx.with_views("snap_sup") + f"select {SNAP_OUT} from ({SNAP_98})")
+@query("sink_table_overwrite", fx.with_views("snap_sup") + f"select {SNAP_OUT} from snap_sup")
 def sink_table_overwrite(spark, sf):
     path = new_path(spark, "snapshot")
-    sinks.overwrite(rounded(snap_98(spark, sf)).limit(0), path)
-    return sinks.overwrite(rounded(snap_98(spark, sf)), path)
+    sinks.overwrite(rounded(fx.snap_sup(spark, sf)).limit(0), path)
+    return sinks.overwrite(rounded(fx.snap_sup(spark, sf)), path)
 
 
 @query("sink_parquet", fx.with_views("snap_cust") + f"select {SNAP_OUT} from snap_cust")
@@ -94,22 +89,22 @@ def sink_parquet(spark, sf):
     "sink_replace_period",
     fx.with_views("snap_sup")
     + f"""select epk, report_dt, round(case when report_dt = date '1998-12-31' then amt * 2 else amt end, 2) as amt,
-                 cast(cnt as bigint) as cnt from ({SNAP_98})""",
+                 cast(cnt as bigint) as cnt from snap_sup""",
 )
 def sink_replace_period(spark, sf):
     path = new_path(spark, "scores")
-    scores = snap_98(spark, sf)
+    scores = fx.snap_sup(spark, sf)
     sinks.replace_period(rounded(scores), path)
     last = scores.where("report_dt = date'1998-12-31'").withColumn("amt", F.col("amt") * 2)
     sinks.replace_period(rounded(last), path)
     return sinks.replace_period(rounded(last), path)
 
 
-@query("stage_if_absent", fx.with_views("snap_sup") + f"select {SNAP_OUT} from ({SNAP_98})")
+@query("stage_if_absent", fx.with_views("snap_sup") + f"select {SNAP_OUT} from snap_sup")
 def stage_if_absent(spark, sf):
     path = new_path(spark, "block")
-    sinks.stage_if_absent(spark, path, lambda: rounded(snap_98(spark, sf)))
-    return sinks.stage_if_absent(spark, path, lambda: rounded(snap_98(spark, sf)).limit(0))
+    sinks.stage_if_absent(spark, path, lambda: rounded(fx.snap_sup(spark, sf)))
+    return sinks.stage_if_absent(spark, path, lambda: rounded(fx.snap_sup(spark, sf)).limit(0))
 
 
 @query("sink_repartitioned", fx.with_views("snap_cust") + f"select {SNAP_OUT} from snap_cust")
@@ -142,15 +137,15 @@ def union_all_segments(spark, sf):
     "union_two_sources",
     fx.with_views("pos_tx acq_tx")
     + """select src, epk, count(*) as n, round(sum(amt), 2) as amt from (
-           select epk, amt, 'pos' as src from pos_tx where dt between date '1998-10-01' and date '1998-12-31'
+           select epk, amt, 'pos' as src from pos_tx
            union all
            select epk, amt, 'acquiring' from acq_tx
-           where status = 'F' and dt between date '1998-10-01' and date '1998-12-31') group by 1, 2""",
+           where status = 'F') group by 1, 2""",
 )
 def union_two_sources(spark, sf):
     common = ["epk", "amt", "mcc_code", "merchant", "dt"]
-    pos = fx.pos_tx(spark, sf, *fx.QUARTER).select(*common, F.lit("pos").alias("src"))
-    acq = fx.acq_tx(spark, sf, *fx.QUARTER).where("status = 'F'").select(*common, F.lit("acquiring").alias("src"))
+    pos = fx.pos_tx(spark, sf).select(*common, F.lit("pos").alias("src"))
+    acq = fx.acq_tx(spark, sf).where("status = 'F'").select(*common, F.lit("acquiring").alias("src"))
     return (
         pos.unionByName(acq)
         .groupBy("src", "epk")
@@ -220,12 +215,12 @@ CATEGORY_SCORES_SQL = """wide as (
     select epk, round(sum(case when mcc_code = 'ECONOMY' then amt else 0 end), 2) as economy,
            round(sum(case when mcc_code = 'PROMO' then amt else 0 end), 2) as promo,
            round(sum(case when mcc_code = 'SMALL' then amt else 0 end), 2) as small
-    from pos_tx where dt between date '1998-10-01' and date '1998-12-31' group by epk)"""
+    from pos_tx group by epk)"""
 
 
 def wide_scores(spark, sf):
     return (
-        fx.pos_tx(spark, sf, *fx.QUARTER)
+        fx.pos_tx(spark, sf)
         .groupBy("epk")
         .agg(
             *[
@@ -249,8 +244,7 @@ def unpivot_scores(spark, sf):
 @query(
     "pivot_categories",
     fx.with_views("pos_tx")
-    + """, per as (select epk, mcc_code, round(sum(amt), 2) as amt from pos_tx
-                   where dt between date '1998-10-01' and date '1998-12-31' group by 1, 2),
+    + """, per as (select epk, mcc_code, round(sum(amt), 2) as amt from pos_tx group by 1, 2),
            r as (select *, row_number() over (partition by epk order by amt desc, mcc_code) as rn from per)
          select epk, max(case when rn = 1 then mcc_code end) as top1_mcc_code,
                 max(case when rn = 1 then amt end) as top1_amt, max(case when rn = 2 then mcc_code end) as top2_mcc_code,
@@ -258,7 +252,7 @@ def unpivot_scores(spark, sf):
                 max(case when rn = 3 then amt end) as top3_amt from r group by epk""",
 )
 def pivot_categories(spark, sf):
-    per = fx.pos_tx(spark, sf, *fx.QUARTER).groupBy("epk", "mcc_code").agg(F.round(F.sum("amt"), 2).alias("amt"))
+    per = fx.pos_tx(spark, sf).groupBy("epk", "mcc_code").agg(F.round(F.sum("amt"), 2).alias("amt"))
     ranked = rank_in_client(per, "epk", [F.col("amt").desc(), F.col("mcc_code")])
     return wide_top(ranked, "epk", "rn", 3, ["mcc_code", "amt"])
 

@@ -12,8 +12,7 @@ from clientscope.operators import windows as w
 from clientscope.queries.registry import query
 from clientscope.sources import fixtures as fx
 
-PER_SQL = """per as (select epk, mcc_code as category, round(sum(amt), 2) as score from pos_tx
-                     where dt between date '1998-10-01' and date '1998-12-31' group by 1, 2)"""
+PER_SQL = """per as (select epk, mcc_code as category, round(sum(amt), 2) as score from pos_tx group by 1, 2)"""
 RANKED_SQL = """r as (select *, row_number() over (partition by epk order by score desc, category) as rn,
                              lead(score) over (partition by epk order by score desc, category) as second_score from per)"""
 
@@ -21,7 +20,7 @@ RANKED_SQL = """r as (select *, row_number() over (partition by epk order by sco
 def per_category(spark, sf):
     """One row per client and category: a bounded number of rows per client whatever their spending."""
     return (
-        fx.pos_tx(spark, sf, *fx.QUARTER)
+        fx.pos_tx(spark, sf)
         .groupBy("epk", F.col("mcc_code").alias("category"))
         .agg(F.round(F.sum("amt"), 2).alias("score"))
     )

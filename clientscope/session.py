@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -39,9 +40,13 @@ def work_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="clientscope-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder().name
+
+
+@cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """One folder for this process, removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="clientscope-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

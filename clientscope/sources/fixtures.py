@@ -113,25 +113,6 @@ def tags(spark, sf) -> DataFrame:
     )
 
 
-def current_tags(spark, sf) -> DataFrame:
-    """The open rows of :func:`tags`, found by aggregation: the latest event of every (user, tag) is the open one."""
-    return (
-        table(spark, sf, "events")
-        .groupBy(
-            F.col("user_id").alias("epk"),
-            "event_type",
-            (F.get_json_object("props", "$.k").cast("int") % 20).alias("k"),
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            "epk",
-            F.concat_ws("_", "event_type", F.col("k").cast("string")).alias("nsi_id"),
-            F.when(F.col("event_type") == "error", 1).otherwise(0).alias("is_deleted"),
-            F.lit("9999-12-31").alias("row_actual_to_dt"),
-        )
-    )
-
-
 def needs(spark, sf) -> DataFrame:
     """Model scores: best score per client and need: epk, need_id, life_situation, raw_score, scoring_dt."""
     best = F.max(F.struct("amt", "dt", "mcc_code")).alias("b")
@@ -149,17 +130,26 @@ def needs(spark, sf) -> DataFrame:
     )
 
 
+CHANNELS = ("view", "click", "purchase", "error", "signup")
+
+
 def contacts(spark, sf) -> DataFrame:
     """Channel counts of two days; a channel without events is null: epk, view, click, purchase, error, signup."""
     lo, hi = CONTACT_DAYS
     ev = table(spark, sf, "events").where(
         (F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
     )
-    return ev.groupBy(F.col("user_id").alias("epk")).agg(
-        *[
-            F.nullif(F.count(F.when(F.col("event_type") == t, 1)), F.lit(0)).alias(t)
-            for t in ("view", "click", "purchase", "error", "signup")
-        ]
+    return _channel_counts(ev, F.col("user_id").alias("epk"))
+
+
+def daily_contacts(spark, sf) -> DataFrame:
+    """The same counts for every client and day of the whole table: epk, day, view, ..."""
+    return _channel_counts(table(spark, sf, "events"), F.col("user_id").alias("epk"), F.col("ts").cast("date").alias("day"))
+
+
+def _channel_counts(events: DataFrame, *by) -> DataFrame:
+    return events.groupBy(*by).agg(
+        *[F.nullif(F.count(F.when(F.col("event_type") == t, 1)), F.lit(0)).alias(t) for t in CHANNELS]
     )
 
 
@@ -227,6 +217,14 @@ SQL = {
                nullif(count(*) filter (event_type = 'error'), 0) as error,
                nullif(count(*) filter (event_type = 'signup'), 0) as signup
         from events where ts >= timestamp '2024-01-15' and ts < timestamp '2024-01-17' group by 1""",
+    "daily_contacts": """
+        select user_id as epk, cast(ts as date) as day,
+               nullif(count(*) filter (event_type = 'view'), 0) as "view",
+               nullif(count(*) filter (event_type = 'click'), 0) as click,
+               nullif(count(*) filter (event_type = 'purchase'), 0) as purchase,
+               nullif(count(*) filter (event_type = 'error'), 0) as error,
+               nullif(count(*) filter (event_type = 'signup'), 0) as signup
+        from events group by 1, 2""",
     "binary_scored": """
         select l.doc_id as id, quality as y, cast(n_chars as double) as score
         from labels l join documents d on l.doc_id = d.doc_id""",

@@ -84,6 +84,9 @@ def test_split_is_stable_and_near_its_shares(spark):
 
 
 def test_folds():
+    assert [f[0] for f in month_folds([4, 1, 2, 3])] == ["m1_to_m2", "m1_to_m3", "m1_m2_to_m3", "m1_to_m4", "m1_m2_m3_to_m4"]
+    with pytest.raises(ValueError):
+        month_folds([1, 1])
     assert month_folds([3, 1, 2]) == [("m1_to_m2", [1], [2]), ("m1_to_m3", [1], [3]), ("m1_m2_to_m3", [1, 2], [3])]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,6 +132,7 @@ class ScoreRule:
     benefit_weight: float = 0.4
     value_weight: float = 0.6
     default: float = 1.0
+    digits: int = 4
 
     def column(self) -> Column:
         blend = self.benefit * F.lit(self.benefit_weight)
@@ -138,7 +140,7 @@ class ScoreRule:
             blend = blend + self.value * F.lit(self.value_weight)
         return (
             F.when(self.direct, self.benefit.cast("double"))
-            .when(self.blended, F.round(blend, 4).cast("double"))
+            .when(self.blended, F.round(blend, self.digits).cast("double"))
             .otherwise(F.lit(self.default))
             .alias(self.name)
         )
@@ -153,6 +155,7 @@ def level_rules(
     min_spend: float = 50_000.0,
     first_line_level: int = 1,
     lending: bool = False,
+    lines: Sequence[str] = ("first", "second", "third"),
 ) -> list[ScoreRule]:
     """The product rules of one level.
 
@@ -160,6 +163,10 @@ def level_rules(
     metal_account coins only_deposit_<line> only_savings_<line> credit_card loan``, the amounts ``avg_balance_3m
     sum_sent_3m avg_spend_3m`` and the benefits ``card_<n> deposit_<n> savings_<n> bonus_<n> transfer_<n>``. Fees are
     compared with one, as the flags they are. Lending rules exist on the upper line only.
+
+    On the first level a deposit or savings account is blended only if the client has none on any of the ``lines``.
+    On all further levels the blended savings score looks at the first line, whatever line the level belongs to. The
+    credit card's score is a whole number.
     """
     c = F.col
     on = lambda name: c(name) == 1
@@ -172,6 +179,10 @@ def level_rules(
     rich = (c("avg_balance_3m") > min_balance) | (c("sum_sent_3m") > min_sent)
     owns, saves = f"only_deposit_{line}", f"only_savings_{line}"
 
+    def without(product: str, of: str) -> Column:
+        held = lines if level == first_line_level else (of,)
+        return reduce(Column.__and__, [off(f"only_{product}_{x}") for x in held])
+
     def value(product: str) -> Column:
         return F.lit(float(values[product]))
 
@@ -186,10 +197,10 @@ def level_rules(
             value("card"),
         ),
         ScoreRule(f"score_metal_card_{level}", on("metal_card") & paying & (card > 0), card, off("metal_card") & fees, value("card")),
-        ScoreRule(f"score_deposit_{level}", off(owns) & (deposit > 0), deposit, off(owns) & rich, value("deposit")),
+        ScoreRule(f"score_deposit_{level}", off(owns) & (deposit > 0), deposit, without("deposit", line) & rich, value("deposit")),
         ScoreRule(
             f"score_savings_{level}", off(saves) & (savings > 0), savings,
-            off(saves) & (c("avg_balance_3m") > min_balance), value("savings"),
+            without("savings", lines[0]) & (c("avg_balance_3m") > min_balance), value("savings"),
         ),
         ScoreRule(
             f"score_metal_account_{level}", F.lit(False), zero, on("metal_account") | on("coins"),
@@ -204,9 +215,9 @@ def level_rules(
         ),
     ]
     if lending:
-        for product in ("credit_card", "loan"):
+        for product, digits in (("credit_card", 0), ("loan", 4)):
             share = F.when(on(product), 0.1).when(off(product), 0.2)
-            rules.append(ScoreRule(f"score_{product}_{level}", F.lit(False), zero, share.isNotNull(), value(product) * share, value_weight=1.0))
+            rules.append(ScoreRule(f"score_{product}_{level}", F.lit(False), zero, share.isNotNull(), value(product) * share, value_weight=1.0, digits=digits))
     return rules
 
 

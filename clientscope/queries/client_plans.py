@@ -104,18 +104,19 @@ def rollup_sql():
         k = min(n, 5)
         rubles = ["transfer", "card", "deposit"] + (["savings"] if k >= 2 else [])
         for kind, names in (("rubles", rubles), ("bonuses", ["bonus", "grocery"])):
-            out.append("round(" + " + ".join(f"coalesce({x}_{k}, 0)" for x in names) + f") as sum_benefit_{kind}_lvl{n}")
+            out.append("round(sum(" + " + ".join(f"coalesce({x}_{k}, 0)" for x in names) + f")) as sum_benefit_{kind}_lvl{n}")
     return ", ".join(out)
 
 
 @query(
     "client_benefit_rollup",
-    fx.with_views("tags pos_tx", FREE_SQL, BENEFIT_SQL, f"sums as (select epk, {rollup_sql()} from ben)")
+    fx.with_views("tags pos_tx", FREE_SQL, BENEFIT_SQL, f"rows2 as (select * from ben union all select * from ben where epk % 5 = 0), sums as (select epk, {rollup_sql()} from rows2 group by epk)")
     + "select free.epk, approval_level, sums.* exclude (epk) from free left join sums on sums.epk = free.epk",
 )
 def client_benefit_rollup(spark, sf):
-    """Rows with more than one client row per report date would be summed; the stand-in has one."""
-    wide = benefit_wide(spark, sf).withColumns({"report_dt": F.lit(A).cast("date"), "death_flag": F.lit(0)})
+    """Every fifth client has two rows at the report date, which are summed."""
+    one = benefit_wide(spark, sf)
+    wide = one.unionByName(one.where("epk % 5 = 0")).withColumns({"report_dt": F.lit(A).cast("date"), "death_flag": F.lit(0)})
     clients = tiers.free_tier(fx.tags(spark, sf), LEVEL_TAGS).select("epk", "approval_level")
     kinds = {
         "rubles": ["transfer_{level}", "card_{level}", "deposit_{level}", "savings_{level}"],
@@ -301,7 +302,7 @@ def score_frame_sql():
         "case when notify_fee > 50000 then 1 else 0 end as notify_fee, case when cash_fee > 100000 then 1 else 0 end as cash_fee, "
         "prime as subscription, prime_plus as subscription_plus, coins_flag as coins, sticker_flag as metal_account, metal_flag as metal_card, "
         "avg_balance_3m, sum_sent_3m, avg_balance_3m as avg_spend_3m, tag_view_7 as card, tag_click_8 as bonus, tag_view_7 as credit_card, "
-        f"tag_click_8 as loan, only_first, only_second, saves_first, saves_second, {b} "
+        f"tag_click_8 as loan, only_first, only_second, only_third, saves_first, saves_second, saves_third, {b} "
         "from f left join ben on ben.epk = f.epk)"
     )
 
@@ -311,14 +312,17 @@ def level_sql(n, line, lending):
     paying = "(notify_fee = 1 or cash_fee = 1)"
     sub = "(subscription = 1 or subscription_plus = 1)"
     w = (0.6, 0.5) if n == 1 else (0.5, 0.6)
+    none = "{0}_first = 0 and {0}_second = 0 and {0}_third = 0"
+    no_deposit = none.format("only") if n == 1 else f"only_{line} = 0"
+    no_savings = none.format("saves") if n == 1 else "saves_first = 0"
     out = [
         f"""case when card = 1 and (subscription = 0 or subscription_plus = 0 or {paying}) and card_{n} > 0 then card_{n}
             when card = 0 and {fees} then round(card_{n} * 0.4::double + 0.6::double * 1, 4) else 1.0 end as score_card_{n}""",
         f"""case when metal_card = 1 and {paying} and card_{n} > 0 then card_{n}
             when metal_card = 0 and {fees} then round(card_{n} * 0.4::double + 0.6::double * 1, 4) else 1.0 end as score_metal_card_{n}""",
-        f"""case when only_{line} = 0 and deposit_{n} > 0 then deposit_{n} when only_{line} = 0 and (avg_balance_3m > 50000 or sum_sent_3m > 50000)
+        f"""case when only_{line} = 0 and deposit_{n} > 0 then deposit_{n} when {no_deposit} and (avg_balance_3m > 50000 or sum_sent_3m > 50000)
             then round(deposit_{n} * 0.4::double + 0.6::double * 2, 4) else 1.0 end as score_deposit_{n}""",
-        f"""case when saves_{line} = 0 and savings_{n} > 0 then savings_{n} when saves_{line} = 0 and avg_balance_3m > 50000
+        f"""case when saves_{line} = 0 and savings_{n} > 0 then savings_{n} when {no_savings} and avg_balance_3m > 50000
             then round(savings_{n} * 0.4::double + 0.6::double * 6, 4) else 1.0 end as score_savings_{n}""",
         f"""case when metal_account = 1 then round({w[0]}::double * 9, 4) when coins = 1 then round({w[1]}::double * 9, 4)
             else 1.0 end as score_metal_account_{n}""",
@@ -329,7 +333,7 @@ def level_sql(n, line, lending):
     ]
     if lending:
         out += [
-            "case when credit_card = 1 then round(0.1::double * 8, 4) else round(0.2::double * 8, 4) end" + f" as score_credit_card_{n}",
+            "case when credit_card = 1 then round(0.1::double * 8) else round(0.2::double * 8) end" + f" as score_credit_card_{n}",
             f"case when loan = 1 then round(0.1::double * 10, 4) else round(0.2::double * 10, 4) end as score_loan_{n}",
         ]
     return out
@@ -352,8 +356,8 @@ def core_product_scores(spark, sf):
         c("sticker_flag").alias("metal_account"), c("metal_flag").alias("metal_card"), "avg_balance_3m", "sum_sent_3m",
         c("avg_balance_3m").alias("avg_spend_3m"), c("tag_view_7").alias("card"), c("tag_click_8").alias("bonus"),
         c("tag_view_7").alias("credit_card"), c("tag_click_8").alias("loan"),
-        *[c(f"only_{x}").alias(f"only_deposit_{x}") for x in ("first", "second")],
-        *[c(f"saves_{x}").alias(f"only_savings_{x}") for x in ("first", "second")],
+        *[c(f"only_{x}").alias(f"only_deposit_{x}") for x in ("first", "second", "third")],
+        *[c(f"saves_{x}").alias(f"only_savings_{x}") for x in ("first", "second", "third")],
         *[null_safe_sum([f"{p}_{n}"]).alias(f"{p}_{n}") for p in ("card", "deposit", "savings", "bonus", "transfer") for n in BRANDS],
     )
     rules = [

@@ -145,7 +145,7 @@ def channel_sales_extract(spark, sf):
                   from (select *, cast(json_extract_string(props, '$.k') as int) as k from events))
        select epk, count(*) as offers from o where split not in ('error', 'signup') and coalesce(product_type, '') not in ('type3')
        and campaign in ('camp1', 'camp2', 'camp3', 'camp4') and (product_type is null or product_type in ('type1', 'type5', 'type7'))
-       and days_to_sale <= 10 and offered in (1, 0) and accepted = 1 group by epk""",
+       and days_to_sale <= 10 and offered = 1 and accepted = 1 group by epk""",
 )
 def telemarketing_filter(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
@@ -153,7 +153,7 @@ def telemarketing_filter(spark, sf):
         F.col("user_id").alias("epk"), F.col("event_type").alias("split"),
         F.when(k % 10 != 0, F.concat(F.lit("type"), k % 10)).alias("product_type"),
         F.when(k % 7 != 0, F.concat(F.lit("camp"), k % 7)).alias("campaign"), (k % 30).alias("days_to_sale"),
-        (k % 2).alias("marker"), F.lit(1).alias("offered"), F.when(F.col("value") > 30, 1).otherwise(0).alias("accepted"),
+        (k % 2).alias("offered"), F.when(F.col("value") > 30, 1).otherwise(0).alias("accepted"),
     )
     return t.campaign_contacts(
         offers, ["error", "signup"], ["type3"], [None, "type1", "type5", "type7"], ["camp1", "camp2", "camp3", "camp4"]

@@ -20,28 +20,30 @@ def overwrite(df: DataFrame, target: str, partition_by: str | None = None) -> Da
     return df.sparkSession.table(target)
 
 
-def replace_period(df: DataFrame, target: str, period: str = "report_dt") -> DataFrame:
+def replace_period(df: DataFrame, target: str, period: str = "report_dt", salts: int = 8) -> DataFrame:
     """Write the periods present in ``df`` and leave all others: running it twice changes nothing.
 
     ``target`` is a path or a table partitioned by the period. Only the touched partitions are rewritten; history is
-    neither read nor copied.
+    neither read nor copied. Rows are clustered by period first, so that a period gets ``salts`` files and not one from
+    every task. The overwrite mode is an option of this write alone; the session and other writers are left alone.
     """
     spark = df.sparkSession
+    clustered = df.repartition(F.col(period), F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+
+    def write(path: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(path)
+
     if "/" in target:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(target)
+        write(target, clustered)
         return spark.read.parquet(target)
     if not spark.catalog.tableExists(target):
-        df.write.partitionBy(period).format("parquet").saveAsTable(target)
+        clustered.write.partitionBy(period).format("parquet").saveAsTable(target)
         return spark.table(target)
-    # An insert into a table takes the overwrite mode from the session alone; a writer option would be ignored and
-    # the whole table replaced.
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
-    try:
-        df.select(*spark.table(target).columns).write.insertInto(target, overwrite=True)
-    finally:
-        spark.conf.set(setting, before)
+    # An insert into a table takes the overwrite mode from the session; the table's folder takes it from the writer.
+    folder = spark.sql(f"describe formatted {target}").where("col_name = 'Location'").first()["data_type"]
+    write(folder, clustered.select(*spark.table(target).columns))
+    spark.catalog.recoverPartitions(target)
+    spark.catalog.refreshTable(target)
     return spark.table(target)
 
 

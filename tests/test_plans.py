@@ -226,3 +226,49 @@ def test_group_filter(spark, threshold):
 def test_visit_counts_include_the_first_day(spark):
     v = spark.createDataFrame([(1, dt.date(2026, 1, 30)), (1, dt.date(2026, 1, 29)), (2, dt.date(2020, 1, 1))], "epk long, dt date")
     assert [tuple(r) for r in features.visit_counts(v, [A]).collect()] == [(1, dt.date(2026, 4, 30), 1, 2)]
+
+
+def test_closed_tags_do_not_count(spark):
+    from clientscope.plans import tiers
+    from clientscope.queries.client_plans import LEVEL_TAGS
+
+    tag = LEVEL_TAGS[6][0]
+    rows = [(1, tag, "9999-12-31", 0), (2, tag, "2024-01-05", 0), (3, tag, "9999-12-31", 1)]
+    history = spark.createDataFrame(rows, "epk long, nsi_id string, row_actual_to_dt string, is_deleted int")
+    assert {r.epk for r in tiers.free_tier(history, LEVEL_TAGS).collect()} == {1}
+    opened = history.withColumn("row_actual_to_dt", F.lit("9999-12-31"))
+    assert {r.epk for r in tiers.free_tier(opened, LEVEL_TAGS).collect()} == {1, 2}
+
+
+def test_first_level_looks_at_all_lines(spark):
+    names = "card metal_card subscription subscription_plus service_fee notify_fee cash_fee transfer bonus metal_account coins credit_card loan".split()
+    base = {n: 0 for n in names} | {f"only_{p}_{x}": 0 for p in ("deposit", "savings") for x in ("first", "second", "third")}
+    base |= {"avg_balance_3m": 60_000, "sum_sent_3m": 0, "avg_spend_3m": 0}
+    base |= {f"{p}_{n}": 0 for p in ("card", "deposit", "savings", "bonus", "transfer") for n in (1, 4)}
+    rows = [base | {"epk": 1}, base | {"epk": 2, "only_deposit_second": 1, "only_savings_third": 1}, base | {"epk": 3, "only_savings_first": 1}]
+    values = {"card": 1, "deposit": 2, "savings": 6, "metal_account": 9, "credit_card": 8, "loan": 10}
+    rules = core_products.level_rules(1, "first", values) + core_products.level_rules(4, "second", values, lending=True)
+    got = {r.epk: r for r in core_products.product_scores(spark.createDataFrame(rows), rules).collect()}
+    assert (got[1].score_deposit_1, got[1].score_savings_1) == (1.2, 3.6) and (got[2].score_deposit_1, got[2].score_savings_1) == (1.0, 1.0)
+    assert got[1].score_savings_4 == 3.6 and got[3].score_savings_4 == 1.0 and got[1].score_credit_card_4 == 2.0
+
+
+def test_two_writers_replace_periods_at_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from clientscope.session import new_path
+    from clientscope.sources.sinks import replace_period
+
+    def rows(month, v):
+        return spark.createDataFrame([(i, month, v) for i in range(20)], "epk long, report_dt string, v int")
+
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    paths = [new_path(spark, "periods"), new_path(spark, "periods")]
+    for p in paths:
+        replace_period(rows("2024-01-31", 1).unionByName(rows("2024-02-29", 1)), p)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda p: replace_period(rows("2024-02-29", 2), p), paths))
+    for p in paths:
+        got = spark.read.parquet(p).groupBy("report_dt").agg(F.sum("v").alias("v")).collect()
+        assert {str(r.report_dt): r.v for r in got} == {"2024-01-31": 20, "2024-02-29": 40}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clientscope.ml.evaluate import auc_one_vs_rest, roc_auc
 from clientscope.ml.split import month_folds
+from clientscope.operators.ranking import present
 
 # Trial rejected when training AUC exceeds validation AUC by more than this.
 BINARY_GAP, MULTICLASS_GAP = 0.01, 0.02
@@ -42,8 +43,14 @@ def ordinal_encode(train: DataFrame, frames: Sequence[DataFrame], cols: Sequence
     return [encoded(f) for f in frames]
 
 
+#: Missing values stand below all others, so that a tree can set them apart by one split.
+MISSING = -1e30
+
+
 def assembled(df: DataFrame, features: Sequence[str], label: str, *keep: str) -> DataFrame:
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df)
+    """Feature vectors; a null or NaN feature becomes MISSING."""
+    whole = df.withColumns({f: F.when(present(f), F.col(f).cast("double")).otherwise(MISSING) for f in features})
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(whole)
     return vectors.select("features", F.col(label).cast("double").alias("label"), *keep)
 
 
@@ -101,8 +108,11 @@ def binary_auc(model: Model, df: DataFrame, features: Sequence[str], label: str)
 def multiclass_auc(model: Model, df: DataFrame, features: Sequence[str], label: str, classes: int) -> float:
     scored = predict(model, df, features, label)
     wide = scored.select(F.col("label").cast("int").alias("y"), *[F.col("proba")[k].alias(f"p{k}") for k in range(classes)])
-    rows = auc_one_vs_rest(wide, "y", {k: f"p{k}" for k in range(classes)}).where("name = 'macro'")
-    return rows.head()["auc"]
+    wide = wide.persist(StorageLevel.MEMORY_AND_DISK)  # read several times; a lost block is predicted again
+    try:
+        return auc_one_vs_rest(wide, "y", {k: f"p{k}" for k in range(classes)}).where("name = 'macro'").head()["auc"]
+    finally:
+        wide.unpersist()
 
 
 def one_vs_rest(rounds: int = 20, depth: int = 3, parallelism: int = 4) -> OneVsRest:

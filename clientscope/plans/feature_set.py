@@ -57,9 +57,7 @@ def blocks(spark: SparkSession, tables: Mapping[str, str], mode: str = "correct"
         return ft.arrests(t, facts, "amount", mode)
 
     def visits(t: DataFrame) -> DataFrame:
-        # The report dates of a target are its few month ends.
-        dates = [str(r[0]) for r in t.select("report_dt").distinct().orderBy("report_dt").collect()]
-        return ft.visit_counts(read("visits").withColumnRenamed("day_part", "dt"), dates)
+        return ft.visit_counts(t, read("visits").withColumnRenamed("day_part", "dt"))
 
     built: dict[str, tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]] = {
         "agg": (("agg",), lambda t: ft.snapshot(t, read("agg"))),

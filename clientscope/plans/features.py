@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +15,7 @@ from clientscope.functions.columns import fix_types, select_by_pattern
 from clientscope.functions.dates import day, shift_month_end
 from clientscope.functions.numbers import null_safe_sum, safe_ratio
 from clientscope.operators.joins import assemble, left_chain
+from clientscope.operators.ranking import present
 from clientscope.operators.rolling import rolling_windows
 
 KEYS = ("epk", "report_dt")
@@ -81,6 +82,15 @@ def _within_reach(df: DataFrame, target: DataFrame, months_back: int = 0) -> Dat
     return df.where(F.col("report_dt").between(first, reach.select("hi").scalar()))
 
 
+def _days_within_reach(
+    df: DataFrame, col: str, target: DataFrame, first: Callable[[Column], Column], last: Callable[[Column], Column] = lambda x: x
+) -> DataFrame:
+    """Rows whose stored date lies between a bound from the first target date and one from the last."""
+    reach = target.agg(F.min("report_dt").alias("lo"), F.max("report_dt").alias("hi"))
+    lo, hi = reach.select(first(F.col("lo"))).scalar(), reach.select(last(F.col("hi"))).scalar()
+    return df.where(F.col(col).between(lo, hi))
+
+
 def snapshot(target: DataFrame, source: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Snapshot rows at the target month ends. Only months within the target's are read, whichever join is chosen."""
     t = target.select(*KEYS).distinct()
@@ -97,6 +107,8 @@ def arrests(
     Ratios exist between the windows from three months on. In ``compat`` mode a target needs a row in its own month.
     """
     name = "val_arrests"
+    if prune is True:
+        facts = _days_within_reach(facts, "dt", target, lambda x: F.trunc(F.add_months(x, -11), "MM"), F.last_day)
     hist = month_end_rollup(facts, value, name)
     cols = [f"sum_{name}", f"qty_{name}"]
     out = rolling_windows(target, hist, cols, windows=(1, 3, 6, 9, 12), mode=mode, prune=prune)
@@ -129,27 +141,23 @@ def counter_windows(
     return joined.groupBy(*KEYS).agg(*sums)
 
 
-def visit_counts(visits: DataFrame, dates: Sequence[str], windows: Sequence[int] = (3, 12)) -> DataFrame:
-    """Visits in the last months for each report date. All dates and windows are counted in one aggregation."""
+def visit_counts(target: DataFrame, visits: DataFrame, windows: Sequence[int] = (3, 12)) -> DataFrame:
+    """Visits in the last months before each target date, for targets that have any.
+
+    Visits are counted per client and day before they meet the target, and only days a target can reach are read.
+    """
+    t = target.select(*KEYS).distinct()
     widest = max(windows)
+    reachable = _days_within_reach(visits, "dt", target, lambda first: F.add_months(first, -widest))
+    days = reachable.groupBy(F.col("epk").alias("__k"), F.col("dt").alias("__dt")).agg(F.count(F.lit(1)).alias("__n"))
 
-    def name(i: int, w: int) -> str:
-        return f"c{i}_{w}"
+    def since(w: int) -> Column:
+        return F.col("__dt") >= F.add_months("report_dt", -w)
 
-    counts = [
-        F.count(F.when(F.col("dt").between(F.add_months(day(x), -w), day(x)), 1)).alias(name(i, w))
-        for i, x in enumerate(dates)
-        for w in windows
-    ]
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(day(x).alias("report_dt"), *[F.col(name(i, w)).alias(f"visits_{w}m") for w in windows])
-                for i, x in enumerate(dates)
-            ]
-        )
+    joined = t.join(days, (F.col("epk") == F.col("__k")) & since(widest) & (F.col("__dt") <= F.col("report_dt")))
+    return joined.groupBy(*KEYS).agg(
+        *[F.coalesce(F.sum(F.when(since(w), F.col("__n"))), F.lit(0)).alias(f"visits_{w}m") for w in windows]
     )
-    return visits.groupBy("epk").agg(*counts).select("epk", rows.alias("r")).select("epk", "r.*").where(f"visits_{widest}m > 0")
 
 
 def flow_ratios(
@@ -224,14 +232,18 @@ def dynamics_by_schema(
 
 
 def lagged_embeddings(target: DataFrame, source: DataFrame, months: int = 1) -> DataFrame:
-    """Embeddings moved to the month end before their date and joined to the target."""
-    moved = source.withColumn("report_dt", shift_month_end(F.col("report_dt"), -months))
+    """Embeddings moved to the month end before their date and joined to the target; only dates that can match are read."""
+    reachable = _days_within_reach(
+        source, "report_dt", target, lambda x: F.trunc(F.add_months(x, months), "MM"), lambda x: F.last_day(F.add_months(x, months))
+    )
+    moved = reachable.withColumn("report_dt", shift_month_end(F.col("report_dt"), -months))
     return target.select(*KEYS).distinct().join(moved, list(KEYS))
 
 
 def monthly_embeddings(target: DataFrame, source: DataFrame, month: str = "mon") -> DataFrame:
-    """Embeddings dated by month end; rows with another day in the month match no target."""
-    moved = source.withColumn("report_dt", F.to_date(month)).where(F.col("report_dt") == F.last_day("report_dt"))
+    """Embeddings dated by month end; rows with another day in the month match no target and dates out of reach are not read."""
+    reachable = _days_within_reach(source, month, target, lambda x: x)
+    moved = reachable.withColumn("report_dt", F.to_date(month)).where(F.col("report_dt") == F.last_day("report_dt"))
     return target.select(*KEYS).distinct().join(moved.drop(month), list(KEYS))
 
 
@@ -264,10 +276,38 @@ def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name not in skip]
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str]):
-    """Pearson matrix over all rows, computed on the executors; only the p x p result comes to the driver."""
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="v", handleInvalid="error").transform(df.select(*cols))
-    return Correlation.corr(vectors.select("v"), "v", "pearson").head()[0].toArray()
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Pearson matrix; each pair over the rows that have both values. NaN where a column does not vary.
+
+    Every task reduces its rows to the sums of all pairs, which are added up by pair; only the p x p result comes to the
+    driver. Values are taken relative to the column's mean, so that large values do not cancel.
+    """
+    values = [F.when(present(c), F.col(c).cast("double")) for c in cols]
+    means = df.agg(*[F.coalesce(F.avg(v), F.lit(0.0)).alias(f"m{i}") for i, v in enumerate(values)]).first()
+    flat = df.select(*[(v - F.lit(float(m))).alias(f"v{i}") for i, (v, m) in enumerate(zip(values, means))])
+    p = len(cols)
+    at = np.indices((p, p)).reshape(2, -1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            has = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += np.stack([has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x])
+        parts = [pa.array(a) for a in (*at.astype(np.int32), *total.reshape(4, -1))]
+        yield pa.RecordBatch.from_arrays(parts, names=["i", "j", "n", "s", "q", "xy"])
+
+    names = ("n", "s", "q", "xy")
+    rows = flat.mapInArrow(sums, "i int, j int, n double, s double, q double, xy double")
+    found = rows.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+    n, s, q, xy = (np.zeros((p, p)) for _ in names)
+    for matrix, c in zip((n, s, q, xy), names):
+        matrix[found["i"], found["j"]] = found[c]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = xy - s * s.T / n
+        spread = (q - s * s / n) * (q.T - s.T * s.T / n)
+        return np.where(spread > 0, cov / np.sqrt(spread), np.nan)
 
 
 def correlated_pairs(df: DataFrame, cols: Sequence[str], threshold: float) -> DataFrame:
@@ -302,15 +342,16 @@ def drop_correlated_groups(df: DataFrame, threshold: float, skip: Sequence[str]
         return df
     m = abs(correlation_matrix(df, cols))
     group = list(range(len(cols)))
-    changed = True
-    while changed:  # labels settle on the smallest index of each connected group
-        changed = False
-        for i in range(len(cols)):
-            linked = [group[j] for j in range(len(cols)) if j == i or m[i][j] > threshold]
-            low = min(linked)
-            for j in range(len(cols)):
-                if (j == i or m[i][j] > threshold) and group[j] != low:
-                    group[j], changed = low, True
+
+    def top(x: int) -> int:
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(m > threshold, 1))):
+        a, b = top(int(i)), top(int(j))
+        group[max(a, b)] = min(a, b)
+    group = [top(i) for i in range(len(cols))]
     weight = [sum(x for x in row if not math.isnan(x)) for row in m]
     best = {g: max((i for i in range(len(cols)) if group[i] == g), key=lambda i: (weight[i], -i)) for g in set(group)}
     keep = {cols[i] for i in best.values()}

@@ -206,8 +206,9 @@ def agg_call_status(spark, sf):
 )
 def agg_period_counts(spark, sf):
     from clientscope.plans.features import visit_counts
+    from clientscope.queries.rolling import every_client
 
-    return visit_counts(fx.pos_tx(spark, sf, "1997-10-31", fx.ANCHOR).select("epk", "dt"), fx.REPORT_MONTHS)
+    return visit_counts(every_client(spark, sf), fx.pos_tx(spark, sf).select("epk", "dt"))
 
 
 @query(

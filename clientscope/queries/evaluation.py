@@ -139,16 +139,16 @@ def eval_best_fbeta(spark, sf):
 @query(
     "eval_feature_class_means",
     fx.with_views("features_wide")
-    + "select target, " + ", ".join(f"round(avg(case when f{k} > -1 and f{k} < 100000000 then f{k} end), 6) as f{k}" for k in range(16))
+    + "select target, " + ", ".join(f"round(avg(case when f{k} > -1 and f{k} < 100000000 then f{k} end), 6) as f{k}" for k in range(64))
     + " from features_wide group by target",
 )
 def eval_feature_class_means(spark, sf):
-    names = [f"f{k}" for k in range(16)]
-    means = masked_means(fx.features_wide(spark, sf, 16), "target", names)
+    names = [f"f{k}" for k in range(64)]
+    means = masked_means(fx.features_wide(spark, sf), "target", names)
     return means.select("target", *[F.round(c, 6).alias(c) for c in names])
 
 
-HIST_SQL = " union all ".join(f"select target, 'f{k}' as feature, f{k} as value from features_wide" for k in range(8))
+HIST_SQL = " union all ".join(f"select target, 'f{k}' as feature, f{k} as value from features_wide" for k in range(64))
 
 
 @query(
@@ -159,7 +159,7 @@ HIST_SQL = " union all ".join(f"select target, 'f{k}' as feature, f{k} as value
          from b group by 1, 2, 3""",
 )
 def eval_class_histogram(spark, sf):
-    return ev.class_histogram(fx.features_wide(spark, sf, 8), "target", [f"f{k}" for k in range(8)], -0.5, 0.5, 20)
+    return ev.class_histogram(fx.features_wide(spark, sf), "target", [f"f{k}" for k in range(64)], -0.5, 0.5, 20)
 
 
 @query(

@@ -125,7 +125,7 @@ def ml_param_search(spark, sf):
 def dated_features(spark, sf):
     """Features spread over three month ends by key."""
     month = F.element_at(F.array(*[F.lit(x).cast("date") for x in fx.REPORT_MONTHS]), (F.col("epk") % 3 + 1).cast("int"))
-    return fx.features_wide(spark, sf, 16).withColumn("report_dt", month)
+    return fx.features_wide(spark, sf).withColumn("report_dt", month)
 
 
 @query(
@@ -141,7 +141,7 @@ def ml_time_folds(spark, sf):
 @query("ml_time_fold_fits")
 def ml_time_fold_fits(spark, sf):
     """One fit per fold; only the metrics are kept."""
-    names = [f"f{k}" for k in range(16)]
+    names = MULTI
     rows = []
     for fold, train, valid in m.fold_frames(dated_features(spark, sf), fx.REPORT_MONTHS):
         model = m.fit(m.forest(trees=10), train, names, "target")

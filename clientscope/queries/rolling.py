@@ -165,7 +165,16 @@ DATES_SQL = "d as (select unnest([date '1998-10-31', date '1998-11-30', date '19
 
 @query("feat_visit_counts", fx.with_views("acq_tx", DATES_SQL) + VISITS_SQL)
 def feat_visit_counts(spark, sf):
-    return ft.visit_counts(fx.acq_tx(spark, sf, "1997-10-31", fx.ANCHOR).select("epk", "dt"), fx.REPORT_MONTHS)
+    return visits(spark, sf, every_client(spark, sf))
+
+
+def every_client(spark, sf):
+    dates = F.explode(F.array(*[F.lit(x).cast("date") for x in fx.REPORT_MONTHS])).alias("report_dt")
+    return fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("epk"), dates)
+
+
+def visits(spark, sf, target):
+    return ft.visit_counts(target, fx.acq_tx(spark, sf).select("epk", "dt"))
 
 
 FLOW_SQL = """f as (select epk, report_dt, amt, qty, amt / nullif(qty - 30, 0) as per_qty, cnt / nullif(qty, 0) as cnt_share,
@@ -177,9 +186,13 @@ FLOW_OUT = "select t.epk, t.report_dt, " + ", ".join(
 
 @query("feat_flow_ratios", fx.with_views("snap_sup", TARGET_SUP, FLOW_SQL) + FLOW_OUT + JOIN_SUP.replace("snap_sup", "f"))
 def feat_flow_ratios(spark, sf):
+    return flows(spark, sf, target_sup(spark, sf))
+
+
+def flows(spark, sf, target):
     source = fx.snap_sup(spark, sf, *HISTORY).withColumn("base", F.col("qty") - 30)
     out = ft.flow_ratios(
-        target_sup(spark, sf), source, ["amt", "qty"], {"per_qty": ("amt", "base"), "cnt_share": ("cnt", "qty")}, ["amt", "qty"],
+        target, source, ["amt", "qty"], {"per_qty": ("amt", "base"), "cnt_share": ("cnt", "qty")}, ["amt", "qty"],
         prune=False,
     )
     return rounded(out)
@@ -243,11 +256,11 @@ def dated_embeddings(spark, sf):
     return e.select(
         F.col("vec_id").alias("epk"),
         F.when(e.vec_id % 2 == 0, F.lit("1999-01-31")).otherwise(F.lit("1998-12-31")).cast("date").alias("report_dt"),
-        *[F.col("embedding")[k].cast("double").alias(f"emb{k}") for k in range(8)],
+        *[F.col("embedding")[k].cast("double").alias(f"emb{k}") for k in range(64)],
     )
 
 
-EMB_COLS = ", ".join(f"cast(embedding[{k + 1}] as double) as emb{k}" for k in range(8))
+EMB_COLS = ", ".join(f"cast(embedding[{k + 1}] as double) as emb{k}" for k in range(64))
 
 
 @query(
@@ -281,8 +294,8 @@ def feature_blocks(spark, sf):
     snap = fx.snap_sup(spark, sf, *HISTORY)
     return {
         "snapshot": lambda t: ft.snapshot(t, snap).withColumn("amt", F.round("amt", 2)),
-        "flows": lambda t: feat_flow_ratios(spark, sf),
-        "visits": lambda t: feat_visit_counts(spark, sf),
+        "flows": lambda t: flows(spark, sf, t),
+        "visits": lambda t: visits(spark, sf, t),
     }
 
 

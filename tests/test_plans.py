@@ -224,8 +224,9 @@ def test_group_filter(spark, threshold):
 
 
 def test_visit_counts_include_the_first_day(spark):
+    t = spark.createDataFrame([(1, A)], "epk long, report_dt string").withColumn("report_dt", F.col("report_dt").cast("date"))
     v = spark.createDataFrame([(1, dt.date(2026, 1, 30)), (1, dt.date(2026, 1, 29)), (2, dt.date(2020, 1, 1))], "epk long, dt date")
-    assert [tuple(r) for r in features.visit_counts(v, [A]).collect()] == [(1, dt.date(2026, 4, 30), 1, 2)]
+    assert [tuple(r) for r in features.visit_counts(t, v).collect()] == [(1, dt.date(2026, 4, 30), 1, 2)]
 
 
 def test_closed_tags_do_not_count(spark):
@@ -272,3 +273,30 @@ def test_two_writers_replace_periods_at_once(spark):
         got = spark.read.parquet(p).groupBy("report_dt").agg(F.sum("v").alias("v")).collect()
         assert {str(r.report_dt): r.v for r in got} == {"2024-01-31": 20, "2024-02-29": 40}
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+
+
+def test_correlations_use_the_rows_that_have_both_values(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame(rng.normal(size=(400, 5)), columns=list("abcde"))
+    x["b"] = x["a"] * 0.9 + x["b"] * 0.2 + 1e6
+    x["e"] = 7.0
+    x = x.mask(rng.random(x.shape) < 0.2)
+    df = spark.createDataFrame(x).withColumn("c", F.when(F.col("c") > 1.5, None).otherwise(F.col("c")))
+    want = x.assign(c=x["c"].where(~(x["c"] > 1.5))).corr().to_numpy()
+    got = features.correlation_matrix(df, list("abcde"))
+    assert np.allclose(got[:4, :4], want[:4, :4], atol=1e-9) and np.isnan(got[4]).all()
+    assert len(features.drop_correlated_groups(df, 0.8, ()).columns) == 4
+    kept = features.drop_correlated_greedy(df, 0.8, ()).columns
+    assert kept == ["a", "c", "d", "e"]
+
+
+def test_missing_features_do_not_stop_a_model(spark):
+    from clientscope.ml import models as m
+
+    rows = [(i, float(i % 2), None if i % 7 == 0 else float(i % 2), float("nan") if i % 5 == 0 else 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "epk long, target double, x double, y double")
+    model = m.fit(m.forest(trees=3, depth=2), df, ["x", "y"], "target")
+    assert m.predict(model, df, ["x", "y"], "target", "epk").count() == 60

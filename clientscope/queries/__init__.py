@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "scans", "predicates", "joins", "aggregates", "windows", "scalars", "rolling", "client_plans", "category_plans",
-    "targets", "evaluation", "models", "quality",
+    "targets", "evaluation", "models", "quality", "chain",
 )
 
 

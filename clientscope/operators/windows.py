@@ -14,7 +14,8 @@ from clientscope.functions.numbers import gap_percent
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
     """One row per key: the largest by ``order`` (compared left to right), ties by the columns themselves.
 
-    ``max`` of a struct combines map-side, so unlike ``row_number() = 1`` it never sorts all rows of a key in one task.
+    ``max`` of a struct combines map-side, so unlike ``row_number() = 1`` a heavy key reaches the shuffle as one row per
+    task. With strings in the struct each map task sorts its own rows for that.
     """
     ordered = F.struct(*[o.alias(f"__o{i}") for i, o in enumerate(order)], *[F.col(c) for c in cols])
     best = df.groupBy(*keys).agg(F.max(ordered).alias("__b"))

@@ -209,7 +209,7 @@ def dynamics_by_schema(
     source: DataFrame,
     wanted: Sequence[str] | None = None,
     mode: str = "correct",
-    columns_per_pass: int | None = None,
+    columns_per_pass: int = 200,
     prune: bool | tuple[str, str] = True,
 ) -> DataFrame:
     """Four rolling sums and six ratios of every column whose name passes the pattern.
@@ -222,7 +222,7 @@ def dynamics_by_schema(
     if wanted is not None:
         stems = {w.rsplit("_sum_", 1)[0] for w in wanted if "_sum_" in w}
         cols = [c for c in cols if c in stems]
-    step = columns_per_pass or max(len(cols), 1)
+    step = columns_per_pass
     passes = [
         rolling_windows(target, source.select(*KEYS, *part), part, aggs=("sum",), mode=mode, prune=prune)
         for part in (cols[i : i + step] for i in range(0, len(cols), step))

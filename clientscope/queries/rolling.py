@@ -143,17 +143,23 @@ def feat_arrests_rolling_compat(spark, sf):
     return rounded(ft.arrests(target_cust(spark, sf), arrest_facts(spark, sf), "v", mode="compat", prune=False))
 
 
-@query(
-    "feat_feedback_windows",
-    fx.with_views("snap_cust", TARGET_CUST)
-    + """select t.epk, t.report_dt, cast(coalesce(sum(s.cnt), 0) as bigint) as pfm_cnt_12m, round(coalesce(sum(s.amt), 0), 2) as pfm_amt_12m,
+FEEDBACK_SQL = """select t.epk, t.report_dt, cast(coalesce(sum(s.cnt), 0) as bigint) as pfm_cnt_12m, round(coalesce(sum(s.amt), 0), 2) as pfm_amt_12m,
                 cast(coalesce(sum(s.cnt) filter (s.report_dt >= cast(t.report_dt - interval 2 month as date)), 0) as bigint) as pfm_cnt_3m,
                 round(coalesce(sum(s.amt) filter (s.report_dt >= cast(t.report_dt - interval 2 month as date)), 0), 2) as pfm_amt_3m
          from t left join snap_cust s on s.epk = t.epk and s.report_dt <= t.report_dt
-              and s.report_dt >= cast(t.report_dt - interval 11 month as date) group by 1, 2""",
+              and s.report_dt >= cast(t.report_dt - interval 11 month as date) group by 1, 2"""
+
+
+@query(
+    "feat_feedback_windows",
+    fx.with_views("snap_cust", TARGET_CUST) + FEEDBACK_SQL,
 )
 def feat_feedback_windows(spark, sf):
-    out = ft.counter_windows(target_cust(spark, sf), fx.snap_cust(spark, sf, *HISTORY), ["cnt", "amt"])
+    return feedbacks(spark, sf, target_cust(spark, sf))
+
+
+def feedbacks(spark, sf, target):
+    out = ft.counter_windows(target, fx.snap_cust(spark, sf, *HISTORY), ["cnt", "amt"])
     return out.select(*[F.round(c, 2).alias(c) if "amt" in c else F.col(c) for c in out.columns])
 
 
@@ -304,6 +310,49 @@ def feat_assemble(spark, sf):
     return ft.all_features(target_sup(spark, sf), feature_blocks(spark, sf))[0]
 
 
+FULL_SQL = {
+    "snapshot": "select epk, report_dt, round(amt, 2) as amt, qty, cnt from snap_sup",
+    "arrests": rolling_sql(["sum_val_arrests", "qty_val_arrests"], (1, *WS), skip_ratio=(1,)) + JOIN_CUST.replace("snap_cust", "h"),
+    "feedbacks": FEEDBACK_SQL,
+    "visits": VISITS_SQL,
+    "flows": FLOW_OUT + JOIN_SUP.replace("snap_sup", "f"),
+    "pos_dynamics": rolling_sql(POS_COLS, values=False) + JOIN_CUST.replace("snap_cust", "snap_pos"),
+    "embeddings": f"""select vec_id as epk, case when vec_id % 2 = 0 then date '1998-12-31' else date '1998-11-30' end as report_dt, {EMB_COLS}
+                      from embeddings""",
+    "month_embeddings": "select vec_id as epk, date '1998-12-31' as report_dt, "
+    + ", ".join(f"cast(embedding[{k + 1}] as double) as month_emb{k}" for k in range(64))
+    + " from embeddings where vec_id % 2 = 1",
+    "dynamics": rolling_sql(["crd_total_amt", "dep_total_qty"], aggs=("sum",)) + JOIN_SUP.replace("snap_sup", "n"),
+}
+
+
+@query(
+    "feat_full_set",
+    fx.with_views(
+        "snap_sup snap_cust acq_tx pos_tx", TARGET_SUP, ARREST_SQL, FLOW_SQL, DATES_SQL, POS_SNAP_SQL, NAMED_SQL,
+        *[f"b_{name} as ({sql})" for name, sql in FULL_SQL.items()],
+    )
+    + "select t.epk, t.report_dt, "
+    + ", ".join(f"b_{name}.* exclude (epk, report_dt)" for name in FULL_SQL)
+    + " from t "
+    + " ".join(f"left join b_{x} on b_{x}.epk = t.epk and b_{x}.report_dt = t.report_dt" for x in FULL_SQL),
+)
+def feat_full_set(spark, sf):
+    """All kinds of blocks on one target; each reads only what the target can reach."""
+    dated = dated_embeddings(spark, sf)
+    monthly = dated.withColumnsRenamed({f"emb{k}": f"month_emb{k}" for k in range(64)} | {"report_dt": "mon"})
+    sums = ft.pos_sums(pos_snapshot(spark, sf), ["auto", "leisure", "utilities_rub_amt"])
+    blocks = feature_blocks(spark, sf) | {
+        "arrests": lambda t: rounded(ft.arrests(t, arrest_facts(spark, sf), "v")),
+        "feedbacks": lambda t: feedbacks(spark, sf, t),
+        "pos_dynamics": lambda t: rounded(ft.pos_dynamics(t, sums)),
+        "embeddings": lambda t: ft.lagged_embeddings(t, dated),
+        "month_embeddings": lambda t: ft.monthly_embeddings(t, monthly),
+        "dynamics": lambda t: rounded(ft.dynamics_by_schema(t, named_snapshot(spark, sf), columns_per_pass=100)),
+    }
+    return ft.all_features(target_sup(spark, sf), blocks)[0]
+
+
 @query(
     "feat_train_oot_split",
     fx.with_views("snap_sup", TARGET_SUP)

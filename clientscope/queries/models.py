@@ -65,15 +65,15 @@ def aucs(spark, model, parts, features):
 def ml_forest_binary(spark, sf):
     """Fit, cut by importance, refit."""
     parts = binary_parts(spark, sf)
-    first = m.fit(m.forest(trees=30), parts[0], BINARY, "target")
+    first = m.fit(m.forest(), parts[0], BINARY, "target")
     kept = m.top_features(first, BINARY, cut=0.02)
-    return aucs(spark, m.fit(m.forest(trees=30), parts[0], kept, "target"), parts, kept)
+    return aucs(spark, m.fit(m.forest(), parts[0], kept, "target"), parts, kept)
 
 
 @query("ml_boosting_binary")
 def ml_boosting_binary(spark, sf):
     parts = binary_parts(spark, sf)
-    model = m.fit(m.boosting(rounds=10, depth=3), parts[0], BINARY, "target", val=parts[1])
+    model = m.fit(m.boosting(), parts[0], BINARY, "target", val=parts[1])
     return aucs(spark, model, parts, BINARY)
 
 
@@ -87,7 +87,7 @@ def multi_parts(spark, sf):
 
 def multi_forest(spark, sf, features=MULTI):
     train = multi_parts(spark, sf)[0]
-    return m.fit(m.forest(trees=20), train, features, "target")
+    return m.fit(m.forest(), train, features, "target")
 
 
 @query("ml_boosting_multiclass")
@@ -158,7 +158,7 @@ def topk_by_importance(spark, sf):
 @query("score_batch_binary")
 def score_batch_binary(spark, sf):
     train, val, test = binary_parts(spark, sf)
-    model = m.fit(m.forest(trees=20), train, BINARY, "target")
+    model = m.fit(m.forest(), train, BINARY, "target")
     return m.score_binary(model, train.unionByName(val).unionByName(test), BINARY, fx.ANCHOR)
 
 

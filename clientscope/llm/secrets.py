@@ -173,8 +173,9 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_i
         if rule.kind in queries:
             matches = F.when(F.array_contains("rules", rule.kind), matches).otherwise(none)
         parts.append(matches)
-    kinds, bases = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.base) for r in rules])
-    return found.select("doc_id", F.array_sort(F.concat(*parts)).alias("at")).select(
+    kinds = F.array(*[F.lit(r.kind) for r in rules]).cast("array<string>")
+    bases = F.array(*[F.lit(r.base) for r in rules]).cast("array<boolean>")
+    return found.select("doc_id", F.array_sort(F.concat(none, *parts)).alias("at")).select(
         "doc_id",
         F.transform("at", lambda s: F.struct(
             s["first"].alias("first"), s["order"].alias("order"), s["end"].alias("end"),

@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientscope.llm.common import map_texts, name, pick, restored, slotted, written
+from clientscope.llm.common import map_texts, name, pick, restored, slotted, text_key, written
 from clientscope.llm.components import components
 
 U = np.uint64
 #: Stand-in ids of documents without an id start here, above all real ids.
 NO_ID = 1 << 62
-SKETCH = "doc_id long, node long, n_shingles long, set_key binary, bands array<long>, marks binary"
+SKETCH = "doc_id long, node long, text_key string, n_shingles long, set_key binary, bands array<long>, marks binary"
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def band_keys(sketch: np.ndarray, near: Near) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, near: Near) -> DataFrame:
-    """One row per document: id, node, set size, set key, band keys and one byte of each coordinate."""
+    """One row per document: id, node, text key, set size, set key, band keys and one byte of each coordinate."""
     known: dict[bytes, int] = {}
 
     def fn(texts: list[bytes | None]) -> dict[str, list]:
@@ -240,26 +240,11 @@ def sorted_cells(rows: DataFrame) -> DataFrame:
     return rows.repartition(*CELL).sortWithinPartitions(*CELL)
 
 
-def near_groups(
-    docs: DataFrame, near: Near = Near(), *, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id and kept.
-
-    Words are runs of characters other than ASCII white space with A-Z folded. Documents are linked if 100 times the
-    shingles they share is at least ``percent`` times the shingles of both; ``component_id`` is the least id that links
-    reach, and ``kept`` says that it is the document's own.
-
-    Documents with equal sets are one class, found by aggregation, so exact copies cost nothing further. Classes meet
-    in buckets of equal bands; a bucket of more than ``chunk`` classes is compared in cells of two chunks. Each pair is
-    judged in the first band it shares: first by its sketches, then, for the members that are left, by the full sets.
-    No pair is returned except links that connect, at most one fewer than the members of a cell.
-
-    Texts without words are linked with nothing. Rows that share an id are one document with the links of all their
-    texts. A null id sorts above all others; a group without any id has a null component and its rows are kept.
-    """
+def judged(docs: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame:
+    """The rows of near_groups with the key of their text."""
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = rows.withColumn("node", F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
-    made = written(sketches(rows, near), "near-sketches")
+    made = written(sketches(rows.withColumn("text_key", text_key(F.col("text"))), near), "near-sketches")
     classes = written(made.where("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("node")), "near-classes")
     heads = made.join(classes, ["set_key", "node"]).select("node", "set_key", "n_shingles", "bands", "marks")
     keys = heads.select("node", "set_key", F.posexplode("bands").alias("band", "key"))
@@ -278,16 +263,40 @@ def near_groups(
     full = members.join(heads, ["node", "set_key"]).join(sets, ["node", "set_key"])
     labels = components(confirmed(full, near))
     named = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"))
-    result = made.select("doc_id", "node", "n_shingles", "set_key").join(named, "set_key", "left")
+    result = made.select("doc_id", "text_key", "node", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("node")).otherwise(F.col("label"))
-    return result.select("doc_id", "n_shingles", F.when(component < NO_ID, component).alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    return result.select(
+        "doc_id", "text_key", "n_shingles", F.when(component < NO_ID, component).alias("component_id")
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_groups(
+    docs: DataFrame, near: Near = Near(), *, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id and kept.
+
+    Words are runs of characters other than ASCII white space with A-Z folded. Documents are linked if 100 times the
+    shingles they share is at least ``percent`` times the shingles of both; ``component_id`` is the least id that links
+    reach, and ``kept`` says that it is the document's own.
+
+    Documents with equal sets are one class, found by aggregation, so exact copies cost nothing further. Classes meet
+    in buckets of equal bands; a bucket of more than ``chunk`` classes is compared in cells of two chunks. Each pair is
+    judged in the first band it shares: first by its sketches, then, for the members that are left, by the full sets.
+    No pair is returned except links that connect, at most one fewer than the members of a cell.
+
+    Texts without words are linked with nothing. Rows that share an id are one document with the links of all their
+    texts. A null id sorts above all others; a group without any id has a null component and its rows are kept.
+    """
+    return judged(docs, near, id_col, text_col).drop("text_key")
 
 
 def drop_near_copies(docs: DataFrame, near: Near = Near(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stand for their group, in the columns of the input."""
-    groups = near_groups(docs, near, id_col=id_col, text_col=text_col)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    """The rows that stand for their group, in the columns of the input: those that near_groups reports as kept.
+
+    A row goes by its id and its text, so a copy without an id takes no other row without an id with it.
+    """
+    gone = judged(docs, near, id_col, text_col).where(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     plain, slots = slotted(docs)
-    return restored(plain.join(gone, name(slots[id_col]).cast("bigint").eqNullSafe(F.col("gone_id")), "left_anti"), slots)
+    same = name(slots[id_col]).cast("bigint").eqNullSafe(F.col("gone_id")) & (text_key(name(slots[text_col])) == F.col("gone_key"))
+    return restored(plain.join(gone, same, "left_anti"), slots)

@@ -102,6 +102,20 @@ def test_near_groups_of_null_ids(spark):
     assert by[2, 6] == (2, True) and by[3, 5] == by[None, 5] == (2, False) and by[4, 0] == (4, True) and by[None, 0] == (None, True)
 
 
+def test_near_copies_go_by_row(spark):
+    """Rows without an id stay unless they are copies themselves; so do other texts of an id."""
+    copy, other = "one two three four five six seven", "quite another text that is like nothing else"
+    rows = [(1, copy, "a"), (None, copy, "b"), (None, other, "c"), (None, "", "d"), (None, None, "e"), (2, copy, "f"), (2, "a second text of one id", "g")]
+    left = near_dup.drop_near_copies(docs(spark, rows)).collect()
+    assert sorted(r.source for r in left) == ["a", "c", "d", "e", "g"]
+
+
+def test_near_filter_agrees_with_the_report(spark):
+    kept = near_dup.near_groups(docs(spark)).where("kept").collect()
+    left = near_dup.drop_near_copies(docs(spark)).collect()
+    assert sorted(map(str, (r.doc_id for r in left))) == sorted(map(str, (r.doc_id for r in kept)))
+
+
 def test_contamination_of_short_items(spark):
     made = {(r.doc_id, r.n_words): (r.n_hit, r.n_items) for r in decontaminate.find_contamination(docs(spark), items(spark)).collect()}
     assert made[1, 14] == (2, 1) and made[5, 0] == (0, 0) and made[2, 9] == (0, 0)

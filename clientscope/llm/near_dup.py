@@ -18,7 +18,7 @@ from clientscope.llm.components import components
 U = np.uint64
 #: Stand-in ids of documents without an id start here, above all real ids.
 NO_ID = 1 << 62
-SKETCH = "doc_id long, node long, text_key string, n_shingles long, set_key binary, bands array<long>, marks binary"
+SKETCH = "row long, doc_id long, node long, text_key string, n_shingles long, set_key binary, bands array<long>, marks binary"
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def band_keys(sketch: np.ndarray, near: Near) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, near: Near) -> DataFrame:
-    """One row per document: id, node, text key, set size, set key, band keys and one byte of each coordinate."""
+    """One row per document: row number, id, node, text key, set size, set key, band keys and one byte of each coordinate."""
     known: dict[bytes, int] = {}
 
     def fn(texts: list[bytes | None]) -> dict[str, list]:
@@ -244,9 +244,14 @@ def judged(docs: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame
     """The rows of near_groups with the key of their text."""
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = rows.withColumn("node", F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
-    made = written(sketches(rows.withColumn("text_key", text_key(F.col("text"))), near), "near-sketches")
-    classes = written(made.where("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("node")), "near-classes")
-    heads = made.join(classes, ["set_key", "node"]).select("node", "set_key", "n_shingles", "bands", "marks")
+    # Row numbers are fixed once they are written; by them a class has one head, however often a text repeats under an id.
+    # The join stays one by set and node, which the later joins with the heads share, and the number is a condition only.
+    numbered = rows.withColumns({"row": F.monotonically_increasing_id(), "text_key": text_key(F.col("text"))})
+    made = written(sketches(numbered, near), "near-sketches")
+    first = F.min(F.struct("node", "row")).alias("first")
+    classes = made.where("n_shingles > 0").groupBy("set_key").agg(first).select("set_key", "first.node", F.col("first.row").alias("first_row"))
+    classes = written(classes, "near-classes")
+    heads = made.join(classes, ["set_key", "node"]).where("row <= first_row").select("node", "set_key", "n_shingles", "bands", "marks")
     keys = heads.select("node", "set_key", F.posexplode("bands").alias("band", "key"))
     buckets = (
         keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")

@@ -52,6 +52,19 @@ def test_groups_match_brute_force(spark, chunk):
     assert made == brute_groups(texts, 4, 80)
 
 
+def test_repeated_rows_are_one_member(spark, monkeypatch):
+    """Repeated rows of an id and copies without an id enter a bucket once, and their near copies are still found."""
+    words = [f"w{i}" for i in range(60)]
+    text, close, third = " ".join(words), " ".join([*words, "end"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text)] * 40 + [(None, close)] * 40 + [(7, third)] * 40 + [(9, third + " end")] * 40
+    seen, likely = [], near_dup.likely
+    monkeypatch.setattr(near_dup, "likely", lambda dealt, near: seen.append(dealt) or likely(dealt, near))
+    made = near_dup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "component_id", "kept").count()
+    assert sorted(map(tuple, made.collect()), key=str) == [(7, 7, True, 40), (9, 7, False, 40), (None, None, True, 80)]
+    cells = seen[0].groupBy("key", "band", "i", "j", "node", "set_key").count()
+    assert cells.where("count > 1").count() == 0 and cells.count() > 0
+
+
 def test_sketches_fill_and_estimate():
     known: dict = {}
     rng = random.Random(1)

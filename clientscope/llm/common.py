@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -14,8 +15,8 @@ from clientscope.session import new_path
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows whose values are Python objects at one time inside a task.
-SLICE_ROWS = 256
+#: Rows and bytes of text that are Python objects at one time inside a task; a longer text stands alone.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
 def name(column: str) -> Column:
@@ -44,20 +45,33 @@ def text_key(text: Column) -> Column:
     return F.md5(F.encode(text, "UTF-8"))
 
 
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, number) of stretches of texts of these sizes, each with at most SLICE_ROWS texts and SLICE_BYTES bytes, or one text."""
+    first, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > first and (at - first == SLICE_ROWS or held + size > SLICE_BYTES):
+            yield first, at - first
+            first, held = at, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
 def map_texts(
     rows: DataFrame, fn: Callable[[list[bytes | None]], dict[str, list]], schema: str, text_col: str = "text"
 ) -> DataFrame:
     """Add columns computed from the texts: fn gets UTF-8 texts and returns lists, one value per text.
 
     ``schema`` names the columns to return; those that fn does not make are passed on as they came. Only SLICE_ROWS
-    texts are held as Python objects at a time, whatever the batch holds.
+    texts and SLICE_BYTES bytes, or one longer text, are held as Python objects at a time, whatever the batch holds.
     """
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            sizes = pc.fill_null(pc.binary_length(batch.column(text_col).cast(pa.large_binary())), 0).to_pylist()
+            for start, rows_in in slices(sizes):
+                part = batch.slice(start, rows_in)
                 made = fn(part.column(text_col).cast(pa.binary()).to_pylist())
                 columns = [pa.array(made[f.name], f.type) if f.name in made else part.column(f.name) for f in out]
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from clientscope.llm import chat, decontaminate, licenses, line_dedup, line_quality, mixing, near_dup, pii, secrets, sql, urls
+from clientscope.llm import bpe, chat, decontaminate, licenses, line_dedup, line_quality, mixing, near_dup, periodic, pii, repair, secrets, sql, urls
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,3 +110,23 @@ def op10_license_scan(spark, sf_dir):
         "doc_id", F.size("licenses").cast("bigint").alias("n_matches"), licenses.license_names(F.col("licenses")).alias("licenses"),
         F.coalesce(best, F.lit(0.0)).alias("best_dice"),
     )
+
+
+@query("op11_repair_conversations", sql.REPAIR)
+def op11_repair_conversations(spark, sf_dir):
+    """All conversations with planted faults, and the cheapest edits that make them legal."""
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op12_bpe_tokens")
+def op12_bpe_tokens(spark, sf_dir):
+    """Token ids and decoded texts of all documents, as digests."""
+    import public_tokenizers
+
+    return bpe.token_digests(bpe.token_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op13_periodic_runs", sql.PERIODIC)
+def op13_periodic_runs(spark, sf_dir):
+    """Runs of all documents, some of which have a period planted, and digests of the runs and the collapsed texts."""
+    return periodic.run_digests(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))

@@ -204,3 +204,142 @@ select doc_id, count(license) as n_matches, coalesce(string_agg(distinct license
 
 
 LICENSES = licenses()
+
+
+def crc32(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit: 3988292384 is its reversed polynomial."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda x, y: xor(x >> 1, 3988292384::ubigint * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda s: ord(s)::ubigint)"
+    return f"xor(list_reduce(list_concat([4294967295::ubigint], {codes}), lambda c, b: {byte}), 4294967295::ubigint)"
+
+
+def repair_state(state: int) -> str:
+    """Least cost and script of a state after one row, as text that sorts like them; insertions follow in repair_closed."""
+    legal = {0: {}, 1: {"s": 0}, 2: {"u": (0, 1, 3)}, 3: {"a": (2,)}}[state]
+    ways = [f"edit(p{state}, 4, 'D')"]
+    for initial, sources in legal.items():
+        for p in sources if isinstance(sources, tuple) else (sources,):
+            ways.append(f"case when fault <> 'gone' and initial = '{initial}' then edit(p{p}, extra, 'K') end")
+            if initial != "s":
+                ways.append(f"case when fault <> 'gone' and initial <> '{initial}' then edit(p{p}, extra + 3, 'R') end")
+    return f"least({', '.join(ways)})"
+
+
+def edit_macro(text: str) -> str:
+    """edit(way, cost, letter) spelled out: a way is eight digits of cost and its letters."""
+    return re.sub(r"edit\((\w+), ([^,]+), '(\w)'\)", r"(lpad((left(\1, 8)::int + \2)::varchar, 8, '0') || substr(\1, 9) || '\3')", text)
+
+
+def repair_closed(start: str, columns: list[str]) -> str:
+    """A row's states with insertions: each may come from an earlier one, three times over, so that every chain is there."""
+    out = f"select {', '.join(columns)}, {', '.join(f'p{i}' for i in range(4))} from ({start})"
+    for _ in range(3):
+        new = edit_macro("p0, p1, least(p2, edit(p0, 3, 'I'), edit(p1, 3, 'I'), edit(p3, 3, 'I')) as p2, least(p3, edit(p2, 3, 'I')) as p3")
+        out = f"select {', '.join(columns)}, {new} from ({out})"
+    return out
+
+
+REPAIR = rf"""
+with recursive r0 as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         {crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as d
+  from conversations),
+r1 as (
+  select conv_id, turn, case when d = 4 then 'user' else role end as role,
+         case when d = 1 then '' when d = 2 then translate(text, '.!?', '') else text end as text,
+         unnest(range(case when d = 0 then 0 when d = 3 then 2 else 1 end)) as copy
+  from r0),
+r2 as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as pos from r1),
+r3 as (
+  select conv_id, turn, role, text, pos, left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by pos) as earlier,
+         case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+              when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate'
+              when not regexp_matches(text, '[.!?]{BLANK}*\z') then 'truncated' else 'kept' end as first_fault
+  from r2),
+r4 as (select *, case when first_fault in ('blank', 'duplicate') then 'gone' else 'row' end as fault,
+              case when first_fault = 'truncated' then 3 else 0 end as extra from r3),
+convs as (select distinct conv_id from conversations),
+ways as (
+  {repair_closed("select conv_id, 0::bigint as pos, '00000000' as p0, null::varchar as p1, null::varchar as p2, null::varchar as p3 from convs", ["conv_id", "pos"])}
+  union all
+  select * from ({repair_closed("select r4.conv_id, r4.pos, " + ", ".join(f"{edit_macro(repair_state(i))} as p{i}" for i in range(4))
+                 + " from ways join r4 on ways.conv_id is not distinct from r4.conv_id and r4.pos = ways.pos + 1", ["conv_id", "pos"])})),
+best as (
+  select conv_id, least(arg_max(p0, pos), arg_max(coalesce(p3, '99999999'), pos)) as way from ways group by conv_id),
+letters as (
+  select conv_id, letter, nth, sum((letter <> 'I')::int) over w as row_pos, sum((letter <> 'D')::int) over w as place,
+         sum((letter <> 'D')::int) over (partition by conv_id) % 2 as lead
+  from (select conv_id, unnest(string_split(substr(way, 9), '')) as letter, generate_subscripts(string_split(substr(way, 9), ''), 1) as nth
+        from best where length(way) > 8)
+  window w as (partition by conv_id order by nth)),
+lines as (
+  select l.conv_id, string_agg(case when letter = 'K' then r.role when (place - lead) % 2 = 1 then 'user' else 'assistant' end
+                               || ':' || case when letter = 'I' then '' else r.text end, chr(10) order by nth) as text
+  from letters l left join r4 r on l.conv_id is not distinct from r.conv_id and l.row_pos = r.pos
+  where letter <> 'D' group by l.conv_id),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (first_fault = 'blank') as blank,
+         count(*) filter (first_fault = 'duplicate') as duplicate, count(*) filter (first_fault = 'truncated') as truncated,
+         count(*) filter (earlier is not null and (earlier || initial) not in ('su', 'ua', 'au')) as illegal
+  from r4 group by conv_id)
+select c.conv_id, coalesce(n.gaps, 0)::bigint as gaps, coalesce(n.blank, 0) as blank, coalesce(n.duplicate, 0) as duplicate,
+       coalesce(n.truncated, 0) as truncated, coalesce(n.illegal, 0) as illegal, left(b.way, 8)::bigint as cost, substr(b.way, 9) as audit,
+       sha256(coalesce(l.text, '')) as repaired_sha256
+from convs c join best b on c.conv_id is not distinct from b.conv_id left join counts n on c.conv_id is not distinct from n.conv_id
+left join lines l on c.conv_id is not distinct from l.conv_id"""
+
+
+def gram_level(level: int) -> str:
+    """Seeds of the lags from 2^level on, up to the next power: neighbouring places of one gram of 5, 6, 12, 24, ... words."""
+    low = 1 << level
+    parts = {0: ("h4", "h1", 4), 1: ("h4", "h2", 4)}.get(level, (f"h{2 * low}", f"h{low}", 2 * low))
+    return f"""
+g{level} as (select doc_id, pos, hash({parts[0]}, lead({parts[1]}, {parts[2]}) over w) as gram
+  from hashes where {parts[0]} is not null window w as (partition by doc_id order by pos)),
+s{level} as (select doc_id, q from (
+    select doc_id, lead(pos) over (partition by doc_id, gram order by pos) - pos as q from g{level} where gram is not null)
+  where q >= {low} and q < {2 * low} group by all)"""
+
+
+def period_levels(top: int) -> str:
+    """hashes: h1, h2, h4, ... of the words from each place on, null where the text ends before."""
+    out = "select doc_id, pos, hash(word) as h1 from words"
+    for k in range(top):
+        half = 1 << k
+        out = f"select *, case when lead(pos, {half}) over w is not null then hash(h{half}, lead(h{half}, {half}) over w) end as h{2 * half} from ({out}) window w as (partition by doc_id order by pos)"
+    return out
+
+
+#: Periods up to 2^13 - 1 words, which holds for texts of up to 32,767 words; the longest text of the test tables has 20,000.
+PERIOD_LEVELS = 13
+
+PERIODIC = f"""
+with d0 as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws, {crc32("doc_id::varchar")}::bigint as h from documents),
+d1 as (select *, len(ws) as n, h // 10 as g from d0),
+d2 as (select *, case when n > 0 then g % n end as a from d1),
+d3 as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i:
+         ws[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else ws end as ws from d2),
+words as (select doc_id, unnest(ws) as word, unnest(range(n)) as pos from d3),
+hashes as ({period_levels(PERIOD_LEVELS)}),
+{", ".join(gram_level(k) for k in range(PERIOD_LEVELS))},
+lags as ({" union all ".join(f"select * from s{k}" for k in range(PERIOD_LEVELS))}),
+same as (
+  select a.doc_id, l.q, a.pos, a.pos - row_number() over (partition by a.doc_id, l.q order by a.pos) as island
+  from lags l join words a on a.doc_id = l.doc_id join words b on b.doc_id = a.doc_id and b.pos = a.pos + l.q and b.word = a.word),
+stretches as (select doc_id, q as period, min(pos) as start, count(*) + q as length from same group by doc_id, q, island),
+long as (select * from stretches where length >= 6 and length >= 4 * period),
+runs as (
+  select * from long r where not exists (select 1 from long s where s.doc_id = r.doc_id and s.period < r.period and r.period % s.period = 0
+    and s.start <= r.start and s.start + s.length >= r.start + r.length)),
+per_doc as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from runs group by doc_id),
+best as (
+  select doc_id, start, length, period from runs
+  qualify row_number() over (partition by doc_id order by length::double / period desc, start, period) = 1),
+dropped as (select distinct doc_id, unnest(range(start + period, start + length)) as pos from runs),
+kept as (
+  select w.doc_id, string_agg(w.word, ' ' order by w.pos) as text from words w anti join dropped x on w.doc_id = x.doc_id and w.pos = x.pos group by w.doc_id)
+select d.doc_id, coalesce(p.n_runs, 0) as n_runs, b.start, b.length::bigint as length, b.period,
+       (b.length::bigint * 1000) // b.period as exponent_milli, sha256(coalesce(p.lines, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
+from documents d left join per_doc p using (doc_id) left join best b using (doc_id) left join kept k using (doc_id)"""

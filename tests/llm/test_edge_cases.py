@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from clientscope.llm import chat, decontaminate, licenses, line_dedup, line_quality, mixing, near_dup, pii, secrets, urls
+from clientscope.llm import chat, decontaminate, licenses, line_dedup, line_quality, mixing, near_dup, periodic, pii, secrets, urls
 
 LONG = " ".join(f"word{i % 97} stays{i}" for i in range(40_000)) + "."
 ROWS = [
@@ -43,6 +43,7 @@ REPORTS = {
     "secrets": lambda s, d: secrets.scan(d),
     "licenses": lambda s, d: licenses.scan_licenses(d),
     "pii": lambda s, d: pii.replace_entities(d, "k"),
+    "periodic": lambda s, d: periodic.find_runs(d),
     "urls": lambda s, d: urls.judge_urls(d, d, id_col="doc_id", url_col="text", listed_col="text"),
 }
 FILTERS = {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,25 +16,38 @@ from clientscope.llm.common import map_texts, name, pick, restored, slotted, tex
 from clientscope.llm.components import components
 
 U = np.uint64
-#: Stand-in ids of documents without an id start here, above all real ids.
-NO_ID = 1 << 62
-SKETCH = "row long, doc_id long, node long, text_key string, n_shingles long, set_key binary, bands array<long>, marks binary"
+SKETCH = "row long, doc_id {id}, text_key string, n_shingles long, set_key binary, bands array<long>, marks binary"
+#: Chance that a pair of the least similarity shares no band.
+MISS = 1.3e-7
 
 
 @dataclass(frozen=True)
 class Near:
     """Shingle length, least similarity in percent, and the shape of the sketch.
 
-    A pair at the least similarity 0.8 shares none of 40 bands of 5 coordinates with a probability of about 1e-7, and
-    its sketches agree in fewer coordinates than ``least_equal`` with about 3e-7. ``chunk`` bounds what one task holds
-    of a band's bucket; larger buckets are compared chunk by chunk.
+    Bands of ``rows`` coordinates are as many as it takes for a pair of the least similarity to share none of them with
+    a probability of 1.3e-7 (40 bands of 5 at 80 percent), unless both are given; its sketches agree in fewer coordinates
+    than ``least_equal`` with about 3e-7. ``chunk`` bounds what one task holds of a band's bucket; larger buckets are
+    first linked to ``pivots`` of their members.
     """
 
     words: int = 5
     percent: int = 80
-    bands: int = 40
-    rows: int = 5
+    bands: int = 0
+    rows: int = 0
     chunk: int = 512
+    pivots: int = 4
+
+    def __post_init__(self):
+        if not 0 < self.percent <= 100:
+            raise ValueError("percent must be above 0 and at most 100")
+        s = min(self.percent / 100, 0.95)
+        for rows in [self.rows] if self.rows else range(5, 0, -1):
+            bands = self.bands or math.ceil(math.log(MISS) / math.log(1 - s**rows))
+            if bands <= 128 or rows == 1 or self.rows:
+                break
+        object.__setattr__(self, "rows", rows)
+        object.__setattr__(self, "bands", bands)
 
     @property
     def size(self) -> int:
@@ -101,7 +114,7 @@ def band_keys(sketch: np.ndarray, near: Near) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, near: Near) -> DataFrame:
-    """One row per document: row number, id, node, text key, set size, set key, band keys and one byte of each coordinate."""
+    """One row per document: row number, id, text key, set size, set key, band keys and one byte of each coordinate."""
     known: dict[bytes, int] = {}
 
     def fn(texts: list[bytes | None]) -> dict[str, list]:
@@ -115,17 +128,23 @@ def sketches(rows: DataFrame, near: Near) -> DataFrame:
             made["marks"].append(None if sketch is None else (sketch & U(255)).astype(np.uint8).tobytes())
         return made
 
-    return map_texts(rows, fn, SKETCH)
+    return map_texts(rows, fn, SKETCH.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def sets_of(rows: DataFrame, near: Near) -> DataFrame:
+    """node and items (the shingle set) of rows (node, text)."""
     known: dict[bytes, int] = {}
 
     def fn(texts: list[bytes | None]) -> dict[str, list]:
-        sets = [shingle_set(t, near.words, known).tobytes() for t in texts]
-        return {"set_key": [xxhash.xxh128_digest(s) for s in sets], "items": sets}
+        return {"items": [shingle_set(t, near.words, known).tobytes() for t in texts]}
 
-    return map_texts(rows, fn, "node long, set_key binary, items binary")
+    return map_texts(rows, fn, "node long, items binary")
+
+
+def enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two shingle sets are near enough."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 CELL = ("key", "band", "i", "j")
@@ -150,28 +169,34 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
+#: Sides of a cell: all members of a small bucket; members still open in a large one, and those they have to meet.
+WHOLE, OPEN, MET = range(3)
+
+
 class Cell:
-    """Members of a bucket, or of two chunks of it, and the pairs among them that this cell has to judge."""
+    """Members of a small bucket, or open members of a large one with a chunk of it, and the pairs that this cell has to judge."""
 
     def __init__(self, table: pa.Table, near: Near):
         self.near, self.n = near, table.num_rows
         self.node = table.column("node").to_numpy()
+        self.label = table.column("label").to_numpy()
         self.sizes = table.column("n_shingles").to_numpy()
-        self.chunk = table.column("chunk").to_numpy()
+        self.side = table.column("side").to_numpy()
+        self.met = np.flatnonzero(self.side == MET)
         self.marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(self.n, near.size)
         self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(self.n, near.bands)
-        self.band, self.split = table.column("band")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        self.band = table.column("band")[0].as_py()
 
     def partners(self, at: int) -> np.ndarray:
-        """Later members that may be near this one and share no earlier band, in whose cell the pair is judged."""
-        later = slice(at + 1, None)
-        ok = (self.marks[later] == self.marks[at]).sum(axis=1) >= self.near.least_equal
-        ok &= 100 * np.minimum(self.sizes[later], self.sizes[at]) >= self.near.percent * np.maximum(self.sizes[later], self.sizes[at])
-        ok &= self.node[later] != self.node[at]
-        if self.split:
-            ok &= self.chunk[later] != self.chunk[at]
-        found = np.flatnonzero(ok) + at + 1
-        return found[~(self.bands[found, : self.band] == self.bands[at, : self.band]).any(axis=1)]
+        """Members that may be near this one, are not known to be connected, and share no earlier band, in whose cell the pair is judged."""
+        if self.side[at] == MET:
+            return self.met[:0]
+        found = np.arange(at + 1, self.n) if self.side[at] == WHOLE else self.met
+        sizes = self.sizes[found]
+        ok = 100 * np.minimum(sizes, self.sizes[at]) >= self.near.percent * np.maximum(sizes, self.sizes[at])
+        found = found[ok & (self.label[found] != self.label[at])]
+        found = found[~(self.bands[found, : self.band] == self.bands[at, : self.band]).any(axis=1)]
+        return found[(self.marks[found] == self.marks[at]).sum(axis=1) >= self.near.least_equal]
 
 
 def likely(memberships: DataFrame, near: Near) -> DataFrame:
@@ -181,33 +206,34 @@ def likely(memberships: DataFrame, near: Near) -> DataFrame:
         for table in cells(batches):
             cell = Cell(table, near)
             hit = np.zeros(cell.n, bool)
-            for at in range(cell.n - 1):
+            for at in range(cell.n):
                 if len(found := cell.partners(at)):
                     hit[at] = hit[found] = True
             if hit.any():
-                yield from table.filter(pa.array(hit)).select([*CELL, "chunk", "node", "set_key"]).to_batches()
+                yield from table.filter(pa.array(hit)).select([*CELL, "side", "node", "label"]).to_batches()
 
-    schema = "key long, band int, i int, j int, chunk int, node long, set_key binary"
+    schema = "key long, band int, i int, j int, side int, node long, label long"
     return sorted_cells(memberships).mapInArrow(run, schema)
 
 
 def confirmed(members: DataFrame, near: Near) -> DataFrame:
     """Links (a, b) between members of a cell whose full sets are near enough.
 
-    Pairs that earlier links of the cell already connect are passed over, so a cell returns fewer links than it has
-    members and loses no connection.
+    Pairs that earlier links already connect are passed over, so a cell returns fewer links than it has members and
+    loses no connection.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in cells(batches):
             cell = Cell(table, near)
             sets = [np.frombuffer(s, U) for s in table.column("items").to_pylist()]
-            pairs = [cell.partners(at) for at in range(cell.n - 1)]
+            pairs = [cell.partners(at) for at in range(cell.n)]
             degree = np.zeros(cell.n, np.int64)
             for at, found in enumerate(pairs):
                 degree[at] += len(found)
                 np.add.at(degree, found, 1)
-            group = list(range(cell.n))
+            group = np.unique(cell.label, return_index=True, return_inverse=True)
+            group = group[1][group[2]].tolist()
 
             def top(x: int, group=group) -> int:
                 while group[x] != x:
@@ -223,10 +249,7 @@ def confirmed(members: DataFrame, near: Near) -> DataFrame:
             for at in np.argsort(-degree, kind="stable").tolist():
                 for both in around[at]:
                     other = both - at
-                    if top(at) == top(other):
-                        continue
-                    shared = len(np.intersect1d(sets[at], sets[other], assume_unique=True))
-                    if 100 * shared >= near.percent * (len(sets[at]) + len(sets[other]) - shared):
+                    if top(at) != top(other) and enough(sets[at], sets[other], near.percent):
                         group[top(at)] = top(other)
                         links.append((int(cell.node[at]), int(cell.node[other])))
             if links:
@@ -236,43 +259,117 @@ def confirmed(members: DataFrame, near: Near) -> DataFrame:
     return sorted_cells(members).mapInArrow(run, "a long, b long")
 
 
+def near_pairs(pairs: DataFrame, heads: DataFrame, sets: Callable[[DataFrame], DataFrame], near: Near) -> DataFrame:
+    """The pairs (a, b) of nodes that are near enough: by size and sketch first, then by their full sets."""
+    one, other = (heads.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("n_shingles", "marks")]) for n in "ab")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(f"marks_{n}").to_pylist()), np.uint8).reshape(-1, near.size) for n in "ab")
+            yield batch.filter(pa.array((x == y).sum(axis=1) >= near.least_equal)).select(["a", "b"])
+
+    sizes = [F.col("n_shingles_a"), F.col("n_shingles_b")]
+    close = pairs.join(one, "a").join(other, "b").where(100 * F.least(*sizes) >= near.percent * F.greatest(*sizes))
+    close = written(close.mapInArrow(alike, "a long, b long"), "near-likely")
+    items = written(sets(close.select(F.col("a").alias("node")).union(close.select("b")).distinct()), "near-sets")
+    one, other = (items.select(F.col("node").alias(n), F.col("items").alias(f"items_{n}")) for n in "ab")
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("items_a"), batch.column("items_b"), strict=True)
+            ok = [enough(*(np.frombuffer(s.as_py(), U) for s in pair), near.percent) for pair in both]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return close.join(one, "a").join(other, "b").mapInArrow(hold, "a long, b long")
+
+
+def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def opened(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, and whether they lie outside the bucket's largest one."""
+    known = with_labels(members, labels)
+    parts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("in_main"))
+    most = most.where("parts > 1").select("key", "main", "all", (F.col("all") - F.col("in_main")).alias("n_open"))
+    return known.join(most, "key").withColumn("open", F.col("label") != F.col("main"))
+
+
+def pivot_links(members: DataFrame, heads: DataFrame, sets: Callable[[DataFrame], DataFrame], near: Near) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Links of the members of large buckets to some of them, the components that follow, and the members of buckets that are not yet one.
+
+    In each round every bucket takes ``pivots`` of its open members, those with the least hashes of some of their part
+    of the bucket, and all its members of other components are compared with them: so many pairs as members times
+    pivots. Buckets that have become one component are done. Rounds go on while they leave at most three quarters open.
+    """
+    spark = members.sparkSession
+    links, before, number = spark.createDataFrame([], "a long, b long"), None, 0
+    labels = spark.createDataFrame([], "node long, label long")
+    members = written(members, "near-large")
+    while True:
+        now = written(opened(members, labels), "near-open")
+        left = now.where("open").count()
+        if not left:
+            return links, labels, None
+        if before is not None and 4 * left > 3 * before:
+            return links, labels, now
+        before, number = left, number + 1
+        lot = F.xxhash64("node", F.lit(number))
+        pivots = now.where("open").groupBy("key", F.pmod(lot, F.lit(near.pivots)).alias("part")).agg(F.min_by(F.struct("node", "label"), lot).alias("p"))
+        pivots = pivots.select("key", F.col("p.node").alias("b"), F.col("p.label").alias("other"))
+        pairs = now.join(pivots, "key").where("label <> other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        links = written(links.union(near_pairs(pairs, heads, sets, near)), "near-links")
+        labels = written(components(links).distinct(), "near-labels")
+
+
 def sorted_cells(rows: DataFrame) -> DataFrame:
     return rows.repartition(*CELL).sortWithinPartitions(*CELL)
 
 
 def judged(docs: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame:
     """The rows of near_groups with the key of their text."""
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = rows.withColumn("node", F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
-    # Row numbers are fixed once they are written; by them a class has one head, however often a text repeats under an id.
-    # The join stays one by set and node, which the later joins with the heads share, and the number is a condition only.
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    # Row and class numbers are fixed once they are written; ids are carried along as they are and never computed with.
     numbered = rows.withColumns({"row": F.monotonically_increasing_id(), "text_key": text_key(F.col("text"))})
     made = written(sketches(numbered, near), "near-sketches")
-    first = F.min(F.struct("node", "row")).alias("first")
-    classes = made.where("n_shingles > 0").groupBy("set_key").agg(first).select("set_key", "first.node", F.col("first.row").alias("first_row"))
-    classes = written(classes, "near-classes")
-    heads = made.join(classes, ["set_key", "node"]).where("row <= first_row").select("node", "set_key", "n_shingles", "bands", "marks")
-    keys = heads.select("node", "set_key", F.posexplode("bands").alias("band", "key"))
-    buckets = (
-        keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        .select("key", F.ceil(F.col("members") / near.chunk).cast("int").alias("chunks"))
-    )
-    placed = keys.join(buckets, "key").withColumn("chunk", F.pmod(F.xxhash64("node", "set_key"), F.col("chunks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "key", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "set_key"
+    classes = made.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    heads = made.join(classes.select("row", "node"), "row").select("node", "text_key", "n_shingles", "bands", "marks")
+    heads = written(heads, "near-heads")
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = heads.select("node", "text_key").join(nodes, "node")
+        return sets_of(rows.withColumn("text_key", text_key(F.col("text"))).join(wanted, "text_key").select("node", "text"), near).dropDuplicates(["node"])
+
+    keys = heads.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    placed = keys.join(buckets, "key")
+    links, labels, rest = pivot_links(placed.where(F.col("members") > near.chunk).select("key", "band", "node"), heads, sets, near)
+    zero = F.lit(0)
+    dealt = with_labels(placed.where(F.col("members") <= near.chunk), labels).select(
+        "key", "band", zero.alias("i"), zero.alias("j"), F.lit(WHOLE).alias("side"), "node", "label"
+    )
+    if rest is not None:
+        lot = F.xxhash64("node")
+        chunks = {c: F.ceil(F.col(n) / near.chunk).cast("int") for c, n in (("i", "n_open"), ("j", "all"))}
+        place = {c: F.pmod(lot, n).cast("int").alias(c) for c, n in chunks.items()}
+        spread = {c: F.explode(F.sequence(zero, n - 1)).alias(c) for c, n in chunks.items()}
+        some = rest.where("open").select("key", "band", place["i"], spread["j"], F.lit(OPEN).alias("side"), "node", "label")
+        all_ = rest.select("key", "band", spread["i"], place["j"], F.lit(MET).alias("side"), "node", "label")
+        dealt = dealt.unionByName(some).unionByName(all_)
+    shapes = heads.select("node", "n_shingles", "bands", "marks")
+    members = written(likely(dealt.join(shapes, "node"), near), "near-members")
+    full = members.join(shapes, "node").join(sets(members.select("node").distinct()), "node")
+    labels = components(links.union(confirmed(full, near))).distinct()
+    named = with_labels(classes.select("set_key", "node", "least_id"), labels)
+    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    named = named.join(least, "label").select("set_key", "component_id")
+    result = made.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return result.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    members = likely(dealt.join(heads, ["node", "set_key"]), near)
-    members = written(members, "near-members")
-    wanted = members.select("node").distinct()
-    sets = sets_of(rows.select("node", "text").join(wanted, "node"), near).dropDuplicates(["node", "set_key"])
-    full = members.join(heads, ["node", "set_key"]).join(sets, ["node", "set_key"])
-    labels = components(confirmed(full, near))
-    named = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"))
-    result = made.select("doc_id", "text_key", "node", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("node")).otherwise(F.col("label"))
-    return result.select(
-        "doc_id", "text_key", "n_shingles", F.when(component < NO_ID, component).alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_groups(
@@ -285,12 +382,15 @@ def near_groups(
     reach, and ``kept`` says that it is the document's own.
 
     Documents with equal sets are one class, found by aggregation, so exact copies cost nothing further. Classes meet
-    in buckets of equal bands; a bucket of more than ``chunk`` classes is compared in cells of two chunks. Each pair is
-    judged in the first band it shares: first by its sketches, then, for the members that are left, by the full sets.
-    No pair is returned except links that connect, at most one fewer than the members of a cell.
-
-    Texts without words are linked with nothing. Rows that share an id are one document with the links of all their
-    texts. A null id sorts above all others; a group without any id has a null component and its rows are kept.
+    in buckets of equal bands. Members of a bucket of more than ``chunk`` classes are linked to verified pivots first,
+    which makes one component of most groups in time linear in their size; what stays open is compared with the whole
+    bucket, in cells of two chunks. A pair is judged in the first band it shares: first by its sketches, then, for the
+    members that are left, by the full sets. No pair is returned except links that connect.
+
+    Ids may have any type that can be ordered, and any value. Texts without words are linked with nothing. Every row is
+    judged by its own text, so rows that repeat an id may be in two groups. A null id sorts above all others; a group
+    without any id has a null component and its rows are kept. An empty table gives no rows. A very long text is handled
+    alone, in memory in proportion to its words.
     """
     return judged(docs, near, id_col, text_col).drop("text_key")
 
@@ -303,5 +403,5 @@ def drop_near_copies(docs: DataFrame, near: Near = Near(), *, id_col: str = "doc
     gone = judged(docs, near, id_col, text_col).where(~F.col("kept"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     plain, slots = slotted(docs)
-    same = name(slots[id_col]).cast("bigint").eqNullSafe(F.col("gone_id")) & (text_key(name(slots[text_col])) == F.col("gone_key"))
+    same = name(slots[id_col]).eqNullSafe(F.col("gone_id")) & (text_key(name(slots[text_col])) == F.col("gone_key"))
     return restored(plain.join(gone, same, "left_anti"), slots)

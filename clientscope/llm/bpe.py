@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable, Iterable
 from functools import cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import regex
@@ -41,7 +42,8 @@ class Merges:
         for t, i in vocab.items():
             self.text[i] = t
         left, right, made = (np.array([vocab[t] for t in side], I) for side in ([a for a, _ in merges], [b for _, b in merges], [a + b for a, b in merges]))
-        self.ranks = {pair: (r, t) for r, (pair, t) in enumerate(zip(zip(left.tolist(), right.tolist(), strict=True), made.tolist(), strict=True))}
+        self.ranks = {pair: r for r, pair in enumerate(zip(left.tolist(), right.tolist(), strict=True))}
+        self.made = made.tolist()
         order = np.argsort(left << I(32) | right)
         self.pairs, self.pair_rank = (left << I(32) | right)[order], order
         #: Rank of the merge that makes a token, -1 for single letters; and its parts.
@@ -110,21 +112,38 @@ class Merges:
         """Merges in the order of rank, then place, from the letters on; unknown letters are left out."""
         letters = [*word[:-1], word[-1] + self.end]
         ids = [self.vocab[t] for t in letters if t in self.vocab]
+        return self.merged_far(ids) if len(ids) > 64 else self.merged(ids)
+
+    def merged(self, ids: list[int]) -> list[int]:
+        """For short words: the least rank of all neighbours, again and again."""
+        rank = self.ranks.get
+        ranks = [rank(p, NEVER) for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) != NEVER:
+            i = ranks.index(least)
+            ids[i : i + 2] = [self.made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), NEVER)
+        return ids
+
+    def merged_far(self, ids: list[int]) -> list[int]:
+        """For long words: neighbours in a queue, with those that have changed since passed over."""
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        queue = [(*self.ranks[p], i, *p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.ranks]
-        queue = [(r, i, t, a, b) for r, t, i, a, b in queue]
+        queue = [(self.ranks[p], i, *p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.ranks]
         heapq.heapify(queue)
         while queue:
-            _, i, made, a, b = heapq.heappop(queue)
+            r, i, a, b = heapq.heappop(queue)
             j = after[i]
             if ids[i] != a or j >= len(ids) or ids[j] != b:
                 continue
-            ids[i], ids[j], after[i] = made, -1, after[j]
+            ids[i], ids[j], after[i] = self.made[r], -1, after[j]
             if after[i] < len(ids):
                 before[after[i]] = i
             for k in (before[i], i):
                 if k >= 0 and after[k] < len(ids) and (p := (ids[k], ids[after[k]])) in self.ranks:
-                    heapq.heappush(queue, (self.ranks[p][0], k, self.ranks[p][1], *p))
+                    heapq.heappush(queue, (self.ranks[p], k, *p))
         return [i for i in ids if i >= 0]
 
     def encode(self, words: list[str]) -> list[list[int]]:
@@ -156,6 +175,9 @@ class Codec:
         if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")):
             raise ValueError(f"{path} is no file of words, byte letters and plain merges")
         self.normalizer = Tokenizer.from_file(path).normalizer
+        steps_of = [(n["type"], n.get("pattern"), n.get("content")) for n in (made["normalizer"] or {}).get("normalizers", [])]
+        # White space never gets into a word, so folding is all that such a normaliser does to a composed text.
+        self.folds = steps_of == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
         self.split = pre_tokenizers.Split(Regex(steps[0]["pattern"]["Regex"]), "removed", invert=True)
         pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -166,6 +188,12 @@ class Codec:
         self.text = dict(enumerate(self.merges.text)) | {i: t for t, i in self.special.items()}
         self.known: dict[str, tuple[bytes, str]] = {}
 
+    def normal(self, text: str) -> str:
+        """The normalised text, up to white space; lower() is right for usual letters but for the sigma that ends a word."""
+        if self.folds and not UNUSUAL.search(text) and is_normalized("NFC", text):
+            return text.replace("\u03a3", "\u03c3").lower()
+        return self.normalizer.normalize_str(text) if self.normalizer else text
+
     def words(self, text: str) -> list[str]:
         """The words and special tokens of a text, in order; a special token's name starts with a blank, which no word does."""
         out: list[str] = []
@@ -173,34 +201,34 @@ class Codec:
             if k % 2:
                 out.append(f" {part}")
             elif part:
-                part = self.normalizer.normalize_str(part) if self.normalizer else part
+                part = self.normal(part)
                 out += [w for w, _ in self.split.pre_tokenize_str(part)] if UNUSUAL.search(part) else self.pattern.findall(part)
         return out
 
-    def look_up(self, words: Iterable[str]) -> dict[str, tuple[bytes, str]]:
-        """Token ids as little-endian 32-bit integers, and token texts joined by blanks, of each word."""
-        made: dict[str, tuple[bytes, str]] = {}
-        fresh = []
-        for w in words:
-            if w in self.known:
-                made[w] = self.known[w]
-            elif w.startswith(" "):
-                made[w] = (np.uint32(self.special[w[1:]]).tobytes(), w[1:])
-            else:
-                fresh.append(w)
-        lettered = ["".join([self.letters[b] for b in w.encode()]) for w in fresh]
-        for w, ids in zip(fresh, self.merges.encode(lettered), strict=True):
-            made[w] = (np.array(ids, "<u4").tobytes(), " ".join([self.text[i] for i in ids]))
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        self.known.update((w, made[w]) for w in fresh if len(w) <= KNOWN_CHARS)
-        return made
+    def learn(self, words: Iterable[str]) -> None:
+        """Token ids as little-endian 32-bit integers, and token texts joined by blanks, of words not yet known."""
+        fresh = [w for w in words if w not in self.known]
+        plain = [w for w in fresh if not w.startswith(" ")]
+        self.known.update((w, (np.uint32(self.special[w[1:]]).tobytes(), w[1:])) for w in fresh if w.startswith(" "))
+        lettered = ["".join([self.letters[b] for b in w.encode()]) for w in plain]
+        for w, ids in zip(plain, self.merges.encode(lettered), strict=True):
+            self.known[w] = (np.array(ids, "<u4").tobytes(), " ".join([self.text[i] for i in ids]))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
         cut = [self.words(t) for t in texts]
-        made = self.look_up(set(chain.from_iterable(cut)))
-        return [(b"".join([made[w][0] for w in ws]), " ".join([d for w in ws if (d := made[w][1])])) for ws in cut]
+        words = set(chain.from_iterable(cut))
+        self.learn(words)
+        out = []
+        for ws in cut:
+            ids, decoded = zip(*map(self.known.__getitem__, ws), strict=True) if ws else ((), ())
+            out.append((b"".join(ids), " ".join(decoded if all(decoded) else filter(None, decoded))))
+        for w in words:
+            if len(w) > KNOWN_CHARS:
+                del self.known[w]
+        return out
 
 
 @cache

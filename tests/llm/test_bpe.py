@@ -64,6 +64,9 @@ def test_usual_letters_are_the_librarys():
     usual = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000 and not bpe.UNUSUAL.match(chr(x))]
     text = " ".join(f"a{c}!" for c in usual)
     assert len(usual) > 30_000 and [w for w, _ in codec.split.pre_tokenize_str(text)] == codec.pattern.findall(text)
+    composed = [c for c in usual if not c.isspace()]
+    assert codec.folds and all(codec.normal(f"a{c}b") == codec.normalizer.normalize_str(f"a{c}b") for c in composed)
+    assert codec.merges.merged([*range(300, 340)] * 2) == codec.merges.merged_far([*range(300, 340)] * 2)
 
 
 def small_file(path, merges, letters="abc"):

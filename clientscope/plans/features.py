@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +12,7 @@ from pyspark.sql import types as T
 from clientscope.functions.columns import fix_types, select_by_pattern
 from clientscope.functions.dates import day, shift_month_end
 from clientscope.functions.numbers import null_safe_sum, safe_ratio
+from clientscope.operators.correlation import correlations, kept_greedy, kept_of_groups
 from clientscope.operators.joins import assemble, left_chain
 from clientscope.operators.ranking import present
 from clientscope.operators.rolling import rolling_windows
@@ -277,82 +276,45 @@ def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Pearson matrix; each pair over the rows that have both values. NaN where a column does not vary.
-
-    Every task reduces its rows to the sums of all pairs, which are added up by pair; only the p x p result comes to the
-    driver. Values are taken relative to the column's mean, so that large values do not cancel.
-    """
-    values = [F.when(present(c), F.col(c).cast("double")) for c in cols]
-    means = df.agg(*[F.coalesce(F.avg(v), F.lit(0.0)).alias(f"m{i}") for i, v in enumerate(values)]).first()
-    flat = df.select(*[(v - F.lit(float(m))).alias(f"v{i}") for i, (v, m) in enumerate(zip(values, means))])
-    p = len(cols)
-    at = np.indices((p, p)).reshape(2, -1)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, p, p))
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-            has = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            total += np.stack([has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x])
-        parts = [pa.array(a) for a in (*at.astype(np.int32), *total.reshape(4, -1))]
-        yield pa.RecordBatch.from_arrays(parts, names=["i", "j", "n", "s", "q", "xy"])
-
-    names = ("n", "s", "q", "xy")
-    rows = flat.mapInArrow(sums, "i int, j int, n double, s double, q double, xy double")
-    found = rows.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
-    n, s, q, xy = (np.zeros((p, p)) for _ in names)
-    for matrix, c in zip((n, s, q, xy), names):
-        matrix[found["i"], found["j"]] = found[c]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cov = xy - s * s.T / n
-        spread = (q - s * s / n) * (q.T - s.T * s.T / n)
-        return np.where(spread > 0, cov / np.sqrt(spread), np.nan)
+    """Pearson matrix of a moderate number of columns, on the driver; NaN where a column does not vary."""
+    out = np.full((len(cols), len(cols)), np.nan)
+    for i, j, r in correlations(df, cols, -1.0).where("j >= 0").collect():
+        out[i, j] = out[j, i] = r
+    varies = df.agg(*[F.coalesce(F.stddev(F.when(present(c), F.col(c).cast("double"))) > 0, F.lit(False)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    np.fill_diagonal(out, [1.0 if v else np.nan for v in varies])
+    return out
 
 
 def correlated_pairs(df: DataFrame, cols: Sequence[str], threshold: float) -> DataFrame:
     """(a, b, r) for column pairs with abs(r) above the threshold, a before b in column order."""
-    m = correlation_matrix(df, cols)
-    pairs = [
-        (cols[i], cols[j], float(m[i][j]))
-        for i in range(len(cols))
-        for j in range(i + 1, len(cols))
-        if abs(m[i][j]) > threshold
-    ]
-    return df.sparkSession.createDataFrame(pairs, "a string, b string, r double")
+    names = F.array(*[F.lit(c) for c in cols])
+    found = correlations(df, cols, threshold).where("j >= 0")
+    return found.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "r")
+
+
+def uncorrelated_greedy(df: DataFrame, cols: Sequence[str], threshold: float) -> list[str]:
+    """The columns without those that correlate above the threshold with an earlier one that stays."""
+    pairs = [(r.i, r.j) for r in correlations(df, cols, threshold).where("j >= 0").collect()]
+    return [cols[i] for i in kept_greedy(len(cols), pairs)]
+
+
+def uncorrelated_groups(df: DataFrame, cols: Sequence[str], threshold: float) -> list[str]:
+    """One column of every group linked by correlations above the threshold: the one most correlated over all."""
+    rows = correlations(df, cols, threshold).collect()
+    weight = {r.i: round(r.r, 9) for r in rows if r.j < 0}
+    kept = kept_of_groups(len(cols), [(r.i, r.j) for r in rows if r.j >= 0], [weight.get(i, 0.0) for i in range(len(cols))])
+    return [cols[i] for i in kept]
 
 
 def drop_correlated_greedy(df: DataFrame, threshold: float, skip: Sequence[str] = KEYS) -> DataFrame:
     """Drop every later column that correlates above the threshold with a kept one."""
     cols = numeric_columns(df, skip)
-    if len(cols) < 2:
-        return df
-    m = correlation_matrix(df, cols)
-    gone: set[int] = set()
-    for i in range(len(cols)):
-        if i not in gone:
-            gone |= {j for j in range(i + 1, len(cols)) if abs(m[i][j]) > threshold}
-    return df.drop(*[cols[j] for j in gone])
+    kept = set(uncorrelated_greedy(df, cols, threshold)) if len(cols) > 1 else set(cols)
+    return df.drop(*[c for c in cols if c not in kept])
 
 
 def drop_correlated_groups(df: DataFrame, threshold: float, skip: Sequence[str] = KEYS) -> DataFrame:
     """Of every group of columns linked by a correlation above the threshold keep the most correlated one."""
     cols = numeric_columns(df, skip)
-    if len(cols) < 2:
-        return df
-    m = abs(correlation_matrix(df, cols))
-    group = list(range(len(cols)))
-
-    def top(x: int) -> int:
-        while group[x] != x:
-            group[x] = x = group[group[x]]
-        return x
-
-    for i, j in zip(*np.nonzero(np.triu(m > threshold, 1))):
-        a, b = top(int(i)), top(int(j))
-        group[max(a, b)] = min(a, b)
-    group = [top(i) for i in range(len(cols))]
-    weight = [sum(x for x in row if not math.isnan(x)) for row in m]
-    best = {g: max((i for i in range(len(cols)) if group[i] == g), key=lambda i: (weight[i], -i)) for g in set(group)}
-    keep = {cols[i] for i in best.values()}
-    return df.drop(*[c for c in cols if c not in keep])
+    kept = set(uncorrelated_groups(df, cols, threshold)) if len(cols) > 1 else set(cols)
+    return df.drop(*[c for c in cols if c not in kept])

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from clientscope.functions import dates as d
 from clientscope.functions import predicates as p
 from clientscope.operators import aggregate as a
+from clientscope.operators import bitmaps as bm
 from clientscope.queries.registry import query
 from clientscope.sources import fixtures as fx
+from clientscope.sources.sinks import stored
 
 CATEGORIES = ("ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE", "NONE")
 
@@ -233,6 +235,31 @@ def agg_campaign_monthly(spark, sf):
     )
 
 
+CAMPAIGN_FACTS = """f as (select last_day(cast(o_orderdate as date)) as month, o_orderpriority as campaign, l_returnflag = 'R' as flag, o_custkey as epk
+    from orders join lineitem on o_orderkey = l_orderkey)"""
+
+
+@query(
+    "agg_distinct_bitmaps",
+    f"""with {CAMPAIGN_FACTS}
+        select cast(month as varchar) as period, campaign, count(distinct epk) as clients from f group by 1, 2
+        union all select 'all months', campaign, count(distinct epk) from f group by campaign
+        union all select 'all flags', campaign, count(*) from (select campaign, epk from f group by 1, 2 having count(distinct flag) = 2) group by campaign""",
+)
+def agg_distinct_bitmaps(spark, sf):
+    """Clients per month and campaign as bits; months and flags are then united and met without the facts."""
+    facts = fx.table(spark, sf, "orders").join(fx.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.last_day(F.col("o_orderdate").cast("date")).cast("string").alias("month"), F.col("o_orderpriority").alias("campaign"),
+        (F.col("l_returnflag") == "R").alias("flag"), F.col("o_custkey").alias("epk"),
+    )
+    bits = stored(bm.client_bitmaps(facts, ["month", "campaign", "flag"], "epk"), "bitmaps")
+    monthly = bm.clients(bm.merged(bits, ["month", "campaign"]), ["month", "campaign"]).withColumnRenamed("month", "period")
+    every = bm.clients(bm.merged(bits, ["campaign"]), ["campaign"]).select(F.lit("all months").alias("period"), "campaign", "clients")
+    flags = bm.common(bm.merged(bits, ["campaign", "flag"]), ["campaign"], "flag")
+    both = bm.clients(flags, ["campaign"]).select(F.lit("all flags").alias("period"), "campaign", "clients")
+    return monthly.unionByName(every).unionByName(both)
+
+
 SHARE_SQL = ", ".join(
     f"round(count(*) filter (mcc_code = '{c}') / count(*), 6) as {c.lower()}_cnt_share, "
     f"round(coalesce(sum(amt) filter (mcc_code = '{c}'), 0) / nullif(sum(amt), 0), 6) as {c.lower()}_amt_share"

@@ -162,6 +162,23 @@ def eval_class_histogram(spark, sf):
     return ev.class_histogram(fx.features_wide(spark, sf), "target", [f"f{k}" for k in range(64)], -0.5, 0.5, 20)
 
 
+@query(
+    "eval_class_density",
+    fx.with_views("features_wide", f"lg as ({HIST_SQL})")
+    + """, s as (select feature, target, count(*) as n, stddev_samp(value) * pow(count(*), -0.2) as h from lg group by 1, 2),
+           g as (select unnest(range(41)) as point),
+           v as (select feature, target, (value + 0.5) / 0.025 as pt, least(floor((value + 0.5) / 0.025), 39) as lo from lg where value between -0.5 and 0.5),
+           k as (select s.feature, s.target, g.point, sum((1 - pt + lo) * exp(-pow((g.point - lo) * 0.025 / h, 2) / 2)
+                                                          + (pt - lo) * exp(-pow((g.point - lo - 1) * 0.025 / h, 2) / 2)) as total
+                 from v join s on v.feature = s.feature and v.target = s.target cross join g group by all)
+         select s.feature, s.target, g.point::int as point, round(-0.5 + g.point * 0.025, 9)::double as x,
+                round(coalesce(total, 0) / (n * h * sqrt(2 * pi())), 6) as density
+         from s cross join g left join k on k.feature = s.feature and k.target = s.target and k.point = g.point""",
+)
+def eval_class_density(spark, sf):
+    return ev.class_density(fx.features_wide(spark, sf), "target", [f"f{k}" for k in range(64)], -0.5, 0.5, 41)
+
+
 @query(
     "eval_score_describe",
     fx.with_views("binary_scored")

@@ -1,11 +1,14 @@
-"""Splits, encoding, training and scoring. Registered fits use few trees; the functions default to full size."""
+"""Splits, encoding, training and scoring. Fits have the functions' default size; boosting fits share one binned matrix a query."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clientscope.ml import boosting as bo
 from clientscope.ml import evaluate as ev
 from clientscope.ml import models as m
+from clientscope.ml import search as se
+from clientscope.ml.binned import build_matrix
 from clientscope.ml.split import assign_parts
 from clientscope.queries.registry import query
 from clientscope.sources import fixtures as fx
@@ -90,36 +93,96 @@ def multi_forest(spark, sf, features=MULTI):
     return m.fit(m.forest(), train, features, "target")
 
 
+def split_documents(spark, sf):
+    """All labelled documents with their part, category columns encoded on the training part."""
+    parts = assign_parts(documents(spark, sf), "epk")
+    (coded,) = m.ordinal_encode(parts.where("part = 'train'"), [parts], ["lang", "source"])
+    return coded
+
+
+def split_embeddings(spark, sf):
+    return assign_parts(fx.features_wide(spark, sf), "epk")
+
+
+@query(
+    "ml_binned_matrix",
+    f"""with p as (select {PART_SQL.format(k="vec_id")} as part, label from embeddings)
+        select part, label as class, count(*) as n, 64::bigint as features from p group by 1, 2""",
+)
+def ml_binned_matrix(spark, sf):
+    """Rows of each part and class, read back from the blocks of the matrix."""
+    matrix = build_matrix(split_embeddings(spark, sf), MULTI, "target")
+    cells = matrix.table.select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct(
+            F.conv(F.hex(F.substring("p", i, F.lit(1))), 16, 10).cast("int").alias("p"), F.conv(F.hex(F.substring("y", i, F.lit(1))), 16, 10).cast("int").alias("y")))).alias("c"),
+        F.expr("octet_length(bins) div n").cast("bigint").alias("features"),
+    )
+    names = [F.element_at(F.array(*[F.lit(v) for v in values]), F.col(f"c.{c}") + 1).alias(name) for values, c, name in ((matrix.parts, "p", "part"), (matrix.classes, "y", "class"))]
+    return cells.select(*names, "features").groupBy("part", "class", "features").agg(F.count(F.lit(1)).alias("n"))
+
+
+def softmax_model(spark, sf):
+    """All 64 columns, trees of depth 5, early stopping on the validation part."""
+    parts = split_embeddings(spark, sf)
+    return parts, bo.fit_softmax(build_matrix(parts, MULTI, "target"))
+
+
 @query("ml_boosting_multiclass")
 def ml_boosting_multiclass(spark, sf):
-    """Boosted trees one against the rest on the strongest columns."""
-    train, val, test = multi_parts(spark, sf)
-    kept = m.top_features(multi_forest(spark, sf), MULTI, k=8)
-    model = m.fit(m.one_vs_rest(rounds=2, depth=2, parallelism=4), train, kept, "target")
-    hits = model.transform(m.assembled(test, kept, "target")).select(
-        F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("predicted")
+    """Softmax boosting of all classes at once; the report is that of the test part."""
+    parts, model = softmax_model(spark, sf)
+    scored = bo.predict(model, parts.where("part = 'test'"), "target")
+    return ev.class_report(ev.confusion(scored.select(F.col("target").alias("y"), bo.predicted_class(model).alias("predicted")), "y", "predicted"))
+
+
+@query(
+    "ml_softmax_scores",
+    f"select vec_id as epk, {PART_SQL.format(k='vec_id')} as part, label as target, 10::int as classes, 1.0::double as total, true as inside from embeddings",
+)
+def ml_softmax_scores(spark, sf):
+    """Every row scored: as many probabilities as classes, all inside (0, 1), adding up to one."""
+    parts, model = softmax_model(spark, sf)
+    total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
+    return bo.predict(model, parts, "epk", "part", "target").select(
+        "epk", "part", "target", F.size("proba").alias("classes"), F.round(total, 6).alias("total"), F.forall("proba", lambda x: (x > 0) & (x < 1)).alias("inside")
     )
-    return ev.class_report(ev.confusion(hits, "y", "predicted"))
+
+
+#: A fit for each step: a larger rate and less patience, so that a fit takes tens of rounds; all rows, columns and levels.
+QUICK = bo.Params(rate=0.3, patience=5)
+STEPS = "features int, dropped string, auc double, rounds int"
 
 
 @query("ml_feature_elimination")
 def ml_feature_elimination(spark, sf):
-    train, val, _ = binary_parts(spark, sf)
-    steps = m.eliminate(
-        lambda: m.forest(trees=10), train, val, BINARY, "target", lambda model, df, f: m.binary_auc(model, df, f, "target"), least=3
-    )
-    return m.rows_to_frame(spark, steps, "features int, dropped string, auc double")
+    """Binary: importance cut, then the weakest column goes, fit after fit, all on one matrix."""
+    matrix = build_matrix(split_documents(spark, sf), BINARY, "target")
+    return m.rows_to_frame(spark, se.eliminate(matrix, QUICK), STEPS)
+
+
+@query("ml_feature_elimination_multiclass")
+def ml_feature_elimination_multiclass(spark, sf):
+    """Ten classes: from all 64 columns to 50 in five steps."""
+    matrix = build_matrix(split_embeddings(spark, sf), MULTI, "target")
+    return m.rows_to_frame(spark, se.eliminate(matrix, QUICK, least=50, steps=5), STEPS)
+
+
+def searched(spark, matrix, gap):
+    trials = se.halving(matrix, gap=gap)
+    rows = [(t.number, ", ".join(f"{k}={v}" for k, v in sorted(t.params.items())), t.rounds, t.rung, t.train_auc, t.val_auc, t.objective) for t in trials]
+    return m.rows_to_frame(spark, rows, "trial int, params string, rounds int, rung int, train_auc double, val_auc double, objective double")
 
 
 @query("ml_param_search")
 def ml_param_search(spark, sf):
-    train, val, _ = binary_parts(spark, sf)
-    grid = [{"depth": d, "trees": n} for d in (2, 4) for n in (5, 15)]
-    trials = m.search(
-        lambda p: m.forest(trees=p["trees"], depth=p["depth"]), grid, train, val, BINARY, "target",
-        lambda model, df: m.binary_auc(model, df, BINARY, "target"),
-    )
-    return m.rows_to_frame(spark, trials, "trial int, params string, train_auc double, val_auc double, objective double")
+    """Binary: 150 trials by successive halving; a training AUC more than 0.01 above the validation AUC ends a trial."""
+    return searched(spark, build_matrix(split_documents(spark, sf), BINARY, "target"), m.BINARY_GAP)
+
+
+@query("ml_param_search_multiclass")
+def ml_param_search_multiclass(spark, sf):
+    """Ten classes: the same with a gap of 0.02."""
+    return searched(spark, build_matrix(split_embeddings(spark, sf), MULTI, "target"), m.MULTICLASS_GAP)
 
 
 def dated_features(spark, sf):
@@ -140,13 +203,9 @@ def ml_time_folds(spark, sf):
 
 @query("ml_time_fold_fits")
 def ml_time_fold_fits(spark, sf):
-    """One fit per fold; only the metrics are kept."""
-    names = MULTI
-    rows = []
-    for fold, train, valid in m.fold_frames(dated_features(spark, sf), fx.REPORT_MONTHS):
-        model = m.fit(m.forest(trees=10), train, names, "target")
-        rows.append((fold, m.multiclass_auc(model, train, names, "target", 10), m.multiclass_auc(model, valid, names, "target", 10)))
-    return m.rows_to_frame(spark, rows, "fold string, train_auc double, valid_auc double")
+    """One fit per fold, all grown side by side; only the metrics are kept."""
+    rows = se.fold_fits(dated_features(spark, sf), fx.REPORT_MONTHS, MULTI, "target")
+    return m.rows_to_frame(spark, rows, "fold string, train_n int, valid_n int, train_auc double, valid_auc double, rounds int")
 
 
 @query("topk_by_importance")

@@ -8,6 +8,7 @@ from clientscope.functions import columns as cols
 from clientscope.functions import dates as d
 from clientscope.functions import numbers as num
 from clientscope.functions import predicates as p
+from clientscope.operators import keywords as kw
 from clientscope.queries.registry import query
 from clientscope.sources import fixtures as fx
 
@@ -280,6 +281,33 @@ def classify_code_and_keyword(spark, sf):
     return totals(tx.withColumn("sphere", sphere).where("sphere is not null"), "sphere")
 
 
+EIGHT = (
+    *SPHERES,
+    {"label": "home", "codes": ["MEDIUM"], "words": ["anvil", "bolt"]}, {"label": "cars", "codes": ["LARGE", "ECONOMY"], "words": ["gear", "blue"]},
+    {"label": "pets", "codes": ["STANDARD", "SMALL"], "words": ["old", "red"]}, {"label": "books", "codes": ["MEDIUM", "LARGE"], "words": ["plate", "green"]},
+    {"label": "games", "codes": ["ECONOMY", "PROMO", "MEDIUM"], "words": ["ring", "small"]},
+)
+
+
+def eight_sql() -> str:
+    def hit(r):
+        codes = ", ".join(f"'{c}'" for c in r["codes"])
+        ranges = "".join(f" or mcc_code between '{a}' and '{b}'" for a, b in r.get("ranges", ()))
+        return f"(mcc_code in ({codes}){ranges}) and (" + " or ".join(f"merchant like '%{w}%'" for w in r["words"]) + ")"
+
+    return "case " + " ".join(f"when {hit(r)} then '{r['label']}'" for r in EIGHT) + " end"
+
+
+@query(
+    "classify_eight_lists",
+    fx.with_views("pos_tx") + f"select sphere, {TX_COUNT} from (select amt, {eight_sql()} as sphere from pos_tx) where sphere is not null group by sphere",
+)
+def classify_eight_lists(spark, sf):
+    """Eight spheres by code and keyword: one automaton over the distinct merchants labels all lists at once."""
+    tx = kw.label_bits(fx.pos_tx(spark, sf), "merchant", {r["label"]: r["words"] for r in EIGHT})
+    return totals(tx.withColumn("sphere", kw.code_and_label(F.col("mcc_code"), "labels", EIGHT)).where("sphere is not null"), "sphere")
+
+
 @query(
     "map_simple_case",
     fx.with_views("pos_tx")

@@ -7,10 +7,16 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from clientscope.functions import dates as d
+from clientscope.functions.columns import fix_types
+from clientscope.operators import prefix_state as ps
 from clientscope.operators.rolling import rolling_windows
 from clientscope.plans import features as ft
 from clientscope.queries.registry import query
+from clientscope.session import new_path
 from clientscope.sources import fixtures as fx
+from clientscope.sources.blocks import BlockStore, stored_blocks
+from clientscope.sources.periods import PeriodTable
+from clientscope.sources.sinks import stored
 
 WS = (3, 6, 9, 12)
 HISTORY = ("1997-11-01", fx.ANCHOR)
@@ -105,6 +111,18 @@ def feat_rolling_windows_compat(spark, sf):
     return rounded(out)
 
 
+@query("feat_prefix_windows", fx.with_views("snap_sup", TARGET_SUP) + rolling_sql(["amt", "qty", "cnt"]) + JOIN_SUP)
+def feat_prefix_windows(spark, sf):
+    """The same windows from running totals: the state up to November is stored by month, December is added to it from
+    its own facts and the month before, and each window is the difference of two months."""
+    cols, history = ["amt", "qty", "cnt"], fx.snap_sup(spark, sf)
+    table = PeriodTable(spark, new_path(spark, "running-totals"))
+    table.replace(ps.build_state(history, cols, "1998-11-30"))
+    last = history.where("report_dt = date'1998-12-31'")
+    table.replace(ps.next_month(table.read(["1998-11-30"]), last, cols, "1998-12-31"))
+    return rounded(ps.windows(target_sup(spark, sf), table.read(), cols))
+
+
 @query(
     "feat_snapshot",
     fx.with_views("snap_sup", TARGET_SUP)
@@ -310,6 +328,13 @@ def feat_assemble(spark, sf):
     return ft.all_features(target_sup(spark, sf), feature_blocks(spark, sf))[0]
 
 
+@query("feat_assemble_buckets", ASSEMBLE_SQL)
+def feat_assemble_buckets(spark, sf):
+    """The same blocks, each stored in buckets of its keys: they are joined without an exchange."""
+    store = BlockStore(spark, 8, folder=new_path(spark, "blocks"))
+    return fix_types(stored_blocks(store, target_sup(spark, sf), feature_blocks(spark, sf)))
+
+
 FULL_SQL = {
     "snapshot": "select epk, report_dt, round(amt, 2) as amt, qty, cnt from snap_sup",
     "arrests": rolling_sql(["sum_val_arrests", "qty_val_arrests"], (1, *WS), skip_ratio=(1,)) + JOIN_CUST.replace("snap_cust", "h"),
@@ -350,7 +375,8 @@ def feat_full_set(spark, sf):
         "month_embeddings": lambda t: ft.monthly_embeddings(t, monthly),
         "dynamics": lambda t: rounded(ft.dynamics_by_schema(t, named_snapshot(spark, sf), columns_per_pass=100)),
     }
-    return ft.all_features(target_sup(spark, sf), blocks)[0]
+    # Every block asks for the target's rows and dates, so they are stored once.
+    return ft.all_features(stored(target_sup(spark, sf), "target"), blocks)[0]
 
 
 @query(
@@ -389,6 +415,44 @@ def feat_drop_correlated_groups(spark, sf):
     return ft.drop_correlated_groups(fx.features_wide(spark, sf), GREEDY, ("epk", "target"))
 
 
+CORR_SQL = (
+    fx.with_views("features_wide", "long as (unpivot (select * exclude (target) from features_wide) on * exclude (epk) into name c value v)")
+    .replace("with ", "with recursive ", 1)
+    + """, r as (select cast(substr(x.c, 2) as int) as i, cast(substr(y.c, 2) as int) as j, abs(corr(x.v, y.v)) as r
+                 from long x join long y on x.epk = y.epk group by 1, 2)"""
+)
+
+
+@query(
+    "feat_kept_greedy",
+    CORR_SQL
+    + f""", against as (select j as c, coalesce(list(i) filter (i < j and r > {GREEDY}), []) as others from r group by j),
+           step as (select -1 as c, []::int[] as kept union all
+                    select a.c, case when list_has_any(s.kept, a.others) then s.kept else list_append(s.kept, a.c) end
+                    from step s join against a on a.c = s.c + 1)
+         select 'f' || unnest(kept) as feature from step where c = 63""",
+)
+def feat_kept_greedy(spark, sf):
+    """Names of the columns that the greedy filter keeps."""
+    return names(spark, ft.uncorrelated_greedy(fx.features_wide(spark, sf), [f"f{k}" for k in range(64)], GREEDY))
+
+
+@query(
+    "feat_kept_groups",
+    CORR_SQL
+    + f""", reach as (select distinct i, i as j from r union select e.i, r.j from reach e join r on r.i = e.j and r.r > {GREEDY} and r.i <> r.j),
+           grp as (select i, min(j) as g from reach group by i), weight as (select i, round(sum(r), 9) as w from r group by i)
+         select 'f' || i as feature from (select i, row_number() over (partition by g order by w desc, i) as rn from grp join weight using (i)) where rn = 1""",
+)
+def feat_kept_groups(spark, sf):
+    """Names of the columns that the group filter keeps."""
+    return names(spark, ft.uncorrelated_groups(fx.features_wide(spark, sf), [f"f{k}" for k in range(64)], GREEDY))
+
+
+def names(spark, kept):
+    return spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
 @query(
     "feat_scoring_subset",
     fx.with_views("snap_sup", TARGET_SUP, NAMED_SQL)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clientscope.operators.windows import rank_in_client, wide_top
 from clientscope.queries.registry import query
 from clientscope.session import new_path
+from clientscope.sources.periods import PeriodTable
 from clientscope.sources import fixtures as fx
 from clientscope.sources import readers, sinks
 from clientscope.functions.columns import ids_first
@@ -104,6 +105,36 @@ def stage_if_absent(spark, sf):
     return sinks.stage_if_absent(spark, path, lambda: rounded(fx.snap_sup(spark, sf)).limit(0))
 
 
+@query(
+    "sink_period_versions",
+    fx.with_views("snap_sup")
+    + """select epk, report_dt, round(case when report_dt = date '1998-12-31' then amt * 2 else amt end, 2) as amt,
+                cast(cnt as bigint) as cnt, case when report_dt = date '1998-12-31' then 2 else 1 end as version from snap_sup
+         union all select epk, report_dt, round(amt, 2), cast(cnt as bigint), 0 from snap_sup where report_dt = date '1998-12-31'""",
+)
+def sink_period_versions(spark, sf):
+    """The last month is swapped in a second version; the first one's month is read beside it as version 0."""
+    table = PeriodTable(spark, new_path(spark, "versioned"))
+    scores = rounded(fx.snap_sup(spark, sf)).withColumn("version", F.lit(1))
+    first = table.replace(scores)
+    last = scores.where("report_dt = date'1998-12-31'")
+    table.replace(last.withColumns({"amt": F.round(F.col("amt") * 2, 2), "version": F.lit(2)}))
+    return table.read().unionByName(table.read(["1998-12-31"], first).withColumn("version", F.lit(0)))
+
+
+@query("stage_by_content", fx.with_views("snap_sup") + f"select {SNAP_OUT}, 2::int as factor from snap_sup")
+def stage_by_content(spark, sf):
+    """A block of one parameter is written and another one of a second parameter; the second is read back."""
+    folder = new_path(spark, "staged")
+
+    def block(factor):
+        return sinks.stage(spark, folder, "snapshot", lambda: rounded(fx.snap_sup(spark, sf)).withColumn("factor", F.lit(factor)))
+
+    block(1)
+    block(2)
+    return block(2)
+
+
 @query("sink_repartitioned", fx.with_views("snap_cust") + f"select {SNAP_OUT} from snap_cust")
 def sink_repartitioned(spark, sf):
     return sinks.write_sized(rounded(fx.snap_cust(spark, sf)), new_path(spark, "sized"), files=8, salts=4)

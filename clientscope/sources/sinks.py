@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientscope.session import new_path
+
 
 def overwrite(df: DataFrame, target: str, partition_by: str | None = None) -> DataFrame:
     """Replace a table or a Parquet path and return the written data."""
@@ -20,6 +25,13 @@ def overwrite(df: DataFrame, target: str, partition_by: str | None = None) -> Da
     return df.sparkSession.table(target)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared work folder: lineage ends there, and a lost executor takes nothing with it."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def replace_period(df: DataFrame, target: str, period: str = "report_dt", salts: int = 8) -> DataFrame:
     """Write the periods present in ``df`` and leave all others: running it twice changes nothing.
 
@@ -59,6 +71,34 @@ def stage_if_absent(spark: SparkSession, target: str, build: Callable[[], DataFr
     return spark.read.parquet(target)
 
 
+def fingerprint(df: DataFrame, **parameters: object) -> str:
+    """Digest of what a frame is made of: its plan, the parameters given, and path, length and time of every input file.
+
+    The plan is compared in its canonical form, so a rebuilt frame of the same code has the same digest. Python functions
+    inside it have no text in the plan: name their version among the parameters. Files are listed and added up by Spark.
+    """
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    files = df.inputFiles()
+    listed = "none"
+    if files:
+        found = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+        one = F.conv(F.substring(F.md5(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime"))), 1, 15), 16, 10).cast("decimal(38,0)")
+        listed = str(found.agg(F.count(F.lit(1)), F.sum(one)).first())
+    # Numbers that Spark gives to objects of one session are no part of what is computed.
+    plan = re.sub(r"(#|plan_id=|@)[0-9a-f]+L?", "", plan)
+    return hashlib.sha256(json.dumps([plan, listed, sorted((k, repr(v)) for k, v in parameters.items())]).encode()).hexdigest()
+
+
+def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], **parameters: object) -> DataFrame:
+    """A block that is built once for each state of its code, parameters and input files.
+
+    The block's path carries the digest of all three, so a block of other parameters or of changed files is never served,
+    and one that is there is not built again. Old blocks stay until their owner removes them.
+    """
+    df = build()
+    return stage_if_absent(spark, f"{folder}/{name}-{fingerprint(df, **parameters)[:32]}", lambda: df)
+
+
 def write_sized(df: DataFrame, path: str, files: int, key: str = "epk", salts: int = 1) -> DataFrame:
     """Write about ``files`` files clustered by key; ``salts`` spreads a heavy key over several of them."""
     spread = F.pmod(F.xxhash64(*df.columns), F.lit(salts))

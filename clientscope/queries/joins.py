@@ -116,16 +116,14 @@ def join_anti_not_in(spark, sf):
 
 @query(
     "join_semi_unique_keys",
-    """select o_custkey as epk, o_orderkey from orders where o_orderdate >= timestamp '1998-10-01'
-       and o_orderdate < timestamp '1999-01-01' and o_custkey in (
-         select o_custkey from orders where o_orderdate >= timestamp '1998-10-01'
-         and o_orderdate < timestamp '1999-01-01' group by 1 having count(*) = 1)""",
+    """with o as (select o_custkey || '|' || last_day(cast(o_orderdate as date)) as client_month, o_custkey as epk, o_orderkey from orders)
+       select * from o where client_month in (select client_month from o group by 1 having count(*) = 1)""",
 )
 def join_semi_unique_keys(spark, sf):
-    o = fx.table(spark, sf, "orders").where(
-        "o_orderdate >= timestamp_ntz'1998-10-01' and o_orderdate < timestamp_ntz'1999-01-01'"
-    )
-    return j.keys_seen_once(o.select(F.col("o_custkey").alias("epk"), "o_orderkey"), "epk")
+    """The orders of clients who ordered once in a month, over all months."""
+    month = F.last_day(F.col("o_orderdate").cast("date")).cast("string")
+    o = fx.table(spark, sf, "orders").select(F.concat_ws("|", F.col("o_custkey").cast("string"), month).alias("client_month"), F.col("o_custkey").alias("epk"), "o_orderkey")
+    return j.keys_seen_once(o, "client_month")
 
 
 @query(
@@ -244,29 +242,29 @@ def join_residual_predicate(spark, sf):
 
 @query(
     "join_campaign_response",
-    """with resp as (select user_id as epk, max(case when event_type = 'purchase' then 1 else 0 end) as flag from events
-                     where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-21' group by 1)
-       select o_custkey as epk, l_returnflag as campaign, count(*) as n, max(flag) as responded from orders
-       join lineitem on o_orderkey = l_orderkey left join resp on resp.epk = o_custkey
-       where o_orderdate >= timestamp '1998-07-01' and o_orderdate < timestamp '1998-10-01' group by 1, 2""",
+    """with hist as (select o_custkey as epk, l_returnflag as campaign, date '2024-01-01' + cast(day(o_orderdate) - 1 as int) as start_dt
+                     from orders join lineitem on o_orderkey = l_orderkey),
+            resp as (select user_id as epk, cast(ts as date) as day, max(case when event_type = 'purchase' then 1 else 0 end) as flag from events group by 1, 2),
+            sent as (select epk, campaign, start_dt, count(*) as n from hist group by all),
+            met as (select s.epk, s.campaign, s.start_dt, any_value(s.n) as n, max(r.flag) as flag from sent s
+                    left join resp r on r.epk = s.epk and r.day >= s.start_dt and r.day <= s.start_dt + 7 group by s.epk, s.campaign, s.start_dt)
+       select epk, campaign, cast(sum(n) as bigint) as n, count(flag) as answered_starts, max(flag) as responded from met group by epk, campaign""",
 )
 def join_campaign_response(spark, sf):
-    """The date bound of the response belongs to the join, so it filters the response before the left join."""
-    resp = (
-        fx.table(spark, sf, "events")
-        .where("ts >= timestamp_ntz'2024-01-10' and ts < timestamp_ntz'2024-01-21'")
-        .groupBy(F.col("user_id").alias("epk"))
-        .agg(F.max(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("flag"))
-    )
-    history = fx.table(spark, sf, "orders").where(
-        "o_orderdate >= timestamp_ntz'1998-07-01' and o_orderdate < timestamp_ntz'1998-10-01'"
-    )
-    contacts = (
-        history.join(fx.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-        .groupBy(F.col("o_custkey").alias("epk"), F.col("l_returnflag").alias("campaign"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return contacts.join(resp, "epk", "left").select("epk", "campaign", "n", F.col("flag").alias("responded"))
+    """Each contact has its campaign's start; a response counts if it falls into the week from that start on.
+
+    The dates of both sides belong to the join. Contacts and responses are reduced to one row per client and day first,
+    so the join widens neither of them by more than the days of the window.
+    """
+    start = F.date_add(F.lit("2024-01-01").cast("date"), F.dayofmonth("o_orderdate") - 1)
+    lines = fx.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("campaign"))
+    history = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("epk"), start.alias("start_dt"))
+    sent = history.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("epk", "campaign", "start_dt").agg(F.count(F.lit(1)).alias("n"))
+    flag = F.max(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("flag")
+    resp = fx.table(spark, sf, "events").groupBy(F.col("user_id").alias("__k"), F.col("ts").cast("date").alias("day")).agg(flag)
+    near = (F.col("epk") == F.col("__k")) & F.col("day").between(F.col("start_dt"), F.date_add("start_dt", 7))
+    met = sent.join(resp, near, "left").groupBy("epk", "campaign", "start_dt").agg(F.first("n").alias("n"), F.max("flag").alias("flag"))
+    return met.groupBy("epk", "campaign").agg(F.sum("n").alias("n"), F.count("flag").alias("answered_starts"), F.max("flag").alias("responded"))
 
 
 @query(

@@ -18,9 +18,9 @@ PRESENT = "(" + " or ".join(f"{c} is not null" for c in CONTACT) + ")"
 def four_sql(some):
     b, o = '"view" is not null', "click is not null"
     return (
-        fx.with_views("contacts")
+        fx.with_views("daily_contacts")
         + " union all ".join(
-            f"select epk, '{k}' as target from contacts where {cond}"
+            f"select epk, day, '{k}' as target from daily_contacts where {cond}"
             for k, cond in (
                 ("1", f"{b} and {o} and {NONE}"), ("2", f"{b} and not {o} and {some}"),
                 ("3", f"not {b} and {o} and {NONE}"), ("4", f"not {b} and not {o} and {some}"),
@@ -47,25 +47,19 @@ def five_sql(some):
 
 @query("target_four_class", four_sql(STRICT))
 def target_four_class(spark, sf):
-    return t.four_class(fx.contacts(spark, sf), "view", "click", CONTACT).select("epk", "target")
+    """The channel mix of every client and day of the whole table."""
+    return t.four_class(fx.daily_contacts(spark, sf), "view", "click", CONTACT).select("epk", "day", "target")
 
 
 @query("target_four_class_compat", four_sql(PRESENT))
 def target_four_class_compat(spark, sf):
-    return t.four_class(fx.contacts(spark, sf), "view", "click", CONTACT, strict=False).select("epk", "target")
+    return t.four_class(fx.daily_contacts(spark, sf), "view", "click", CONTACT, strict=False).select("epk", "day", "target")
 
 
 def all_clients(spark, sf):
+    """Every client with the channel counts of the whole period. All channels come from one table and one aggregation."""
     base = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("epk"))
-    ev = fx.table(spark, sf, "events").where(
-        "ts >= timestamp_ntz'2024-01-15' and ts < timestamp_ntz'2024-01-17'"
-    ).select(F.col("user_id").alias("epk"), "event_type")
-    names = ("view", "click", "purchase", "error", "signup")
-    # All channels come from one table here, so they are counted in one aggregation instead of one per channel.
-    counts = ev.groupBy("epk").agg(
-        *[F.nullif(F.count(F.when(F.col("event_type") == n, 1)), F.lit(0)).alias(n) for n in names]
-    )
-    return base.join(counts, "epk", "left")
+    return base.join(fx.contacts(spark, sf), "epk", "left")
 
 
 @query("target_five_class", five_sql(STRICT))

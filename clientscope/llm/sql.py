@@ -3,7 +3,7 @@
 import re
 
 from clientscope.llm.chat import Template
-from clientscope.llm.licenses import TEMPLATES
+from clientscope.llm.licenses import TEMPLATES, VARIANTS
 from clientscope.llm.line_quality import BOILERPLATE, END_MARKS, SEPARATORS
 from clientscope.llm.secrets import RULES as SECRET_RULES
 from clientscope.llm.urls import RULES as URL_RULES
@@ -184,23 +184,30 @@ URLS = urls()
 def licenses() -> str:
     quote = lambda x: x.replace("'", "''")
     rows = ", ".join(f"('{quote(k)}', {i}, '{quote(t)}')" for k, v in sorted(TEMPLATES.items()) for i, t in enumerate(v))
-    words = rf"""list_filter(list_transform(regexp_extract_all({fold("p")}, '[^\x00-\x2D\x2F\x3A-\x60\x7B-\x7F]+'),
-                                            lambda w: regexp_replace(regexp_replace(w, '^\.+', ''), '\.+$', '')), lambda w: w <> '')"""
-    grams = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
+    variants = ", ".join(f"'{v}'" for v in VARIANTS)
+    words = rf"""list_filter(list_transform(list_transform(regexp_extract_all({fold("p")}, '[^\x00-\x2D\x2F\x3A-\x60\x7B-\x7F]+'),
+                 lambda w: regexp_replace(regexp_replace(w, '^\.+', ''), '\.+$', '')),
+                 lambda w: case when regexp_full_match(w, 'v?[0-9]+(\.[0-9]+)?') then regexp_replace(regexp_replace(w, '^v', ''), '\.0$', '') else w end), lambda w: w <> '')"""
     return rf"""
 with tt as (select license, template, {words} as ws from (values {rows}) as v(license, template, p)),
-t as (select license, template, {grams} as g from tt),
-d as (select doc_id, coalesce(text, '') as x from documents),
-p as (select distinct doc_id, p from (select doc_id, unnest(list_concat(string_split(x, chr(10)), [x],
-             regexp_split_to_array(x, '\n[\x20\t\r]*\n'))) as p from d)),
-w as (select doc_id, {words} as ws from p),
-g as (select doc_id, ws, {grams} as g from w where len(ws) > 1),
-x as (select doc_id, ws, license, template, 2.0::double * len(list_intersect(t.g, g.g)) / (len(t.g) + len(g.g)) as dice
-      from g join t on len(g.g) between len(t.g) / 4 and 4 * len(t.g)),
-b as (select *, row_number() over (partition by doc_id, ws order by dice desc, license, template) as nth from x where dice >= 0.8),
-m as (select doc_id, license, template, max(dice) as dice from b where nth = 1 group by 1, 2, 3)
+tg as (select license, template, unnest(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as gram from tt),
+t as (select license, template, len(ws) as width, list_sort(list_distinct(list_filter(ws, lambda w: w in ({variants})))) as variants from tt),
+tn as (select license, template, count(*) as m from tg group by all),
+d as (select doc_id, {words} as ws from (select doc_id, coalesce(text, '') as p from documents)),
+g as (select doc_id, len(ws) as n, unnest(range(1, len(ws))) as pos, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as gram
+      from d where len(ws) > 1),
+hits as (select g.doc_id, g.n, g.pos, g.gram, license, template from g join tg using (gram)),
+few as (select doc_id, license, template, m from hits join tn using (license, template) group by all having count(*) >= 0.8 * m / 1.2 - 1e-9),
+starts as (select distinct h.doc_id, license, template, f.m, t.width, t.variants, least(h.pos, greatest(1, h.n - t.width + 1)) as first
+           from hits h join few f using (doc_id, license, template) join t using (license, template)),
+wins as (select s.*, list_slice(d.ws, first, first + width - 1) as win from starts s join d using (doc_id)),
+own as (select *, list_distinct(list_transform(range(1, len(win)), lambda i: win[i] || ' ' || win[i + 1])) as grams from wins
+        where list_sort(list_distinct(list_filter(win, lambda w: w in ({variants})))) = variants),
+tl as (select license, template, list(gram) as grams from tg group by all),
+x as (select doc_id, license, template, 2.0::double * len(list_intersect(own.grams, tl.grams)) / (len(own.grams) + m) as dice from own join tl using (license, template)),
+b as (select doc_id, license, template, max(dice) as dice from x where dice >= 0.8 group by all)
 select doc_id, count(license) as n_matches, coalesce(string_agg(distinct license, ',' order by license), '') as licenses,
-       coalesce(max(dice), 0.0::double) as best_dice from d left join m using (doc_id) group by doc_id"""
+       coalesce(max(dice), 0.0::double) as best_dice from d left join b using (doc_id) group by doc_id"""
 
 
 LICENSES = licenses()

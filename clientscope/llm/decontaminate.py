@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import math
+import pickle
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientscope.llm.common import ddl, map_texts, name, pick, restored, slotted
+from clientscope.llm.common import ddl, map_texts, name, pick, restored, slotted, written
 
 #: Bytes to words: A-Z folded, all other ASCII outside letters and digits made blank.
 TABLE = bytes(
@@ -130,48 +137,83 @@ class Block:
                 best[d][i] = words, place
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_words: int) -> Iterator[Block]:
-    """The test items in blocks of about ``block_words`` words, so that what a task holds is bounded."""
-    items, texts, n = [], [], 0
-    for row in benchmark.select(name(item_col).cast("string").alias("item"), name(text_col).alias("text")).toLocalIterator():
-        words = words_of(None if row.text is None else row.text.encode())
-        if n and n + len(words) > block_words:
-            yield Block(width, items=items).build(texts)
-            items, texts, n = [], [], 0
-        items.append(row.item or "")
-        texts.append(words)
-        n += len(words)
-    yield Block(width, items=items).build(texts)
+#: Blocks that a worker holds ready for search at one time; with more, each slice of documents unpacks them one after another.
+HELD_BLOCKS = 2
+_held: OrderedDict[str, Block] = OrderedDict()
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_words: int) -> DataFrame:
+    """The test items in blocks of at most ``block_words`` words (or one longer item), each packed and sorted by a task."""
+    rows = benchmark.select(F.coalesce(name(item_col).cast("string"), F.lit("")).alias("item"), name(text_col).alias("text"))
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: list[str] = []
+        texts: list[list[bytes]] = []
+        n = 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"block": pa.array([pickle.dumps(Block(width, items=items).build(texts))], pa.large_binary())})
+
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                words = words_of(text.as_py())
+                if not words:
+                    continue
+                if n and n + len(words) > block_words:
+                    yield block()
+                    items, texts, n = [], [], 0
+                items.append(item)
+                texts.append(words)
+                n += len(words)
+        if n:
+            yield block()
+
+    # About six characters a word: as many tasks as blocks, so that small files do not end in small blocks.
+    return written(rows.coalesce(max(1, math.ceil(chars / (6 * block_words)))).mapInArrow(pack, "block binary"), "item-blocks")
+
+
+def loaded(number: str, sent: Broadcast) -> Block:
+    if number not in _held:
+        _held[number] = pickle.loads(sent.value)
+        with contextlib.suppress(AttributeError):
+            del sent._value  # the bytes are on the executor's disk and need not stay in the worker too
+        while len(_held) > HELD_BLOCKS:
+            _held.popitem(last=False)
+    _held.move_to_end(number)
+    return _held[number]
 
 
 def search(
     rows: DataFrame, benchmark: DataFrame, text_col: str, *, item_col: str, item_text_col: str, width: int, block_words: int
 ) -> DataFrame:
-    """The rows with the columns of FOUND: each block of items is searched for in all documents."""
+    """The rows with the columns of FOUND, in one pass: every slice of documents meets one block of items after another.
+
+    Blocks go to the tasks as broadcasts, one at a time through the driver, which holds and reads none of them.
+    """
     spark = rows.sparkSession
-    own = ddl(rows, *rows.columns)
-    found = None
-    for block in blocks(benchmark, item_col, item_text_col, width, block_words):
-        sent = spark.sparkContext.broadcast(block)
-
-        def fn(texts: list[bytes | None], sent=sent) -> dict[str, list]:
-            made = list(sent.value.search([words_of(t) for t in texts]))
-            return {
-                "n_words": [m[0] for m in made],
-                "hit_words": [m[1] for m in made],
-                "matches": [[{"item_id": i, "words": w, "at": a} for i, w, a in m[2]] for m in made],
-            }
-
-        if found is None:
-            found = map_texts(rows, fn, f"{own}, {FOUND}", text_col)
-        else:  # further blocks add to what the rows have
-            before = found.withColumnsRenamed({"hit_words": "old_hits", "matches": "old_matches"}).drop("n_words").checkpoint()
-            more = map_texts(before, fn, f"{ddl(before, *before.columns)}, {FOUND}", text_col)
-            found = more.select(
-                *rows.columns, "n_words", F.array_union("old_hits", "hit_words").alias("hit_words"),
-                F.concat("old_matches", "matches").alias("matches"),
-            )
-    return found
+    made = blocks(benchmark, item_col, item_text_col, width, block_words)
+    sent = {uuid.uuid4().hex: spark.sparkContext.broadcast(bytes(r.block)) for r in made.toLocalIterator()}
+
+    def fn(texts: list[bytes | None]) -> dict[str, list]:
+        docs = [words_of(t) for t in texts]
+        hits: list[np.ndarray] = [np.zeros(0, np.int32)] * len(docs)
+        best: list[dict[str, tuple[int, int]]] = [{} for _ in docs]
+        for number, data in sent.items():
+            for d, (_, more, matches) in enumerate(loaded(number, data).search(docs)):
+                if len(more):
+                    hits[d] = np.union1d(hits[d], more) if len(hits[d]) else more
+                for item, words, at in matches:
+                    known = best[d].get(item)
+                    if known is None or (-words, at) < (-known[0], known[1]):
+                        best[d][item] = words, at
+        return {
+            "n_words": [len(d) for d in docs],
+            "hit_words": hits,
+            "matches": [[{"item_id": i, "words": w, "at": a} for i, (w, a) in sorted(b.items())] for b in best],
+        }
+
+    return map_texts(rows, fn, f"{ddl(rows, *rows.columns)}, {FOUND}", text_col)
 
 
 def item_digest(matches: Column) -> tuple[Column, Column]:
@@ -189,11 +231,13 @@ def find_contamination(
     A window is ``width`` consecutive words of an item; a shorter item that has words is one window. A document word is
     hit if it lies in an occurrence of a window. ``matches`` has the longest verbatim match with each item: its length
     in words and its place in the document. Every slice of documents is a shard with its own suffix array, which is
-    searched by bisection with every suffix of the test items; nothing is shuffled. The items are sent to the tasks in
-    blocks of ``block_words`` words, one pass over the documents for each block.
+    looked up by bisection with every suffix of the test items that has ranks there: a suffix of a document takes part as
+    far as its words, pairs, fours and eights occur in the items. Nothing is shuffled. Tasks build blocks of ``block_words``
+    words from the items, and all blocks are searched in the one pass over the documents.
 
     Null or empty texts have no words; null ids, ties and repeated rows are judged row by row; items that share an id
-    count once, and a null item id is the empty string; without items nothing is contaminated.
+    count once, with their longest match, and a null item id is the empty string; without items nothing is contaminated.
+    An empty table gives no rows; a very long text is a shard of its own, in memory in proportion to its length.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     found = search(rows, benchmark, "text", item_col=item_col, item_text_col=item_text_col, width=width, block_words=block_words)

@@ -122,6 +122,18 @@ def test_contamination_of_short_items(spark):
     assert made[1, 14] == (2, 1) and made[5, 0] == (0, 0) and made[2, 9] == (0, 0)
 
 
+def test_blocks_of_items_change_nothing(spark):
+    """Three words a block or a million, items over several files or one: all columns agree; a repeated id matches once."""
+    rows = [(k, f"word{k % 97} stays{k} word{(k + 1) % 97} stays{k + 1} word{(k + 2) % 97}") for k in range(40)] + [(3, "word3 stays3 word4"), (7, "beta gamma")]
+    bench = items(spark, rows)
+    whole = decontaminate.find_contamination(docs(spark), bench.coalesce(1)).collect()
+    for cut in (bench.repartition(5), bench.coalesce(1)):
+        made = decontaminate.find_contamination(docs(spark), cut, block_words=3).collect()
+        assert sorted(map(str, made)) == sorted(map(str, whole))
+    long = next(r for r in whole if r.doc_id == 7)
+    assert long.n_items == 40 and len({m.item_id for m in long.matches}) == len(long.matches) == 40
+
+
 def test_no_items_and_no_rules(spark):
     none = decontaminate.find_contamination(docs(spark), items(spark, []))
     assert none.where("contaminated").count() == 0 and none.count() == len(ROWS)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientscope.llm.common import map_texts, name, pick, restored, slotted, text_key, written
-from clientscope.llm.components import components
+from clientscope.llm.components import components, forest
 
 U = np.uint64
 SKETCH = "row long, doc_id {id}, text_key string, n_shingles long, set_key binary, bands array<long>, marks binary"
@@ -141,6 +141,20 @@ def sets_of(rows: DataFrame, near: Near) -> DataFrame:
     return map_texts(rows, fn, "node long, items binary")
 
 
+#: Bits of the filter that texts pass before a join: 512 bitmaps of 4 KB, whatever is wanted.
+FILTER_BITS, BITMAP_BITS = 1 << 24, 1 << 15
+
+
+def passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose text_key may be wanted. The filter has 2 MB; when it is full, more rows pass on to the exact join."""
+    bit = F.pmod(F.xxhash64("text_key"), F.lit(FILTER_BITS))
+    place = [F.expr(f"bit div {BITMAP_BITS}").alias("bitmap_no"), F.expr(f"bit % {BITMAP_BITS}").alias("at")]
+    maps = wanted.select(bit.alias("bit")).select(*place).groupBy("bitmap_no").agg(F.bitmap_construct_agg("at").alias("bitmap"))
+    marked = rows.withColumn("bit", bit).select(*rows.columns, *place).join(F.broadcast(maps), "bitmap_no")
+    byte = "cast(conv(hex(substring(bitmap, cast(at div 8 as int) + 1, 1)), 16, 10) as int)"
+    return marked.where(f"(({byte} >> cast(at % 8 as int)) & 1) = 1").select(*rows.columns)
+
+
 def enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two shingle sets are near enough."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -199,6 +213,10 @@ class Cell:
         return found[(self.marks[found] == self.marks[at]).sum(axis=1) >= self.near.least_equal]
 
 
+def sorted_cells(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
 def likely(memberships: DataFrame, near: Near) -> DataFrame:
     """The members of each cell that have at least one likely partner there."""
 
@@ -259,8 +277,8 @@ def confirmed(members: DataFrame, near: Near) -> DataFrame:
     return sorted_cells(members).mapInArrow(run, "a long, b long")
 
 
-def near_pairs(pairs: DataFrame, heads: DataFrame, sets: Callable[[DataFrame], DataFrame], near: Near) -> DataFrame:
-    """The pairs (a, b) of nodes that are near enough: by size and sketch first, then by their full sets."""
+def near_pairs(pairs: DataFrame, heads: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """The pairs (a, b) of nodes that are near enough: by size and sketch first, then by their full sets (node, items)."""
     one, other = (heads.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("n_shingles", "marks")]) for n in "ab")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,9 +288,8 @@ def near_pairs(pairs: DataFrame, heads: DataFrame, sets: Callable[[DataFrame], D
 
     sizes = [F.col("n_shingles_a"), F.col("n_shingles_b")]
     close = pairs.join(one, "a").join(other, "b").where(100 * F.least(*sizes) >= near.percent * F.greatest(*sizes))
-    close = written(close.mapInArrow(alike, "a long, b long"), "near-likely")
-    items = written(sets(close.select(F.col("a").alias("node")).union(close.select("b")).distinct()), "near-sets")
-    one, other = (items.select(F.col("node").alias(n), F.col("items").alias(f"items_{n}")) for n in "ab")
+    close = close.mapInArrow(alike, "a long, b long")
+    one, other = (sets.select(F.col("node").alias(n), F.col("items").alias(f"items_{n}")) for n in "ab")
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,9 +304,15 @@ def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def nearest(links: DataFrame) -> DataFrame:
+    """(node, label): the least node that each node of the links is linked to, or itself; equal labels are connected."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    return both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label"))
+
+
 def opened(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, and whether they lie outside the bucket's largest one."""
-    known = with_labels(members, labels)
+    known = written(with_labels(members, labels), "near-known")
     parts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     most = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("in_main"))
     most = most.where("parts > 1").select("key", "main", "all", (F.col("all") - F.col("in_main")).alias("n_open"))
@@ -301,30 +324,35 @@ def pivot_links(members: DataFrame, heads: DataFrame, sets: Callable[[DataFrame]
 
     In each round every bucket takes ``pivots`` of its open members, those with the least hashes of some of their part
     of the bucket, and all its members of other components are compared with them: so many pairs as members times
-    pivots. Buckets that have become one component are done. Rounds go on while they leave at most three quarters open.
+    pivots. Buckets that have become one component are done. Rounds end when the open members of each bucket fit into one
+    chunk, so that comparing them with the whole bucket is linear, or when a round leaves over three quarters open.
     """
     spark = members.sparkSession
-    links, before, number = spark.createDataFrame([], "a long, b long"), None, 0
-    labels = spark.createDataFrame([], "node long, label long")
+    links, labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, label long")
     members = written(members, "near-large")
+    if members.isEmpty():
+        return links, labels, None
+    items = written(sets(members.select("node").distinct()), "near-sets")
+    now, before, number = opened(members, labels), None, 0
     while True:
-        now = written(opened(members, labels), "near-open")
-        left = now.where("open").count()
-        if not left:
-            return links, labels, None
-        if before is not None and 4 * left > 3 * before:
-            return links, labels, now
-        before, number = left, number + 1
+        number += 1
         lot = F.xxhash64("node", F.lit(number))
         pivots = now.where("open").groupBy("key", F.pmod(lot, F.lit(near.pivots)).alias("part")).agg(F.min_by(F.struct("node", "label"), lot).alias("p"))
         pivots = pivots.select("key", F.col("p.node").alias("b"), F.col("p.label").alias("other"))
         pairs = now.join(pivots, "key").where("label <> other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        links = written(links.union(near_pairs(pairs, heads, sets, near)), "near-links")
-        labels = written(components(links).distinct(), "near-labels")
-
-
-def sorted_cells(rows: DataFrame) -> DataFrame:
-    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+        links = written(forest(links.union(near_pairs(pairs, heads, items, near))), "near-links")
+        # In a tight group all members are linked to its least pivot; only looser ones need the whole components.
+        for labels in (nearest(links), None):
+            labels = written(components(links) if labels is None else labels, "near-labels")
+            now = written(opened(members, labels), "near-open")
+            left, largest = now.where("open").agg(F.count(F.lit(1)), F.max("n_open")).first()
+            if not left or largest <= near.chunk:
+                break
+        if not left:
+            return links, labels, None
+        if largest <= near.chunk or before is not None and 4 * left > 3 * before:
+            return links, labels, now
+        before = left
 
 
 def judged(docs: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame:
@@ -339,8 +367,9 @@ def judged(docs: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame
     heads = written(heads, "near-heads")
 
     def sets(nodes: DataFrame) -> DataFrame:
-        wanted = heads.select("node", "text_key").join(nodes, "node")
-        return sets_of(rows.withColumn("text_key", text_key(F.col("text"))).join(wanted, "text_key").select("node", "text"), near).dropDuplicates(["node"])
+        wanted = written(heads.select("node", "text_key").join(nodes, "node"), "near-wanted")
+        texts = passing(rows.select("text", text_key(F.col("text")).alias("text_key")), wanted)
+        return sets_of(texts.join(wanted, "text_key").select("node", "text"), near).dropDuplicates(["node"])
 
     keys = heads.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -361,7 +390,7 @@ def judged(docs: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame
     shapes = heads.select("node", "n_shingles", "bands", "marks")
     members = written(likely(dealt.join(shapes, "node"), near), "near-members")
     full = members.join(shapes, "node").join(sets(members.select("node").distinct()), "node")
-    labels = components(links.union(confirmed(full, near))).distinct()
+    labels = components(links.union(confirmed(full, near)))
     named = with_labels(classes.select("set_key", "node", "least_id"), labels)
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "label").select("set_key", "component_id")

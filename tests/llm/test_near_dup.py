@@ -128,7 +128,12 @@ def test_sketches_fill_and_estimate():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
-def test_components_of_random_links(spark):
+@pytest.mark.parametrize("at_once", [500_000, 10])
+def test_components_of_random_links(spark, monkeypatch, at_once):
+    """In one task, and by star steps where a task holds ten links only."""
+    from clientscope.llm import components as module
+
+    monkeypatch.setattr(module, "AT_ONCE", at_once)
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
     least = {x: x for pair in links for x in pair}
@@ -141,3 +146,10 @@ def test_components_of_random_links(spark):
             least[a] = least[b] = m
     made = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert made == {x: m for x, m in least.items() if x in made} and {x for p in links if p[0] != p[1] for x in p} == set(made)
+
+
+def test_filter_passes_what_is_wanted(spark):
+    rows = spark.range(20_000).selectExpr("id", "md5(cast(id as string)) as text_key")
+    wanted = rows.where("id % 7 = 0").select("text_key")
+    made = near_dup.passing(rows, wanted)
+    assert made.join(wanted, "text_key").count() == wanted.count() and made.count() < 1.05 * wanted.count() and made.columns == rows.columns

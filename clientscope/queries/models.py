@@ -227,6 +227,21 @@ def score_batch_multiclass(spark, sf):
     return m.score_multiclass(model, fx.features_wide(spark, sf), MULTI, list(range(1, 11)), fx.ANCHOR)
 
 
+@query("score_batch_binary_keys", f"select distinct doc_id as epk, '{fx.ANCHOR}' as report_dt from labels join documents using (doc_id)")
+def score_batch_binary_keys(spark, sf):
+    """Every labelled document has one score from 0 to 1 under its key and date."""
+    return score_batch_binary(spark, sf).where("score between 0 and 1").select("epk", "report_dt")
+
+
+@query("score_batch_multiclass_keys", f"select vec_id as epk, 10::int as scores, '{fx.ANCHOR}' as report_dt from embeddings")
+def score_batch_multiclass_keys(spark, sf):
+    """Every row has a score of each class, and they add up to one."""
+    scored = score_batch_multiclass(spark, sf)
+    names = [c for c in scored.columns if c.startswith("cluster_")]
+    total = F.aggregate(F.array(*names), F.lit(0.0), lambda a, x: a + x)
+    return scored.where(F.abs(total - 1) < 1e-5).select("epk", F.lit(len(names)).alias("scores"), "report_dt")
+
+
 WEIGHTS = [round(0.5 - k / 64, 4) for k in range(64)]
 
 

@@ -123,6 +123,7 @@ def format_chats(
     false and ``bad_turn`` counts the turns before the first wrong one (null if only the end is missing). A row without
     a conversation id is a conversation of its own. Other columns are ignored. A conversation becomes one value, so its
     turns meet in one task; no other rows do.
+    A text of any length is one value of its row, folded once; an empty table gives no rows.
     """
     named = pick(rows, conv_id=id_col, turn=turn_col, role=role_col, text=text_col)
     one = F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

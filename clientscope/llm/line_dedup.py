@@ -35,6 +35,7 @@ def keep_bitmaps(
 
     Rows that repeat an id are one document here and each gets its own bitmap; a null id is a document that sorts below
     all others. Other columns are ignored.
+    An empty table gives no rows; a very long text is dealt out line by line, and only its positions meet again.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("lines", lines_of(F.col("text")))
     keyed = rows.select(

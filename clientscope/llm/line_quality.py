@@ -132,7 +132,8 @@ def judge_lines(
     has several separators (navigation), or if it is short and holds a stock phrase (boilerplate). Lines without words
     stay. A document is kept unless the base rule fails or the failed lines hold too many of its characters. It runs
     in one pass without a shuffle. Null or empty texts have no words, so the base rule fails; null ids, ties and
-    repeated rows are judged row by row; other columns are ignored.
+    repeated rows are judged row by row; other columns are ignored. An empty table gives no rows; a very long text is
+    handled alone, in memory in proportion to its length.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     return map_texts(rows, lambda texts: verdicts(texts, rules), f"{ddl(rows, 'doc_id')}, {COUNTS}" + ", clean_text string" * with_text)

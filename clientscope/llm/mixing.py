@@ -69,6 +69,7 @@ def mix_report(
     The draw depends on the id, or on the text where the id is null, so that reruns agree and rows that repeat an id
     agree too. A source without words has the target 0 and gives no copies. Other columns are ignored; see ``targets``
     for the shares.
+    An empty table gives no rows; of a text of any length only the number of words is used.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, of_source=source_col).select(
         "doc_id", "of_source", size_of(F.col("text")).alias("size"), seed_key(F.col("doc_id"), F.col("text")).alias("key")

@@ -155,6 +155,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_i
     within a rule; rules may overlap each other.
 
     Null texts are empty; rows that repeat an id keep their own texts; null ids are allowed; other columns are ignored.
+    An empty table gives no rows; a very long text is one row's work like any other.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}

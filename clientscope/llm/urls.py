@@ -94,7 +94,8 @@ def judge_urls(
     only sends more pages to the join.
 
     A null URL or one without :// has an empty host and path, fits no rule and no listed URL, and is allowed. Null ids
-    and repeated rows are judged row by row; other columns are ignored.
+    and repeated rows are judged row by row; other columns are ignored. An empty table or list is allowed, and a URL may
+    have any length.
     """
     url = F.col("url")
     rows = pick(pages, page_id=id_col, url=url_col).select(

@@ -155,3 +155,15 @@ def test_chats_with_nulls_and_ties(spark):
     one = next(r for r in made if r.conv_id == 1)
     assert one.bad_turn == 1 and one.formatted == "<s>[INST] q [/INST][INST] q [/INST] </s>"
     assert chat.format_chats(frame.limit(0)).collect() == []
+
+
+def test_very_long_chats_and_lines(spark):
+    """A turn of a million characters comes back whole; of 20,000 lines those that repeat in three texts go."""
+    text = "</s>[INST] " + "word " * 200_000
+    frame = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(frame).select(chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).first()
+    assert [t.text for t in made.turns] == [text, text] and made.loss == text
+    lines = [f"line number {k} that is found in several texts" for k in range(20_000)]
+    rows = [(1, "\n".join(lines), "a"), (2, "\n".join(lines[:100]), "a"), (3, "\n".join(lines[50:150]), "a")]
+    left = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_lines(docs(spark, rows)).collect()}
+    assert left[1] == lines[:50] + lines[100:] and left[2] == lines[:50] and left[3] == lines[50:150]

@@ -2,17 +2,19 @@
 
 A block is one row of a table in the shared folder: labels, part numbers and keys of its rows, and one byte per feature
 and row, feature after feature. A fit reads only blocks; which rows train and which validate is told by part number.
+While fits grow, executors keep the blocks in memory, so that a level of a tree costs a small job and no scan.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from clientscope.operators.ranking import present
@@ -20,6 +22,8 @@ from clientscope.sources.sinks import stored
 
 #: Rows of one block at most.
 BLOCK_ROWS = 4096
+#: Rows of joined blocks: small blocks become slabs of so many rows, so that a task makes few calls.
+SLAB_ROWS = 8192
 
 
 def borders(df: DataFrame, features: Sequence[str], bins: int = 64) -> list[list[float]]:
@@ -43,6 +47,33 @@ def to_floats(column: pa.Array) -> np.ndarray:
     return column.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False).astype(float)
 
 
+@dataclass(frozen=True)
+class Slab:
+    """Blocks side by side: a key of their own, class and part number of each row, and bins by (feature, row)."""
+
+    key: tuple[int, int]
+    y: np.ndarray
+    p: np.ndarray
+    bins: np.ndarray
+
+
+def joined_blocks(blocks: Iterable[Row], groups: int) -> Iterator[Slab]:
+    """Slabs of up to SLAB_ROWS rows; the key holds the number of row groups, since it decides which blocks meet."""
+    held: list[Row] = []
+
+    def slab() -> Slab:
+        y, p = (np.frombuffer(b"".join(bytes(b[c]) for b in held), np.uint8) for c in "yp")
+        return Slab((groups, held[0]["block"]), y, p, np.concatenate([np.frombuffer(bytes(b["bins"]), np.uint8).reshape(-1, b["n"]) for b in held], axis=1))
+
+    for b in blocks:
+        if held and sum(x["n"] for x in held) + b["n"] > SLAB_ROWS:
+            yield slab()
+            held = []
+        held.append(b)
+    if held:
+        yield slab()
+
+
 @dataclass(frozen=True)
 class Matrix:
     """A binned matrix: its table, features, borders, classes in order, and row counts by (part, class number)."""
@@ -54,6 +85,7 @@ class Matrix:
     parts: tuple[str, ...]
     counts: dict[tuple[int, int], int]
     uid: str
+    kept: dict[int, RDD] = field(default_factory=dict, init=False, compare=False, repr=False)
 
     @property
     def bins(self) -> int:
@@ -62,6 +94,18 @@ class Matrix:
     def rows(self, part: str) -> int:
         return sum(n for (p, _), n in self.counts.items() if self.parts[p] == part)
 
+    def slabs(self, groups: int) -> RDD:
+        """The rows in so many groups, a partition each. The last division asked for stays with the executors, in memory or
+        on their disks; what a lost executor held is read again from the table."""
+        if groups not in self.kept:
+            for old in self.kept.values():
+                old.unpersist()
+            self.kept.clear()
+            blocks = self.table.select("block", "n", "y", "p", "bins")
+            rows = (blocks.coalesce(1) if groups == 1 else blocks.repartition(groups)).rdd
+            self.kept[groups] = rows.mapPartitions(lambda part: joined_blocks(part, groups)).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.kept[groups]
+
 
 def build_matrix(df: DataFrame, features: Sequence[str], label: str, part: str = "part", fit_part: str | None = "train", bins: int = 64) -> Matrix:
     """The matrix of all rows of ``df``. Borders come from the rows of ``fit_part``, or from all rows if it is None.

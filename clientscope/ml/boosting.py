@@ -1,9 +1,10 @@
 """Softmax boosting on a binned matrix: one joint loss over all classes, one tree of vector leaves a round.
 
-Trees are symmetric: all leaves of a level are split by one feature and border. Each level is one Spark job. Tasks sum the
-gradients of their blocks by (leaf, bin, class) for each feature; the sums meet by (fit, feature), where the best border
-is found; the driver gets one candidate per fit and feature. Gradients are whole numbers of 2^-20, so sums are exact in
-any order and reruns grow the same trees. Many fits (trials, folds) can be grown at once, by the same jobs.
+Trees are symmetric: all leaves of a level are split by one feature and border. Each level is one Spark job. A task takes a
+group of rows and a share of the fits, and sums gradients by (leaf, bin, class) for each feature; the sums of the groups meet
+by (fit, feature), where the best border is found; the driver gets one candidate per fit and feature. Gradients are whole
+numbers of 2^-20, so sums are exact in any order and reruns grow the same trees. Many fits (trials, folds) can be grown at
+once, by the same jobs.
 """
 
 from __future__ import annotations
@@ -11,24 +12,28 @@ from __future__ import annotations
 import math
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientscope.ml.binned import Matrix, bin_numbers, to_floats
+from clientscope.ml.binned import Matrix, Slab, bin_numbers, to_floats
 
 UNIT = float(1 << 20)
 #: Probability levels of the validation metric, and bytes of scores that a worker keeps between jobs.
-LEVELS, CACHE_BYTES = 4096, 64 << 20
-#: Bytes of sums that one task holds; more fits than that take turns.
-SUM_BYTES = 128 << 20
-SCHEMA = "fit int, feature int, sums binary"
+LEVELS, CACHE_BYTES = 4096, 128 << 20
+#: Bytes of sums that a task holds on average; more fits than that take turns.
+SUM_BYTES = 64 << 20
+#: Bytes of bins in a group of rows at most; additions that make a further group (its sums are sent) or a further task worth it,
+#: and rows per cell of the sums below which sending costs more than adding.
+GROUP_BYTES, GROUP_WORK, TASK_WORK, ROWS_PER_CELL = 64 << 20, 64_000_000, 16_000_000, 50
+#: Trees that are broadcast together; keys of the sums that belong to no column.
+LOT, LOSSES, TOTALS = 16, -1, -2
+NO_VALUES = np.zeros(0)
 
 
 @dataclass(frozen=True)
@@ -55,9 +60,10 @@ class Tree:
     values: np.ndarray
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
-        out = np.zeros(bins.shape[1], np.int64)
+        out = np.zeros(bins.shape[1], np.int32)
         for feature, last in self.levels:
-            out = out * 2 + (bins[feature] > last)
+            out <<= 1
+            out |= bins[feature] > last
         return out
 
 
@@ -77,6 +83,14 @@ class Fit:
     best: int = 0
     done: bool = False
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
+    lots: list[Broadcast] = field(default_factory=list, repr=False)
+
+    @property
+    def size(self) -> int:
+        return len(self.trees)
+
+    def since(self, done: int) -> list[Tree]:
+        return self.trees[done:]
 
     def usable(self) -> list[int]:
         """The columns of the next tree, drawn by hash, the same on every run."""
@@ -94,26 +108,69 @@ class Fit:
         self.done = self.done or len(self.trees) >= self.params.rounds or len(loss) - 1 - self.best >= self.params.patience
 
 
-_scores: OrderedDict[tuple, tuple[int, np.ndarray]] = OrderedDict()
+@dataclass(frozen=True)
+class Sent:
+    """What tasks are told of a fit: its rows and columns, and its trees, the older ones in broadcast lots."""
 
+    uid: str
+    params: Params
+    train: tuple[int, ...]
+    val: tuple[int, ...]
+    start: np.ndarray
+    weights: np.ndarray
+    lots: tuple[Broadcast, ...]
+    last: tuple[Tree, ...]
+
+    @property
+    def size(self) -> int:
+        return len(self.lots) * LOT + len(self.last)
 
-def block_of(row: Mapping[str, object]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    y, p = (np.frombuffer(row[c], np.uint8) for c in "yp")
-    return y, p, np.frombuffer(row["bins"], np.uint8).reshape(-1, len(y))
+    def since(self, done: int) -> list[Tree]:
+        """The trees after the first ``done``; lots that are not wanted are not opened."""
+        lots = [t for lot in self.lots[done // LOT :] for t in lot.value]
+        return [*lots, *self.last][done - min(done // LOT, len(self.lots)) * LOT :]
 
 
-def raw_scores(fit: Fit, bins: np.ndarray, key: tuple | None = None) -> np.ndarray:
-    """Scores (classes x rows) before the softmax. A worker that has seen the block adds only the trees since; any other
+def sent(sc: SparkContext, fit: Fit) -> Sent:
+    while len(fit.lots) < len(fit.trees) // LOT:
+        at = len(fit.lots) * LOT
+        fit.lots.append(sc.broadcast(fit.trees[at : at + LOT]))
+    return Sent(fit.uid, fit.params, fit.train, fit.val, fit.start, fit.weights, tuple(fit.lots), tuple(fit.trees[len(fit.lots) * LOT :]))
+
+
+class Scores(OrderedDict):
+    """Scores that a worker keeps by (fit, slab), with the number of trees in them; the longest unused go first."""
+
+    held = 0
+
+    def keep(self, key: tuple, done: int, out: np.ndarray) -> None:
+        self[key] = (done, out)
+        self.held += out.nbytes
+        while self.held > CACHE_BYTES and len(self) > 1:
+            self.held -= self.popitem(last=False)[1][1].nbytes
+
+    def take(self, key: tuple) -> tuple[int, np.ndarray | None]:
+        found = self.pop(key, (0, None))
+        self.held -= 0 if found[1] is None else found[1].nbytes
+        return found
+
+
+_scores = Scores()
+
+
+def raw_scores(fit: Fit | Sent, bins: np.ndarray, key: tuple | None = None) -> np.ndarray:
+    """Scores (classes x rows) before the softmax. A worker that has seen the rows adds only the trees since; any other
     one starts anew, so nothing depends on where a task runs."""
-    done, out = _scores.pop(key, (0, None)) if key else (0, None)
-    if out is None or done > len(fit.trees):
+    done, out = _scores.take(key) if key else (0, None)
+    if out is None or done > fit.size:
         done, out = 0, np.repeat(fit.start[:, None], bins.shape[1], axis=1)
-    for tree in fit.trees[done:]:
-        out = out + tree.values.T[:, tree.leaves(bins)]
+    trees = fit.since(done)
+    if trees:
+        out = out.copy()
+        for tree in trees:
+            out += np.take(np.ascontiguousarray(tree.values.T), tree.leaves(bins), axis=1)
     if key:
-        _scores[key] = (len(fit.trees), out)
-        while len(_scores) * out.nbytes > CACHE_BYTES and len(_scores) > 1:
-            _scores.popitem(last=False)
+        _scores.keep(key, fit.size, out)
     return out
 
 
@@ -122,160 +179,194 @@ def softmax(raw: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=0)
 
 
-@dataclass
-class Sums:
-    """Sums by cell (leaf and bin), of cells that occur only: their numbers, and a row per gradient, curvature and count."""
+def among(p: np.ndarray, parts: Sequence[int]) -> np.ndarray:
+    """Which rows are of one of the parts."""
+    inside = np.zeros(256, bool)
+    inside[list(parts)] = True
+    return inside[p]
 
-    cells: np.ndarray
-    values: np.ndarray
 
-    def __add__(self, other: Sums) -> Sums:
-        cells, at = np.unique(np.concatenate([self.cells, other.cells]), return_inverse=True)
-        values = np.zeros((len(self.values), len(cells)), np.int64)
-        for part, where in ((self, at[: len(self.cells)]), (other, at[len(self.cells) :])):
-            values[:, where] += part.values
-        return Sums(cells, values)
-
-    def packed(self) -> bytes:
-        return np.concatenate([self.cells[None, :], self.values]).tobytes()
-
-    @staticmethod
-    def unpacked(data: bytes, rows: int) -> Sums:
-        both = np.frombuffer(data, np.int64).reshape(rows + 1, -1)
-        return Sums(both[0], both[1:])
-
-
-def block_sums(fit: Fit, levels: tuple, bins: np.ndarray, y: np.ndarray, p: np.ndarray, raw: np.ndarray, width: int, columns: Sequence[int]) -> dict[int, Sums]:
-    """Of one block: by column, sums over (leaf, bin) of gradient and curvature of each class and of rows; at -1 the losses."""
-    k = len(raw)
-    proba = softmax(raw)
-    rows = np.flatnonzero(np.isin(p, fit.train))
-    hot = np.arange(k)[:, None] == y[rows]
-    q, w = proba[:, rows], fit.weights[y[rows]]
-    parts = np.concatenate([np.rint((q - hot) * w * UNIT), np.rint(q * (1 - q) * w * UNIT), np.ones((1, len(rows)))])
-    leaf = Tree(levels, np.zeros(0)).leaves(bins[:, rows])
-    out = {}
-    for c in columns:
-        cells, at = np.unique(leaf * width + bins[c, rows], return_inverse=True)
-        out[c] = Sums(cells, np.stack([np.bincount(at, weights=part, minlength=len(cells)) for part in parts]).astype(np.int64))
-    if not levels:
-        val = np.flatnonzero(np.isin(p, fit.val))
-        loss = [np.rint(-np.log(np.maximum(proba[y[r], r], 1e-15)) * fit.weights[y[r]] * UNIT).sum() for r in (rows, val)]
-        weight = [np.rint(fit.weights[y[r]] * UNIT).sum() for r in (rows, val)]
-        out[-1] = Sums(np.arange(1), np.array([[loss[0]], [weight[0]], [loss[1]], [weight[1]]]).astype(np.int64))
-    return out
+@dataclass(frozen=True)
+class Level:
+    """What a fit's next job adds up: the splits so far, the columns that may split next, and the leaves worth a split."""
 
+    splits: tuple[tuple[int, int], ...]
+    columns: tuple[int, ...]
+    leaves: np.ndarray
+
+
+def slab_sums(fit: Sent, level: Level, slab: Slab, k: int, width: int) -> dict[int, np.ndarray]:
+    """Of one slab: by column, sums over (leaf, bin) of gradient and curvature of each class and of rows, for the leaves of
+    the level; at TOTALS those over all leaves, if no column is asked for; at LOSSES the losses, if there is no split yet."""
+    raw = raw_scores(fit, slab.bins, (fit.uid, slab.key))
+    every = 1 << len(level.splits)
+    leaf = Tree(level.splits, NO_VALUES).leaves(slab.bins)
+    chosen = level.leaves if level.columns else np.arange(every)
+    place = np.full(every, -1)
+    place[chosen] = np.arange(len(chosen))
+    rows = np.flatnonzero(among(slab.p, fit.train) & (place[leaf] >= 0))
+    y, at = slab.y[rows], place[leaf[rows]]
+    q, w = softmax(np.take(raw, rows, axis=1)), fit.weights[y]
+    hot = np.arange(k)[:, None] == y
+    parts = [*np.rint((q - hot) * w * UNIT), *np.rint(q * (1 - q) * w * UNIT), None]
+
+    def added(cells: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(cells, part, n) for part in parts]).astype(np.int64)
+
+    if not level.columns:
+        return {TOTALS: added(at, every)}
+    at = at * width
+    out = {c: added(at + np.take(slab.bins[c], rows), len(chosen) * width) for c in level.columns}
+    if not level.splits:
+        val = np.flatnonzero(among(slab.p, fit.val))
+        sides = ((q, y), (softmax(np.take(raw, val, axis=1)), slab.y[val]))
+        both = []
+        for proba, label in sides:
+            own = fit.weights[label]
+            both += [np.rint(-np.log(np.maximum(proba[label, np.arange(len(label))], 1e-15)) * own * UNIT).sum(), np.rint(own * UNIT).sum()]
+        out[LOSSES] = np.array([both]).astype(np.int64)
+    return out
 
-def best_border(sums: Sums, k: int, width: int, leaves: int, params: Params) -> tuple[float, int, bytes]:
-    """Gain, last bin on the left, and the sums of the left halves and of all, of one feature's best border.
 
-    Leaves of too few rows to be split add no gain, so only the others are laid out by bin.
-    """
-    leaf, bin_ = sums.cells // width, sums.cells % width
-    every = np.zeros((2 * k + 1, leaves), np.int64)
-    np.add.at(every, (slice(None), leaf), sums.values)
-    large = np.flatnonzero(every[-1] >= max(2, 2 * params.min_rows))
-    if not len(large) or width < 2:
-        return 0.0, 0, b""
-    inside = np.isin(leaf, large)
-    total = np.zeros((2 * k + 1, len(large), width), np.int64)
-    total[:, np.searchsorted(large, leaf[inside]), bin_[inside]] = sums.values[:, inside]
-    left = np.cumsum(total, axis=2)[:, :, :-1]
+def best_border(sums: np.ndarray, k: int, width: int, params: Params) -> tuple[float, int, np.ndarray]:
+    """Gain and last bin on the left of one feature's best border, and the sums of the left halves and of all by leaf."""
+    total = sums.reshape(2 * k + 1, -1, width)
+    every, left = total.sum(axis=2), np.cumsum(total, axis=2)[:, :, :-1]
 
     def score(part: np.ndarray) -> np.ndarray:
         g, h = part[:k] / UNIT, part[k : 2 * k] / UNIT
         return (g * g / (h + params.l2)).sum(axis=0)
 
-    right = every[:, large, None] - left
-    enough = np.minimum(left[-1], right[-1]) >= params.min_rows
-    gain = np.where(enough, score(left) + score(right) - score(every[:, large])[:, None], 0.0).sum(axis=0)
+    enough = np.minimum(left[-1], every[-1][:, None] - left[-1]) >= params.min_rows
+    gain = np.where(enough, score(left) + score(every[:, :, None] - left) - score(every)[:, None], 0.0).sum(axis=0)
     at = int(np.argmax(np.round(gain, 9)))
-    low = np.zeros_like(every)
-    np.add.at(low, (slice(None), leaf[bin_ <= at]), sums.values[:, bin_ <= at])
-    return float(gain[at]), at, np.stack([low, every]).tobytes()
+    return float(gain[at]), at, np.stack([left[:, :, at], every])
 
 
-def step(matrix: Matrix, fits: Mapping[int, Fit], levels: Mapping[int, tuple], usable: Mapping[int, Sequence[int]]) -> dict[int, list]:
-    """One level of all fits: for each fit its candidates (feature, gain, last bin, sums); the losses where levels is empty."""
-    k, width = len(matrix.classes), matrix.bins
+def row_work(matrix: Matrix) -> int:
+    """Additions that a row costs in a level of one fit, about; scores and gradients count as forty."""
+    return len(matrix.features) * (2 * len(matrix.classes) + 1) + 40
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], Sums] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                y, p, bins = block_of(row)
-                for i, fit in fits.items():
-                    raw = raw_scores(fit, bins, (fit.uid, row["block"]))
-                    for c, s in block_sums(fit, levels[i], bins, y, p, raw, width, usable[i]).items():
-                        total[i, c] = total[i, c] + s if (i, c) in total else s
-        if total:
-            keys = list(total)
-            yield pa.RecordBatch.from_pydict(
-                {"fit": pa.array([i for i, _ in keys], pa.int32()), "feature": pa.array([c for _, c in keys], pa.int32()), "sums": [total[x].packed() for x in keys]}
-            )
-
-    def joined(key: tuple, table: pa.Table) -> pa.Table:
-        i, c = (x.as_py() for x in key)
-        sums = reduce(add, (Sums.unpacked(s.as_py(), 4 if c < 0 else 2 * k + 1) for s in table.column("sums")))
-        gain, last, best = (0.0, 0, sums.values.tobytes()) if c < 0 else best_border(sums, k, width, 1 << len(levels[i]), fits[i].params)
-        return pa.table({"fit": pa.array([i], pa.int32()), "feature": pa.array([c], pa.int32()), "gain": [gain], "last": pa.array([last], pa.int64()), "sums": [best]})
-
-    cols = matrix.table.select("block", "y", "p", "bins").mapInArrow(partial, SCHEMA)
-    found = cols.groupBy("fit", "feature").applyInArrow(joined, "fit int, feature int, gain double, last long, sums binary").collect()
-    out: dict[int, list] = {i: [] for i in fits}
-    for r in found:
-        out[r.fit].append((r.feature, r.gain, r.last, bytes(r.sums)))
+
+def row_groups(matrix: Matrix, fits: Mapping[int, Fit], slots: int) -> int:
+    """Groups of rows, each of which meets every fit in a task of its own.
+
+    A group has GROUP_BYTES at most. Where there are fewer fits than tasks that can run at once, rows are dealt out further,
+    as long as a group is worth a task and adding it up costs more than sending its sums.
+    """
+    rows = sum(matrix.counts.values())
+    trained = max(sum(n for (p, _), n in matrix.counts.items() if p in f.train) for f in fits.values())
+    cells = max(matrix.bins * min(1 << max(0, f.params.depth - 1), max(1, trained // max(2, 2 * f.params.min_rows))) for f in fits.values())
+    least = math.ceil(rows * max(1, len(matrix.features)) / GROUP_BYTES)
+    return max(1, least, min(math.ceil(slots / len(fits)), rows * row_work(matrix) // GROUP_WORK, rows // (ROWS_PER_CELL * cells)))
+
+
+def tiles(matrix: Matrix, fits: Mapping[int, Fit], add_up: Callable[[int, Sent, list[Slab]], Iterator[tuple[tuple[int, int], np.ndarray]]]) -> RDD:
+    """((fit, key), sums) over all rows: a task takes one group of rows and a share of the fits, one fit after the other."""
+    sc = matrix.table.sparkSession.sparkContext
+    slots = max(1, sc.defaultParallelism)
+    groups = row_groups(matrix, fits, slots)
+    work = sum(matrix.counts.values()) * row_work(matrix) * len(fits)
+    shares = min(len(fits), math.ceil(2 * slots / groups), math.ceil(work / groups / TASK_WORK)) or 1
+    told = {i: sent(sc, f) for i, f in fits.items()}
+    order = sorted(fits, key=lambda i: (fits[i].params.depth, i))
+    slabs = matrix.slabs(groups)
+    spread = slabs if shares == 1 else sc.union([slabs] * shares)
+
+    def run(at: int, part: Iterator[Slab]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+        held = list(part)
+        for i in order[at // groups :: shares]:
+            yield from add_up(i, told[i], held)
+
+    made = spread.mapPartitionsWithIndex(run)
+    return made if groups == 1 else made.reduceByKey(np.add, min(2 * slots, groups * shares))
+
+
+def step(matrix: Matrix, fits: Mapping[int, Fit], levels: Mapping[int, Level]) -> dict[int, dict[int, tuple[float, int, np.ndarray]]]:
+    """One job for all fits: by fit and column the best border, its gain and sums; totals and losses as they are added up."""
+    k, width = len(matrix.classes), matrix.bins
+    params = {i: f.params for i, f in fits.items()}
+
+    def add_up(i: int, fit: Sent, slabs: list[Slab]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+        total: dict[int, np.ndarray] = {}
+        for slab in slabs:
+            for c, s in slab_sums(fit, levels[i], slab, k, width).items():
+                total[c] = total[c] + s if c in total else s
+        for c in list(total):
+            yield (i, c), total.pop(c)
+
+    def border(item: tuple[tuple[int, int], np.ndarray]) -> tuple[int, int, float, int, np.ndarray]:
+        (i, c), sums = item
+        return (i, c, *((0.0, 0, sums) if c < 0 else best_border(sums, k, width, params[i])))
+
+    out: dict[int, dict] = {i: {} for i in fits}
+    for i, c, *found in tiles(matrix, fits, add_up).map(border).collect():
+        out[i][c] = tuple(found)
     return out
 
 
-def turns(matrix: Matrix, fits: Mapping[int, Fit], depth: int, usable: Mapping[int, list[int]]) -> Iterator[dict[int, list[int]]]:
-    """Columns of the fits, in groups whose sums at this depth fit into a task; a row adds to one cell of a column at most."""
-    group: dict[int, list[int]] = {}
-    held, rows = 0, sum(matrix.counts.values())
-    size = min(matrix.bins << depth, rows) * (2 * len(matrix.classes) + 2) * 8
-    for i in fits:
-        for c in usable[i]:
-            if group and held + size > SUM_BYTES:
+def turns(matrix: Matrix, levels: Mapping[int, Level], slots: int) -> Iterator[dict[int, Level]]:
+    """The levels' columns in groups whose sums fit into the tasks that add them up."""
+    group: dict[int, Level] = {}
+    held = 0
+    for i, level in levels.items():
+        size = max(1, len(level.leaves)) * matrix.bins * (2 * len(matrix.classes) + 1) * 8
+        at_once = max(1, SUM_BYTES * slots // size)
+        for start in range(0, len(level.columns), at_once):
+            columns = level.columns[start : start + at_once]
+            if group and (i in group or held + size * len(columns) > SUM_BYTES * slots):
                 yield group
                 group, held = {}, 0
-            group.setdefault(i, []).append(c)
-            held += size
-    yield group
+            group[i] = replace(level, columns=columns)
+            held += size * len(columns)
+    if group:
+        yield group
 
 
 def grow_round(matrix: Matrix, fits: Mapping[int, Fit]) -> None:
-    """One more tree for every fit, level by level; fits that their losses end get none."""
-    k = len(matrix.classes)
-    levels: dict[int, tuple] = {i: () for i in fits}
+    """One more tree for every fit, level by level; fits that their losses end get none.
+
+    Leaves of too few rows to be split are left out of the sums by bin; their values come from a job at the end. Where that
+    would save little, since so few rows take fewer cells than there are bins, they stay in.
+    """
+    k, slots = len(matrix.classes), max(1, matrix.table.sparkSession.sparkContext.defaultParallelism)
+    rows = {i: sum(n for (p, _), n in matrix.counts.items() if p in f.train) for i, f in fits.items()}
+    least = {i: 2 * f.params.min_rows if 2 * f.params.min_rows > matrix.bins else 1 for i, f in fits.items()}
+    levels = {i: Level((), tuple(f.usable()), np.zeros(1, int)) for i, f in fits.items() if f.params.depth}
     sums: dict[int, np.ndarray] = {}
-    usable = {i: f.usable() for i, f in fits.items()}
-    going = dict(fits)
-    for depth in range(max((f.params.depth for f in fits.values()), default=0)):
-        going = {i: f for i, f in going.items() if depth < f.params.depth}
-        if not going:
-            break
-        found: dict[int, list] = {i: [] for i in going}
-        for turn in turns(matrix, going, depth, usable):
-            for i, candidates in step(matrix, {i: going[i] for i in turn}, levels, turn).items():
-                found[i] += candidates
+    partial: set[int] = set()
+    going = dict(levels)
+    while going:
+        found: dict[int, dict] = {i: {} for i in going}
+        for turn in turns(matrix, going, slots):
+            for i, candidates in step(matrix, {i: fits[i] for i in turn}, turn).items():
+                found[i].update(candidates)
         for i, candidates in found.items():
-            fit = going[i]
-            if depth == 0:
-                losses = next(np.frombuffer(s, np.int64) for c, _, _, s in candidates if c < 0)
+            fit, level = fits[i], going.pop(i)
+            if not level.splits:
+                losses = candidates[LOSSES][2][0]
                 fit.note_loss(*(float(losses[j]) / max(1.0, float(losses[j + 1])) for j in (0, 2)))
-            best = max((c for c in candidates if c[0] >= 0 and c[3]), key=lambda c: (round(c[1], 9), -c[0]), default=None)
-            if fit.done or best is None or round(best[1], 9) <= 0:
-                fit.done = fit.done or depth == 0
-                del going[i]
+            borders = {c: x for c, x in candidates.items() if c >= 0}
+            best = max(borders, key=lambda c: (round(borders[c][0], 9), -c), default=None)
+            if fit.done or best is None or round(borders[best][0], 9) <= 0:
+                fit.done = fit.done or not level.splits
                 continue
-            feature, gain, last, both = best
-            left, every = np.frombuffer(both, np.int64).reshape(2, 2 * k + 1, -1)
-            levels[i] = (*levels[i], (feature, last))
-            sums[i] = np.stack([left, every - left], axis=2).reshape(2 * k + 1, -1)
-            fit.gains.append((feature, gain))
+            gain, last, (left, every) = borders[best]
+            if every[-1].sum() < rows[i]:
+                partial.add(i)
+            halves = np.zeros((2 * k + 1, 2 << len(level.splits)), np.int64)
+            halves[:, 2 * level.leaves], halves[:, 2 * level.leaves + 1] = left, every - left
+            sums[i] = halves
+            fit.gains.append((best, gain))
+            levels[i] = Level((*level.splits, (best, last)), level.columns, np.flatnonzero(halves[-1] >= least[i]))
+            if len(levels[i].splits) < fit.params.depth and halves[-1].max() >= max(2, 2 * fit.params.min_rows):
+                going[i] = levels[i]
+    if partial:
+        totals = step(matrix, {i: fits[i] for i in partial}, {i: replace(levels[i], columns=()) for i in partial})
+        sums |= {i: found[TOTALS][2] for i, found in totals.items()}
     for i, s in sums.items():
         g, h = s[:k] / UNIT, s[k : 2 * k] / UNIT
-        fits[i].trees.append(Tree(levels[i], (-fits[i].params.rate * g / (h + fits[i].params.l2)).T))
+        fits[i].trees.append(Tree(levels[i].splits, (-fits[i].params.rate * g / (h + fits[i].params.l2)).T))
 
 
 def start_fit(matrix: Matrix, params: Params, train: Sequence[str] = ("train",), val: Sequence[str] = ("val",), columns: Sequence[str] | None = None) -> Fit:
@@ -326,7 +417,7 @@ class Model:
 def finished(matrix: Matrix, fit: Fit) -> Model:
     """The model of a fit, cut back to its best round."""
     upto = sum(len(t.levels) for t in fit.trees[: fit.best])
-    kept = replace(fit, trees=fit.trees[: fit.best], gains=fit.gains[:upto], done=True)
+    kept = replace(fit, trees=fit.trees[: fit.best], gains=fit.gains[:upto], done=True, uid=uuid.uuid4().hex, lots=[])
     return Model(matrix.classes, matrix.features, matrix.borders, kept, tuple(fit.losses))
 
 
@@ -372,34 +463,27 @@ def aucs(matrix: Matrix, fits: Mapping[int, Fit]) -> dict[int, tuple[float, floa
     """(train, validation) AUC of each fit in one job: of the last class if there are two, else the mean of one class against
     the rest over the classes that have rows on both sides. Probabilities count in 4096 levels."""
     k = len(matrix.classes)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                y, p, bins = block_of(row)
-                for i, fit in fits.items():
-                    level = np.minimum((softmax(raw_scores(fit, bins)) * LEVELS).astype(np.int64), LEVELS - 1)
-                    for c in [1] if k == 2 else range(k):
-                        n = total.setdefault((i, c), np.zeros((2, 2, LEVELS), np.int64))
-                        for side, parts in enumerate((fit.train, fit.val)):
-                            inside = np.isin(p, parts)
-                            for hit in (0, 1):
-                                n[side, hit] += np.bincount(level[c, inside & ((y == c) == hit)], minlength=LEVELS)
-        if total:
-            keys = list(total)
-            yield pa.RecordBatch.from_pydict(
-                {"fit": pa.array([i for i, _ in keys], pa.int32()), "feature": pa.array([c for _, c in keys], pa.int32()), "sums": [total[x].tobytes() for x in keys]}
-            )
-
-    def area(key: tuple, table: pa.Table) -> pa.Table:
-        n = sum(np.frombuffer(s.as_py(), np.int64) for s in table.column("sums")).reshape(2, 2, LEVELS)
-        a, b = (level_auc(side[1], side[0]) for side in n)
-        return pa.table({"fit": pa.array([key[0].as_py()], pa.int32()), "train": [a], "val": [b]})
-
-    rows = matrix.table.select("block", "y", "p", "bins").mapInArrow(counted, SCHEMA).groupBy("fit", "feature").applyInArrow(area, "fit int, train double, val double").collect()
+    judged = [1] if k == 2 else list(range(k))
+
+    def add_up(i: int, fit: Sent, slabs: list[Slab]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+        total = np.zeros((k, 2, 2, LEVELS), np.int64)
+        for slab in slabs:
+            level = np.minimum((softmax(raw_scores(fit, slab.bins, (fit.uid, slab.key))) * LEVELS).astype(np.int64), LEVELS - 1)
+            for side, parts in enumerate((fit.train, fit.val)):
+                inside = among(slab.p, parts)
+                for c in judged:
+                    both = np.where(slab.y == c, LEVELS, 0) + level[c]
+                    total[c, side] += np.bincount(both[inside], minlength=2 * LEVELS).reshape(2, LEVELS)
+        for c in judged:
+            yield (i, c), total[c]
+
+    def area(item: tuple[tuple[int, int], np.ndarray]) -> tuple[int, int, list[float]]:
+        (i, c), n = item
+        return i, c, [level_auc(side[1], side[0]) for side in n]
+
+    found = tiles(matrix, fits, add_up).map(area).collect()
     out = {}
     for i in fits:
-        sides = [[r[s] for r in rows if r.fit == i and not math.isnan(r[s])] for s in ("train", "val")]
+        sides = [[x[side] for j, _, x in found if j == i and not math.isnan(x[side])] for side in (0, 1)]
         out[i] = tuple(math.fsum(sorted(x)) / len(x) if x else math.nan for x in sides)
     return out

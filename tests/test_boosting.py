@@ -166,3 +166,28 @@ def test_elimination_and_folds(spark):
     folds = s.fold_fits(df.withColumn("report_dt", month), ["2026-01-28", "2026-02-28", "2026-03-28"], NAMES, "target", b.Params(depth=2, rounds=4))
     assert [(f[0], f[1], f[2]) for f in folds] == [("m1_to_m2", 134, 133), ("m1_to_m3", 134, 133), ("m1_m2_to_m3", 267, 133)]
     assert all(f[4] > 0.7 for f in folds)
+
+
+def test_a_level_is_one_job_of_one_stage_on_rows_in_memory(spark):
+    matrix = build_matrix(frame(spark, 300), NAMES, "target", bins=16)
+    fits = {i: b.start_fit(matrix, b.Params(depth=2, patience=99, seed=i)) for i in range(3)}
+    b.grow(matrix, fits, 1)
+    spark.sparkContext.setJobGroup("levels", "")
+    b.grow(matrix, fits, 2)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("levels")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 4 and all(len(f.trees) == 3 for f in fits.values())
+
+
+def test_row_groups_and_lots_grow_the_same_trees(spark, monkeypatch):
+    df = frame(spark, 400).repartition(5)
+    grown = []
+    for group, lot in ((b.GROUP_BYTES, b.LOT), (300, 2)):
+        monkeypatch.setattr(b, "GROUP_BYTES", group)
+        monkeypatch.setattr(b, "LOT", lot)
+        matrix = build_matrix(df, NAMES, "target", bins=8)
+        fits = {i: b.start_fit(matrix, b.Params(depth=4, patience=99, min_rows=m)) for i, m in enumerate((1, 12, 30))}
+        assert (b.row_groups(matrix, fits, 4) > 1) == (group == 300)
+        b.grow(matrix, fits, 5)
+        grown.append(([[(t.levels, t.values.tolist()) for t in f.trees] for f in fits.values()], [f.losses for f in fits.values()], b.aucs(matrix, fits)))
+    assert grown[0] == grown[1]

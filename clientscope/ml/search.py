@@ -102,7 +102,8 @@ def eliminate(
     """Importance cut, then backward elimination: (features, dropped since the step before, validation AUC, rounds) per fit.
 
     Columns without gain above ``cut`` go after a first fit on all; then the weakest goes, fit after fit, until ``least``
-    are left. With ``steps`` so many columns go at a time that it takes about that number of fits.
+    are left. With ``steps`` so many columns go at a time that it takes about that number of fits. If the cut leaves all
+    columns, the first fit is that of the first step.
     """
 
     def fitted(columns: Sequence[str]):
@@ -110,12 +111,13 @@ def eliminate(
         grow(matrix, {0: fit})
         return finished(matrix, fit)
 
-    ranked = fitted(matrix.features).importances()
+    first = fitted(matrix.features)
+    ranked = first.importances()
     columns = [f for f, gain in ranked if gain > cut] or [ranked[0][0]]
     at_once = 1 if steps is None else max(1, math.ceil((len(columns) - least) / steps))
     out, dropped = [], [f for f in matrix.features if f not in columns]
     while True:
-        model = fitted(columns)
+        model = first if len(columns) == len(matrix.features) else fitted(columns)
         ((_, auc),) = aucs(matrix, {0: model.fit}).values()
         out.append((len(columns), ",".join(dropped), auc, model.rounds))
         if len(columns) <= least:

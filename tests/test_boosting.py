@@ -191,3 +191,11 @@ def test_row_groups_and_lots_grow_the_same_trees(spark, monkeypatch):
         b.grow(matrix, fits, 5)
         grown.append(([[(t.levels, t.values.tolist()) for t in f.trees] for f in fits.values()], [f.losses for f in fits.values()], b.aucs(matrix, fits)))
     assert grown[0] == grown[1]
+
+
+def test_elimination_without_a_cut_fits_each_step_once(spark, monkeypatch):
+    matrix = build_matrix(frame(spark, 400), NAMES, "target", bins=16)
+    fits = []
+    monkeypatch.setattr(s, "grow", lambda m, f, *a: (fits.append(f), b.grow(m, f, *a)))
+    steps = s.eliminate(matrix, b.Params(depth=2, rounds=4), cut=-1.0)
+    assert [n for n, *_ in steps] == [3, 2, 1] and len(fits) == 3

@@ -12,6 +12,7 @@ from clientscope.ml.binned import build_matrix
 from clientscope.ml.split import assign_parts
 from clientscope.queries.registry import query
 from clientscope.sources import fixtures as fx
+from clientscope.sources.sinks import stored
 
 BUCKET_SQL = "(('0x' || substr(md5({k} || '|0'), 1, 8))::ubigint % 100)"
 PART_SQL = f"case when {BUCKET_SQL} < 60 then 'train' when {BUCKET_SQL} < 80 then 'val' else 'test' end"
@@ -94,8 +95,9 @@ def multi_forest(spark, sf, features=MULTI):
 
 
 def split_documents(spark, sf):
-    """All labelled documents with their part, category columns encoded on the training part."""
-    parts = assign_parts(documents(spark, sf), "epk")
+    """All labelled documents with their part, category columns encoded on the training part. The texts are counted in one
+    pass: encoding, borders, counts and blocks read the stored columns."""
+    parts = stored(assign_parts(documents(spark, sf), "epk"), "counted")
     (coded,) = m.ordinal_encode(parts.where("part = 'train'"), [parts], ["lang", "source"])
     return coded
 

@@ -199,3 +199,9 @@ def test_elimination_without_a_cut_fits_each_step_once(spark, monkeypatch):
     monkeypatch.setattr(s, "grow", lambda m, f, *a: (fits.append(f), b.grow(m, f, *a)))
     steps = s.eliminate(matrix, b.Params(depth=2, rounds=4), cut=-1.0)
     assert [n for n, *_ in steps] == [3, 2, 1] and len(fits) == 3
+
+
+def test_texts_are_counted_once(spark):
+    from clientscope.queries.models import split_documents
+
+    assert not [f for f in split_documents(spark, "/root/testdata/sf0.001").inputFiles() if "/root/testdata" in f]

@@ -17,7 +17,9 @@ def recommendation_chain(
     """One row per client of either tier with the columns of all steps.
 
     ``steps`` build the blocks by name, in order; one of them gives ``payment_status``. Each is written below ``folder``
-    (a shared one on a cluster) unless it is there already, and read back for the join on the client key.
+    (a shared one on a cluster) unless it is there already, and read back for the join on the client key. The joined rows
+    are written once too, since free and paid rows and their null test each read them.
     """
     stored = [stage_if_absent(spark, f"{folder}/{name}", build) for name, build in steps.items()]
-    return free_then_paid(left_chain(clients, [one_row_per_key(s, [key]) for s in stored], key))
+    joined = lambda: left_chain(clients, [one_row_per_key(s, [key]) for s in stored], key)
+    return free_then_paid(stage_if_absent(spark, f"{folder}/assembled", joined))

@@ -300,3 +300,15 @@ def test_missing_features_do_not_stop_a_model(spark):
     df = spark.createDataFrame(rows, "epk long, target double, x double, y double")
     model = m.fit(m.forest(trees=3, depth=2), df, ["x", "y"], "target")
     assert m.predict(model, df, ["x", "y"], "target", "epk").count() == 60
+
+
+def test_chain_reads_its_blocks_once_and_then_the_joined_rows(spark, tmp_path):
+    from clientscope.plans.chain import recommendation_chain
+
+    blocks = {
+        "tier": lambda: spark.createDataFrame([(1, "FREE"), (2, "PAID"), (3, None)], "epk long, payment_status string"),
+        "other": lambda: spark.createDataFrame([(2, 5.0)], "epk long, score double"),
+    }
+    made = recommendation_chain(spark, spark.range(1, 5).withColumnRenamed("id", "epk"), blocks, str(tmp_path))
+    assert sorted(made.collect()) == [(1, "FREE", None), (2, "PAID", 5.0)]
+    assert made.inputFiles() and all("/assembled/" in f for f in made.inputFiles())

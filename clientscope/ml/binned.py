@@ -22,8 +22,8 @@ from clientscope.sources.sinks import stored
 
 #: Rows of one block at most.
 BLOCK_ROWS = 4096
-#: Rows of joined blocks: small blocks become slabs of so many rows, so that a task makes few calls.
-SLAB_ROWS = 8192
+#: Rows of joined blocks and values by (class, row) in them: small blocks become slabs of so many, so that a task makes few calls.
+SLAB_ROWS, SLAB_VALUES = 32768, 1 << 19
 
 
 def borders(df: DataFrame, features: Sequence[str], bins: int = 64) -> list[list[float]]:
@@ -57,8 +57,8 @@ class Slab:
     bins: np.ndarray
 
 
-def joined_blocks(blocks: Iterable[Row], groups: int) -> Iterator[Slab]:
-    """Slabs of up to SLAB_ROWS rows; the key holds the number of row groups, since it decides which blocks meet."""
+def joined_blocks(blocks: Iterable[Row], groups: int, rows: int = SLAB_ROWS) -> Iterator[Slab]:
+    """Slabs of up to so many rows; the key holds the number of row groups, since it decides which blocks meet."""
     held: list[Row] = []
 
     def slab() -> Slab:
@@ -66,7 +66,7 @@ def joined_blocks(blocks: Iterable[Row], groups: int) -> Iterator[Slab]:
         return Slab((groups, held[0]["block"]), y, p, np.concatenate([np.frombuffer(bytes(b["bins"]), np.uint8).reshape(-1, b["n"]) for b in held], axis=1))
 
     for b in blocks:
-        if held and sum(x["n"] for x in held) + b["n"] > SLAB_ROWS:
+        if held and sum(x["n"] for x in held) + b["n"] > rows:
             yield slab()
             held = []
         held.append(b)
@@ -103,7 +103,8 @@ class Matrix:
             self.kept.clear()
             blocks = self.table.select("block", "n", "y", "p", "bins")
             rows = (blocks.coalesce(1) if groups == 1 else blocks.repartition(groups)).rdd
-            self.kept[groups] = rows.mapPartitions(lambda part: joined_blocks(part, groups)).persist(StorageLevel.MEMORY_AND_DISK)
+            joined = min(SLAB_ROWS, SLAB_VALUES // max(1, len(self.classes)))
+            self.kept[groups] = rows.mapPartitions(lambda part: joined_blocks(part, groups, joined)).persist(StorageLevel.MEMORY_AND_DISK)
         return self.kept[groups]
 
 

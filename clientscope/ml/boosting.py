@@ -4,7 +4,8 @@ Trees are symmetric: all leaves of a level are split by one feature and border.
 group of rows and a share of the fits, and sums gradients by (leaf, bin, class) for each feature; the sums of the groups meet
 by (fit, feature), where the best border is found; the driver gets one candidate per fit and feature. Gradients are whole
 numbers of 2^-20, so sums are exact in any order and reruns grow the same trees. Many fits (trials, folds) can be grown at
-once, by the same jobs.
+once, by the same jobs. Fits of the same rows, columns and parameters grow one tree between them. Where sums are sent, only
+the smaller half of each leaf is added up and sent; the other half is what the sums of the level above leave.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ SUM_BYTES = 64 << 20
 #: Bytes of bins in a group of rows at most; additions that make a further group (its sums are sent) or a further task worth it,
 #: and rows per cell of the sums below which sending costs more than adding.
 GROUP_BYTES, GROUP_WORK, TASK_WORK, ROWS_PER_CELL = 64 << 20, 64_000_000, 16_000_000, 50
+#: Tasks that share the columns of a fit if the rows are one group: they run where its rows are kept.
+PIECES = 2
 #: Trees that are broadcast together; keys of the sums that belong to no column.
 LOT, LOSSES, TOTALS = 16, -1, -2
+#: Bits of a curvature's and of a gradient's sum in the number that both share.
+LOW, HIGH = 31, 32
 NO_VALUES = np.zeros(0)
 
 
@@ -188,16 +193,57 @@ def among(p: np.ndarray, parts: Sequence[int]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Level:
-    """What a fit's next job adds up: the splits so far, the columns that may split next, and the leaves worth a split."""
+    """What a fit's next job adds up: the splits so far, the columns that may split next, the leaves worth a split, the
+    validation parts whose losses are wanted, and of each leaf above the half with fewer rows."""
 
     splits: tuple[tuple[int, int], ...]
     columns: tuple[int, ...]
     leaves: np.ndarray
+    vals: tuple[tuple[int, ...], ...] = ()
+    smaller: np.ndarray | None = None
+
+
+def cell_sums(g: np.ndarray, h: np.ndarray, y: np.ndarray, own: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Adds gradients, curvatures (classes x rows, whole numbers) and rows up by cell.
+
+    A gradient without its own class's share is at least zero, as a curvature is; so both are added up in one number unless
+    a cell has too many rows for that, and the shares are taken off by the rows of each class.
+    """
+    k = len(own)
+    g = g + np.where(np.arange(k)[:, None] == y, own[:, None], 0)
+    words, most = (g << LOW) + h, [int(x.max(initial=0)) for x in (g, h)]
+
+    def scattered(values: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
+        sums = np.zeros((k, n), np.int64)
+        for out, x in zip(sums, values, strict=True):
+            np.add.at(out, cells, x)
+        return sums
+
+    def added(cells: np.ndarray, n: int) -> np.ndarray:
+        rows = np.bincount(cells * k + y, minlength=n * k).reshape(n, k).T
+        count = rows.sum(axis=0)
+        out = np.empty((2 * k + 1, n), np.int64)
+        if most[0] * int(count.max()) < 1 << HIGH and most[1] * int(count.max()) < 1 << LOW:
+            sums = scattered(words, cells, n)
+            out[:k], out[k : 2 * k] = sums >> LOW, sums & ((1 << LOW) - 1)
+        else:
+            out[:k], out[k : 2 * k] = scattered(g, cells, n), scattered(h, cells, n)
+        out[:k] -= rows * own[:, None]
+        out[2 * k] = count
+        return out
+
+    return added
+
+
+def narrow(sums: np.ndarray) -> np.ndarray:
+    """The sums in half the bytes, if they fit."""
+    return sums.astype(np.int32) if max(-int(sums.min(initial=0)), int(sums.max(initial=0))) < 1 << 31 else sums
 
 
 def slab_sums(fit: Sent, level: Level, slab: Slab, k: int, width: int) -> dict[int, np.ndarray]:
     """Of one slab: by column, sums over (leaf, bin) of gradient and curvature of each class and of rows, for the leaves of
-    the level; at TOTALS those over all leaves, if no column is asked for; at LOSSES the losses, if there is no split yet."""
+    the level; at TOTALS those over all leaves, if no column is asked for; at LOSSES the losses of the training rows and of
+    each validation, if they are wanted."""
     raw = raw_scores(fit, slab.bins, (fit.uid, slab.key))
     every = 1 << len(level.splits)
     leaf = Tree(level.splits, NO_VALUES).leaves(slab.bins)
@@ -208,18 +254,17 @@ def slab_sums(fit: Sent, level: Level, slab: Slab, k: int, width: int) -> dict[i
     y, at = slab.y[rows], place[leaf[rows]]
     q, w = softmax(np.take(raw, rows, axis=1)), fit.weights[y]
     hot = np.arange(k)[:, None] == y
-    parts = [*np.rint((q - hot) * w * UNIT), *np.rint(q * (1 - q) * w * UNIT), None]
-
-    def added(cells: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(cells, part, n) for part in parts]).astype(np.int64)
-
+    g, h = (np.rint(x * w * UNIT).astype(np.int64) for x in (q - hot, q * (1 - q)))
+    added = cell_sums(g, h, y, np.rint(fit.weights * UNIT).astype(np.int64))
     if not level.columns:
         return {TOTALS: added(at, every)}
     at = at * width
     out = {c: added(at + np.take(slab.bins[c], rows), len(chosen) * width) for c in level.columns}
-    if not level.splits:
-        val = np.flatnonzero(among(slab.p, fit.val))
-        sides = ((q, y), (softmax(np.take(raw, val, axis=1)), slab.y[val]))
+    if level.vals:
+        sides = [(q, y)]
+        for parts in level.vals:
+            val = np.flatnonzero(among(slab.p, parts))
+            sides.append((softmax(np.take(raw, val, axis=1)), slab.y[val]))
         both = []
         for proba, label in sides:
             own = fit.weights[label]
@@ -228,6 +273,14 @@ def slab_sums(fit: Sent, level: Level, slab: Slab, k: int, width: int) -> dict[i
     return out
 
 
+def other_halves(small: np.ndarray, above: np.ndarray, level: Level, parent: Level, width: int) -> np.ndarray:
+    """One feature's sums for all leaves of a level, from those of the smaller halves and those of the level above."""
+    half, whole = (s.reshape(len(s), -1, width) for s in (small, above))
+    half = half[:, np.searchsorted(level.smaller >> 1, level.leaves >> 1)]
+    rest = whole[:, np.searchsorted(parent.leaves, level.leaves >> 1)] - half
+    return np.where(np.isin(level.leaves, level.smaller)[:, None], half, rest).reshape(len(small), -1)
+
+
 def best_border(sums: np.ndarray, k: int, width: int, params: Params) -> tuple[float, int, np.ndarray]:
     """Gain and last bin on the left of one feature's best border, and the sums of the left halves and of all by leaf."""
     total = sums.reshape(2 * k + 1, -1, width)
@@ -261,48 +314,111 @@ def row_groups(matrix: Matrix, fits: Mapping[int, Fit], slots: int) -> int:
     return max(1, least, min(math.ceil(slots / len(fits)), rows * row_work(matrix) // GROUP_WORK, rows // (ROWS_PER_CELL * cells)))
 
 
-def tiles(matrix: Matrix, fits: Mapping[int, Fit], add_up: Callable[[int, Sent, list[Slab]], Iterator[tuple[tuple[int, int], np.ndarray]]]) -> RDD:
-    """((fit, key), sums) over all rows: a task takes one group of rows and a share of the fits, one fit after the other."""
+def tiles(
+    matrix: Matrix, fits: Mapping[int, Fit], units: Sequence[tuple[int, object]], groups: int,
+    add_up: Callable[[Sent, tuple[int, object], list[Slab]], Iterator[tuple[tuple[int, int], np.ndarray]]],
+) -> RDD:
+    """((fit, key), sums) of every group of rows: a task takes one group and a share of the units, one after the other. A unit
+    is a fit and what to add up for it."""
     sc = matrix.table.sparkSession.sparkContext
     slots = max(1, sc.defaultParallelism)
-    groups = row_groups(matrix, fits, slots)
     work = sum(matrix.counts.values()) * row_work(matrix) * len(fits)
-    shares = min(len(fits), math.ceil(2 * slots / groups), math.ceil(work / groups / TASK_WORK)) or 1
+    shares = min(len(units), math.ceil(2 * slots / groups), math.ceil(work / groups / TASK_WORK)) or 1
     told = {i: sent(sc, f) for i, f in fits.items()}
-    order = sorted(fits, key=lambda i: (fits[i].params.depth, i))
+    order = sorted(units, key=lambda unit: (fits[unit[0]].params.depth, unit[0]))
     slabs = matrix.slabs(groups)
     spread = slabs if shares == 1 else sc.union([slabs] * shares)
 
     def run(at: int, part: Iterator[Slab]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
         held = list(part)
-        for i in order[at // groups :: shares]:
-            yield from add_up(i, told[i], held)
+        for unit in order[at // groups :: shares]:
+            yield from add_up(told[unit[0]], unit, held)
+
+    return spread.mapPartitionsWithIndex(run)
+
+
+@dataclass(frozen=True)
+class Above:
+    """Sums that were sent for the levels of a tree so far, as they lie in the shuffle: (levels by fit, sums of each group)."""
+
+    sent: tuple[tuple[dict[int, Level], RDD], ...] = ()
 
-    made = spread.mapPartitionsWithIndex(run)
-    return made if groups == 1 else made.reduceByKey(np.add, min(2 * slots, groups * shares))
 
+def pieces(matrix: Matrix, levels: Mapping[int, Level], groups: int, slots: int) -> list[tuple[int, Level]]:
+    """The levels, each in parts of its columns if that gives idle tasks work; the first part has the losses."""
+    work = sum(matrix.counts.values()) * row_work(matrix)
+    n = 1 if groups > 1 else max(1, min(PIECES, slots // len(levels), work // TASK_WORK))
+    out = []
+    for i, level in levels.items():
+        size = math.ceil(len(level.columns) / n) or 1
+        cut = [level.columns[at : at + size] for at in range(0, len(level.columns), size)] or [()]
+        out += [(i, replace(level, columns=columns, vals=() if at else level.vals)) for at, columns in enumerate(cut)]
+    return out
 
-def step(matrix: Matrix, fits: Mapping[int, Fit], levels: Mapping[int, Level]) -> dict[int, dict[int, tuple[float, int, np.ndarray]]]:
-    """One job for all fits: by fit and column the best border, its gain and sums; totals and losses as they are added up."""
-    k, width = len(matrix.classes), matrix.bins
+
+def step(matrix: Matrix, fits: Mapping[int, Fit], levels: Mapping[int, Level], above: Above | None = None) -> tuple[dict[int, dict[int, tuple[float, int, np.ndarray]]], Above | None]:
+    """One job for all fits: by fit and column the best border, its gain and sums; totals and losses as they are added up.
+
+    If several groups of rows send sums, those of the levels above are read again from the shuffle, and only the smaller
+    half of each leaf is added up. ``above`` is what was sent so far, empty for a first level, and None to add all leaves.
+    """
+    sc = matrix.table.sparkSession.sparkContext
+    k, width, slots = len(matrix.classes), matrix.bins, max(1, sc.defaultParallelism)
     params = {i: f.params for i, f in fits.items()}
+    groups = row_groups(matrix, fits, slots)
+    known = above.sent if above and groups > 1 else ()
+    halved = bool(known) and all(level.smaller is not None and i in known[-1][0] for i, level in levels.items())
+    chain = [sums for sums, _ in known] if halved else []
+    direct = {i: replace(level, leaves=level.smaller) if halved else level for i, level in levels.items()}
 
-    def add_up(i: int, fit: Sent, slabs: list[Slab]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    def add_up(fit: Sent, unit: tuple[int, Level], slabs: list[Slab]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+        i, level = unit
         total: dict[int, np.ndarray] = {}
         for slab in slabs:
-            for c, s in slab_sums(fit, levels[i], slab, k, width).items():
-                total[c] = total[c] + s if c in total else s
+            for c, s in slab_sums(fit, level, slab, k, width).items():
+                if c in total:
+                    total[c] += s
+                else:
+                    total[c] = s
         for c in list(total):
             yield (i, c), total.pop(c)
 
-    def border(item: tuple[tuple[int, int], np.ndarray]) -> tuple[int, int, float, int, np.ndarray]:
-        (i, c), sums = item
+    def border(key: tuple[int, int], sums: np.ndarray) -> tuple[int, int, float, int, np.ndarray]:
+        i, c = key
         return (i, c, *((0.0, 0, sums) if c < 0 else best_border(sums, k, width, params[i])))
 
+    def meet(part: Iterator[tuple[tuple[int, int], tuple[int, np.ndarray]]]) -> Iterator[tuple[int, int, float, int, np.ndarray]]:
+        held: dict[tuple[int, int], dict[int, np.ndarray]] = {}
+        for key, (depth, s) in part:
+            if key[0] in direct and (key[1] >= 0 or depth == len(chain)):
+                one = held.setdefault(key, {})
+                if depth in one:
+                    one[depth] += s
+                else:
+                    one[depth] = s.astype(np.int64)
+        for key in list(held):
+            one = held.pop(key)
+            whole = one[0]
+            for depth in range(1, len(chain) + 1):
+                level = chain[depth][key[0]] if depth < len(chain) else levels[key[0]]
+                whole = other_halves(one[depth], whole, level, chain[depth - 1][key[0]], width)
+            yield border(key, whole)
+
+    made = tiles(matrix, fits, pieces(matrix, direct, groups, slots), groups, add_up)
+    if groups == 1:
+        found, below = made.map(lambda item: border(*item)).collect(), None
+    else:
+        at = len(chain)
+        dealt = made.mapValues(lambda s: (at, narrow(s))).partitionBy(slots)
+        met = dealt
+        for _, earlier in known if halved else ():
+            met = met.union(earlier)
+        found = met.partitionBy(slots).mapPartitions(meet).collect()
+        below = Above((*(known if halved else ()), (dict(levels), dealt))) if above else None
     out: dict[int, dict] = {i: {} for i in fits}
-    for i, c, *found in tiles(matrix, fits, add_up).map(border).collect():
-        out[i][c] = tuple(found)
-    return out
+    for i, c, *best in found:
+        out[i][c] = tuple(best)
+    return out, below
 
 
 def turns(matrix: Matrix, levels: Mapping[int, Level], slots: int) -> Iterator[dict[int, Level]]:
@@ -327,29 +443,42 @@ def grow_round(matrix: Matrix, fits: Mapping[int, Fit]) -> None:
     """One more tree for every fit, level by level; fits that their losses end get none.
 
     Leaves of too few rows to be split are left out of the sums by bin; their values come from a job at the end. Where that
-    would save little, since so few rows take fewer cells than there are bins, they stay in.
+    would save little, since so few rows take fewer cells than there are bins, they stay in. Fits that have grown the same
+    trees (folds that differ in their validation rows alone) get theirs from one of them, and each notes its own losses.
     """
     k, slots = len(matrix.classes), max(1, matrix.table.sparkSession.sparkContext.defaultParallelism)
     rows = {i: sum(n for (p, _), n in matrix.counts.items() if p in f.train) for i, f in fits.items()}
     least = {i: 2 * f.params.min_rows if 2 * f.params.min_rows > matrix.bins else 1 for i, f in fits.items()}
-    levels = {i: Level((), tuple(f.usable()), np.zeros(1, int)) for i, f in fits.items() if f.params.depth}
+    same: dict[tuple[str, int], list[Fit]] = {}
+    teams = {i: same.setdefault((f.uid, f.size), []) for i, f in fits.items()}
+    for i, f in fits.items():
+        teams[i].append(f)
+    teams = {i: team for i, team in teams.items() if team[0] is fits[i]}
+    levels = {i: Level((), tuple(team[0].usable()), np.zeros(1, int), tuple(f.val for f in team)) for i, team in teams.items() if team[0].params.depth}
     sums: dict[int, np.ndarray] = {}
     partial: set[int] = set()
     going = dict(levels)
+    above: Above | None = Above()
     while going:
         found: dict[int, dict] = {i: {} for i in going}
-        for turn in turns(matrix, going, slots):
-            for i, candidates in step(matrix, {i: fits[i] for i in turn}, turn).items():
+        at_once = list(turns(matrix, going, slots))
+        for turn in at_once:
+            candidates_of, above = step(matrix, {i: fits[i] for i in turn}, turn, above if len(at_once) == 1 else None)
+            for i, candidates in candidates_of.items():
                 found[i].update(candidates)
+        above = above or Above()
         for i, candidates in found.items():
-            fit, level = fits[i], going.pop(i)
+            team, level = teams[i], going.pop(i)
             if not level.splits:
-                losses = candidates[LOSSES][2][0]
-                fit.note_loss(*(float(losses[j]) / max(1.0, float(losses[j + 1])) for j in (0, 2)))
+                losses = [float(s) / max(1.0, float(w)) for s, w in candidates[LOSSES][2][0].reshape(-1, 2)]
+                for fit, val in zip(team, losses[1:], strict=True):
+                    fit.note_loss(losses[0], val)
+                team[:] = [fit for fit in team if not fit.done]
             borders = {c: x for c, x in candidates.items() if c >= 0}
             best = max(borders, key=lambda c: (round(borders[c][0], 9), -c), default=None)
-            if fit.done or best is None or round(borders[best][0], 9) <= 0:
-                fit.done = fit.done or not level.splits
+            if not team or best is None or round(borders[best][0], 9) <= 0:
+                for fit in team:
+                    fit.done = not level.splits
                 continue
             gain, last, (left, every) = borders[best]
             if every[-1].sum() < rows[i]:
@@ -357,27 +486,34 @@ def grow_round(matrix: Matrix, fits: Mapping[int, Fit]) -> None:
             halves = np.zeros((2 * k + 1, 2 << len(level.splits)), np.int64)
             halves[:, 2 * level.leaves], halves[:, 2 * level.leaves + 1] = left, every - left
             sums[i] = halves
-            fit.gains.append((best, gain))
-            levels[i] = Level((*level.splits, (best, last)), level.columns, np.flatnonzero(halves[-1] >= least[i]))
-            if len(levels[i].splits) < fit.params.depth and halves[-1].max() >= max(2, 2 * fit.params.min_rows):
+            for fit in team:
+                fit.gains.append((best, gain))
+            leaves = np.flatnonzero(halves[-1] >= least[i])
+            left = np.unique(leaves >> 1) << 1
+            levels[i] = Level((*level.splits, (best, last)), level.columns, leaves, smaller=left + (halves[-1, left] > halves[-1, left + 1]))
+            if len(levels[i].splits) < team[0].params.depth and halves[-1].max() >= max(2, 2 * team[0].params.min_rows):
                 going[i] = levels[i]
     if partial:
-        totals = step(matrix, {i: fits[i] for i in partial}, {i: replace(levels[i], columns=()) for i in partial})
+        totals, _ = step(matrix, {i: fits[i] for i in partial}, {i: replace(levels[i], columns=()) for i in partial})
         sums |= {i: found[TOTALS][2] for i, found in totals.items()}
     for i, s in sums.items():
         g, h = s[:k] / UNIT, s[k : 2 * k] / UNIT
-        fits[i].trees.append(Tree(levels[i].splits, (-fits[i].params.rate * g / (h + fits[i].params.l2)).T))
+        tree = Tree(levels[i].splits, (-fits[i].params.rate * g / (h + fits[i].params.l2)).T)
+        for fit in teams[i]:
+            fit.trees.append(tree)
 
 
 def start_fit(matrix: Matrix, params: Params, train: Sequence[str] = ("train",), val: Sequence[str] = ("val",), columns: Sequence[str] | None = None) -> Fit:
-    """A fit without trees: scores start at the logarithm of the weighted class shares of its training rows."""
+    """A fit without trees: scores start at the logarithm of the weighted class shares of its training rows. Its name tells
+    what decides its trees; which rows validate it decides only when it ends."""
     parts = [tuple(matrix.parts.index(x) for x in side if x in matrix.parts) for side in (train, val)]
     n = np.array([sum(matrix.counts.get((p, y), 0) for p in parts[0]) for y in range(len(matrix.classes))], float)
     power = {None: 0.0, "balanced": 1.0, "sqrt": 0.5}[params.weights]
     weights = np.where(n > 0, (n.max(initial=0) / np.maximum(n, 1)) ** power, 1.0)
     share = np.maximum(n * weights, 1e-3)
     kept = range(len(matrix.features)) if columns is None else [matrix.features.index(c) for c in columns]
-    return Fit(params, *parts, tuple(sorted(kept)), np.log(share / share.sum()), weights)
+    columns_used = tuple(sorted(kept))
+    return Fit(params, *parts, columns_used, np.log(share / share.sum()), weights, uid=f"{matrix.uid} {params} {sorted(parts[0])} {columns_used}")
 
 
 def grow(matrix: Matrix, fits: Mapping[int, Fit], rounds: int | None = None) -> None:
@@ -465,7 +601,9 @@ def aucs(matrix: Matrix, fits: Mapping[int, Fit]) -> dict[int, tuple[float, floa
     k = len(matrix.classes)
     judged = [1] if k == 2 else list(range(k))
 
-    def add_up(i: int, fit: Sent, slabs: list[Slab]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    groups = row_groups(matrix, fits, max(1, matrix.table.sparkSession.sparkContext.defaultParallelism))
+
+    def add_up(fit: Sent, unit: tuple[int, None], slabs: list[Slab]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
         total = np.zeros((k, 2, 2, LEVELS), np.int64)
         for slab in slabs:
             level = np.minimum((softmax(raw_scores(fit, slab.bins, (fit.uid, slab.key))) * LEVELS).astype(np.int64), LEVELS - 1)
@@ -475,13 +613,14 @@ def aucs(matrix: Matrix, fits: Mapping[int, Fit]) -> dict[int, tuple[float, floa
                     both = np.where(slab.y == c, LEVELS, 0) + level[c]
                     total[c, side] += np.bincount(both[inside], minlength=2 * LEVELS).reshape(2, LEVELS)
         for c in judged:
-            yield (i, c), total[c]
+            yield (unit[0], c), total[c]
 
     def area(item: tuple[tuple[int, int], np.ndarray]) -> tuple[int, int, list[float]]:
         (i, c), n = item
         return i, c, [level_auc(side[1], side[0]) for side in n]
 
-    found = tiles(matrix, fits, add_up).map(area).collect()
+    made = tiles(matrix, fits, [(i, None) for i in fits], groups, add_up)
+    found = (made if groups == 1 else made.reduceByKey(np.add)).map(area).collect()
     out = {}
     for i in fits:
         sides = [[x[side] for j, _, x in found if j == i and not math.isnan(x[side])] for side in (0, 1)]

@@ -205,3 +205,44 @@ def test_texts_are_counted_once(spark):
     from clientscope.queries.models import split_documents
 
     assert not [f for f in split_documents(spark, "/root/testdata/sf0.001").inputFiles() if "/root/testdata" in f]
+
+
+def test_fits_that_differ_in_validation_alone_share_their_trees(spark, monkeypatch):
+    matrix = build_matrix(frame(spark, 300), NAMES, "target", bins=16)
+    params = b.Params(depth=3, rate=0.5, rounds=40, patience=3)
+    sides = {0: ("val",), 1: ("test",), 2: ("val", "test")}
+    alone = {i: b.start_fit(matrix, params, ("train",), val) for i, val in sides.items()}
+    for i, fit in alone.items():
+        b.grow(matrix, {i: fit})
+    jobs, step = [], b.step
+    monkeypatch.setattr(b, "step", lambda m, fits, levels, *a: (jobs.append(len(fits)), step(m, fits, levels, *a))[1])
+    fits = {i: b.start_fit(matrix, params, ("train",), val) for i, val in sides.items()}
+    b.grow(matrix, fits)
+    assert set(jobs) == {1}
+    assert len({f.size for f in fits.values()}) > 1  # they end at their own rounds
+    for i, fit in fits.items():
+        assert fit.losses == alone[i].losses and fit.best == alone[i].best and fit.gains == alone[i].gains
+        assert [(t.levels, t.values.tolist()) for t in fit.trees] == [(t.levels, t.values.tolist()) for t in alone[i].trees]
+
+
+def test_only_smaller_halves_are_sent(spark, monkeypatch):
+    matrix = build_matrix(frame(spark, 400).repartition(5), NAMES, "target", bins=8)
+    monkeypatch.setattr(b, "GROUP_BYTES", 300)
+    asked, tiles = [], b.tiles
+    monkeypatch.setattr(b, "tiles", lambda m, fits, units, *a: (asked.extend(u[1] for u in units), tiles(m, fits, units, *a))[1])
+    b.grow(matrix, {0: b.start_fit(matrix, b.Params(depth=4, patience=99))}, 3)
+    deep = [x for x in asked if x.splits and x.columns]
+    assert deep and all(len(x.leaves) <= 1 << (len(x.splits) - 1) and len(set(x.leaves >> 1)) == len(x.leaves) for x in deep)
+
+
+@pytest.mark.parametrize(("n", "weight"), [(300, 1.0), (9000, 1.0), (300, 5000.0)])
+def test_sums_by_cell_are_exact_in_cells_of_any_size(n, weight):
+    rng = np.random.default_rng(n)
+    k, cells, y = 4, rng.integers(0, 3, n) ** 3, rng.integers(0, 4, n).astype(np.uint8)
+    weights = np.array([weight, 1.0, 0.3, 2.0])
+    q = b.softmax(rng.normal(0, 3, (k, n)))
+    g, h = (np.rint(x * weights[y] * b.UNIT).astype(np.int64) for x in (q - (np.arange(k)[:, None] == y), q * (1 - q)))
+    made = b.cell_sums(g, h, y, np.rint(weights * b.UNIT).astype(np.int64))(cells, 9)
+    want = [[int(x[cells == c].sum()) for c in range(9)] for x in (*g, *h, np.ones(n, np.int64))]
+    assert made.tolist() == want
+    assert b.narrow(made).astype(np.int64).tolist() == want

@@ -31,9 +31,9 @@ LEVELS, CACHE_BYTES = 4096, 128 << 20
 SUM_BYTES = 64 << 20
 #: Bytes of bins in a group of rows at most; additions that make a further group (its sums are sent) or a further task worth it,
 #: and rows per cell of the sums below which sending costs more than adding.
-GROUP_BYTES, GROUP_WORK, TASK_WORK, ROWS_PER_CELL = 64 << 20, 64_000_000, 16_000_000, 50
-#: Tasks that share the columns of a fit if the rows are one group: they run where its rows are kept.
-PIECES = 2
+GROUP_BYTES, GROUP_WORK, TASK_WORK, ROWS_PER_CELL = 64 << 20, 128_000_000, 16_000_000, 50
+#: Tasks that share the columns of few fits if the rows are one group: they run where its rows are kept.
+PIECES = 4
 #: Trees that are broadcast together; keys of the sums that belong to no column.
 LOT, LOSSES, TOTALS = 16, -1, -2
 #: Bits of a curvature's and of a gradient's sum in the number that both share.
@@ -344,12 +344,14 @@ class Above:
     sent: tuple[tuple[dict[int, Level], RDD], ...] = ()
 
 
-def pieces(matrix: Matrix, levels: Mapping[int, Level], groups: int, slots: int) -> list[tuple[int, Level]]:
-    """The levels, each in parts of its columns if that gives idle tasks work; the first part has the losses."""
-    work = sum(matrix.counts.values()) * row_work(matrix)
-    n = 1 if groups > 1 else max(1, min(PIECES, slots // len(levels), work // TASK_WORK))
+def pieces(matrix: Matrix, fits: Mapping[int, Fit], levels: Mapping[int, Level], groups: int, slots: int) -> list[tuple[int, Level]]:
+    """The levels, each in parts of its columns if that gives idle tasks work; fits of more rows have more parts, and the
+    first part has the losses."""
+    most = 1 if groups > 1 else max(1, sum(matrix.counts.values()) * row_work(matrix) // TASK_WORK)
+    rows = {i: sum(n for (p, _), n in matrix.counts.items() if p in fits[i].train) for i in levels}
     out = []
     for i, level in levels.items():
+        n = max(1, min(most, round(min(PIECES, slots) * rows[i] / max(1, sum(rows.values())))))
         size = math.ceil(len(level.columns) / n) or 1
         cut = [level.columns[at : at + size] for at in range(0, len(level.columns), size)] or [()]
         out += [(i, replace(level, columns=columns, vals=() if at else level.vals)) for at, columns in enumerate(cut)]
@@ -404,16 +406,17 @@ def step(matrix: Matrix, fits: Mapping[int, Fit], levels: Mapping[int, Level], a
                 whole = other_halves(one[depth], whole, level, chain[depth - 1][key[0]], width)
             yield border(key, whole)
 
-    made = tiles(matrix, fits, pieces(matrix, direct, groups, slots), groups, add_up)
+    made = tiles(matrix, fits, pieces(matrix, fits, direct, groups, slots), groups, add_up)
     if groups == 1:
         found, below = made.map(lambda item: border(*item)).collect(), None
     else:
         at = len(chain)
-        dealt = made.mapValues(lambda s: (at, narrow(s))).partitionBy(slots)
+        ends = min(slots, 2 * groups)
+        dealt = made.mapValues(lambda s: (at, narrow(s))).partitionBy(ends)
         met = dealt
         for _, earlier in known if halved else ():
             met = met.union(earlier)
-        found = met.partitionBy(slots).mapPartitions(meet).collect()
+        found = met.partitionBy(ends).mapPartitions(meet).collect()
         below = Above((*(known if halved else ()), (dict(levels), dealt))) if above else None
     out: dict[int, dict] = {i: {} for i in fits}
     for i, c, *best in found:

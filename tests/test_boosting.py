@@ -246,3 +246,18 @@ def test_sums_by_cell_are_exact_in_cells_of_any_size(n, weight):
     want = [[int(x[cells == c].sum()) for c in range(9)] for x in (*g, *h, np.ones(n, np.int64))]
     assert made.tolist() == want
     assert b.narrow(made).astype(np.int64).tolist() == want
+
+
+def test_columns_dealt_out_grow_the_same_trees(spark, monkeypatch):
+    matrix = build_matrix(frame(spark, 300), NAMES, "target", bins=16)
+    grown, asked, tiles = [], [], b.tiles
+    monkeypatch.setattr(b, "tiles", lambda m, fits, units, *a: (asked.append([u[1].columns for u in units]), tiles(m, fits, units, *a))[1])
+    for work in (b.TASK_WORK, 1):
+        monkeypatch.setattr(b, "TASK_WORK", work)
+        fits = {0: b.start_fit(matrix, b.Params(depth=3, patience=99)), 1: b.start_fit(matrix, b.Params(depth=3, patience=99), ("val",))}
+        asked.clear()
+        b.grow(matrix, fits, 3)
+        grown.append([([(t.levels, t.values.tolist()) for t in f.trees], f.losses, f.gains) for f in fits.values()])
+        assert (max(map(len, asked)) > 2) == (work == 1)
+        assert all(sorted(c for part in job for c in part) == [0, 0, 1, 1, 2, 2] for job in asked if len(job) > 1 and job[0])
+    assert grown[0] == grown[1]

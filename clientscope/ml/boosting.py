@@ -442,6 +442,16 @@ def turns(matrix: Matrix, levels: Mapping[int, Level], slots: int) -> Iterator[d
         yield group
 
 
+def next_level(level: Level, best: int, last: int, left: np.ndarray, every: np.ndarray, params: Params, width: int) -> tuple[np.ndarray, Level, bool]:
+    """After a split: the sums of the new leaves, what to add up next, and whether the tree goes on."""
+    halves = np.zeros((len(every), 2 << len(level.splits)), np.int64)
+    halves[:, 2 * level.leaves], halves[:, 2 * level.leaves + 1] = left, every - left
+    leaves = np.flatnonzero(halves[-1] >= (2 * params.min_rows if 2 * params.min_rows > width else 1))
+    left = np.unique(leaves >> 1) << 1
+    level = Level((*level.splits, (best, last)), level.columns, leaves, smaller=left + (halves[-1, left] > halves[-1, left + 1]))
+    return halves, level, len(level.splits) < params.depth and halves[-1].max() >= max(2, 2 * params.min_rows)
+
+
 def grow_round(matrix: Matrix, fits: Mapping[int, Fit]) -> None:
     """One more tree for every fit, level by level; fits that their losses end get none.
 
@@ -451,7 +461,6 @@ def grow_round(matrix: Matrix, fits: Mapping[int, Fit]) -> None:
     """
     k, slots = len(matrix.classes), max(1, matrix.table.sparkSession.sparkContext.defaultParallelism)
     rows = {i: sum(n for (p, _), n in matrix.counts.items() if p in f.train) for i, f in fits.items()}
-    least = {i: 2 * f.params.min_rows if 2 * f.params.min_rows > matrix.bins else 1 for i, f in fits.items()}
     same: dict[tuple[str, int], list[Fit]] = {}
     teams = {i: same.setdefault((f.uid, f.size), []) for i, f in fits.items()}
     for i, f in fits.items():
@@ -486,15 +495,10 @@ def grow_round(matrix: Matrix, fits: Mapping[int, Fit]) -> None:
             gain, last, (left, every) = borders[best]
             if every[-1].sum() < rows[i]:
                 partial.add(i)
-            halves = np.zeros((2 * k + 1, 2 << len(level.splits)), np.int64)
-            halves[:, 2 * level.leaves], halves[:, 2 * level.leaves + 1] = left, every - left
-            sums[i] = halves
+            sums[i], levels[i], further = next_level(level, best, last, left, every, team[0].params, matrix.bins)
             for fit in team:
                 fit.gains.append((best, gain))
-            leaves = np.flatnonzero(halves[-1] >= least[i])
-            left = np.unique(leaves >> 1) << 1
-            levels[i] = Level((*level.splits, (best, last)), level.columns, leaves, smaller=left + (halves[-1, left] > halves[-1, left + 1]))
-            if len(levels[i].splits) < team[0].params.depth and halves[-1].max() >= max(2, 2 * team[0].params.min_rows):
+            if further:
                 going[i] = levels[i]
     if partial:
         totals, _ = step(matrix, {i: fits[i] for i in partial}, {i: replace(levels[i], columns=()) for i in partial})
@@ -598,24 +602,40 @@ def level_auc(pos: np.ndarray, neg: np.ndarray) -> float:
     return 1 - float((pos * (above + neg / 2)).sum()) / pairs if pairs else math.nan
 
 
+def judged(k: int) -> list[int]:
+    """Classes whose AUC counts: the last of two, else each against the rest."""
+    return [1] if k == 2 else list(range(k))
+
+
+def level_counts(q: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(classes, other or own, level): rows by the level of their probability."""
+    out = np.zeros((len(q), 2, LEVELS), np.int64)
+    level = np.minimum((q * LEVELS).astype(np.int64), LEVELS - 1)
+    for c in judged(len(q)):
+        out[c] = np.bincount(np.where(y == c, LEVELS, 0) + level[c], minlength=2 * LEVELS).reshape(2, LEVELS)
+    return out
+
+
+def mean_area(counts: Sequence[np.ndarray]) -> float:
+    """Mean AUC of the classes that have rows on both sides."""
+    areas = [x for x in (level_auc(own, other) for other, own in counts) if not math.isnan(x)]
+    return math.fsum(sorted(areas)) / len(areas) if areas else math.nan
+
+
 def aucs(matrix: Matrix, fits: Mapping[int, Fit]) -> dict[int, tuple[float, float]]:
     """(train, validation) AUC of each fit in one job: of the last class if there are two, else the mean of one class against
     the rest over the classes that have rows on both sides. Probabilities count in 4096 levels."""
     k = len(matrix.classes)
-    judged = [1] if k == 2 else list(range(k))
-
     groups = row_groups(matrix, fits, max(1, matrix.table.sparkSession.sparkContext.defaultParallelism))
 
     def add_up(fit: Sent, unit: tuple[int, None], slabs: list[Slab]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
         total = np.zeros((k, 2, 2, LEVELS), np.int64)
         for slab in slabs:
-            level = np.minimum((softmax(raw_scores(fit, slab.bins, (fit.uid, slab.key))) * LEVELS).astype(np.int64), LEVELS - 1)
+            q = softmax(raw_scores(fit, slab.bins, (fit.uid, slab.key)))
             for side, parts in enumerate((fit.train, fit.val)):
                 inside = among(slab.p, parts)
-                for c in judged:
-                    both = np.where(slab.y == c, LEVELS, 0) + level[c]
-                    total[c, side] += np.bincount(both[inside], minlength=2 * LEVELS).reshape(2, LEVELS)
-        for c in judged:
+                total[:, side] += level_counts(q[:, inside], slab.y[inside])
+        for c in judged(k):
             yield (unit[0], c), total[c]
 
     def area(item: tuple[tuple[int, int], np.ndarray]) -> tuple[int, int, list[float]]:

@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clientscope.ml.apart import reach
 from clientscope.ml.binned import Matrix, build_matrix
 from clientscope.ml.boosting import Fit, Params, aucs, finished, grow, start_fit
 from clientscope.ml.split import month_folds
@@ -77,15 +78,14 @@ def halving(
     """Successive halving: all trials grow to the first rung's rounds, the best share of them to the next, and so on.
 
     A trial's objective is its validation AUC, or 0 once its training AUC is more than ``gap`` above; such a trial ends
-    there, since more rounds only widen the gap. All trials of a rung grow in the same jobs over the same matrix.
+    there, since more rounds only widen the gap. All trials of a rung grow in the same job over the same matrix.
     Equal objectives go by trial number. Every trial is reported with what it reached.
     """
     fits = {i: start_fit(matrix, replace(base, **drawn(i, space), rounds=max(rungs), patience=max(rungs)), train, val) for i in range(trials)}
     out: dict[int, Trial] = {}
     going = dict(fits)
     for rung, rounds in enumerate(rungs):
-        grow(matrix, going, rounds - (rungs[rung - 1] if rung else 0))
-        for i, (a, b) in aucs(matrix, going).items():
+        for i, (a, b) in reach(matrix, going, rounds - (rungs[rung - 1] if rung else 0)).items():
             fair = not math.isnan(b) and (math.isnan(a) or a - b <= gap)
             out[i] = Trial(i, drawn(i, space), len(fits[i].trees), a, b, b if fair else 0.0, rung)
         fair = sorted((i for i in going if out[i].objective > 0), key=lambda i: (-out[i].objective, i))

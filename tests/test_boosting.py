@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clientscope.ml import apart
 from clientscope.ml import boosting as b
 from clientscope.ml import search as s
 from clientscope.ml.binned import bin_numbers, borders, build_matrix
@@ -261,3 +262,55 @@ def test_columns_dealt_out_grow_the_same_trees(spark, monkeypatch):
         assert (max(map(len, asked)) > 2) == (work == 1)
         assert all(sorted(c for part in job for c in part) == [0, 0, 1, 1, 2, 2] for job in asked if len(job) > 1 and job[0])
     assert grown[0] == grown[1]
+
+
+def test_a_rung_of_the_search_is_one_job(spark):
+    matrix = build_matrix(frame(spark, 400), NAMES, "target", bins=16)
+    space = s.SPACE | {"depth": (2, 4), "min_rows": (1, 20), "columns": (0.4, 1.0)}
+    spark.sparkContext.setJobGroup("rungs", "")
+    made = s.halving(matrix, trials=8, rungs=(2, 4, 6), gap=1.0, space=space)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rungs")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 3 and max(t.rounds for t in made) == 6
+
+
+@pytest.mark.parametrize("held", [apart.HELD_BYTES, 0])
+def test_fits_grown_apart_are_those_of_the_jobs_by_level(spark, monkeypatch, held):
+    matrix = build_matrix(frame(spark, 400).repartition(5), NAMES, "target", bins=16)
+    params = [b.Params(depth=d, rate=0.5, min_rows=m, weights=w, columns=c, rounds=7, patience=3, seed=d) for d, m, w, c in ((1, 1, None, 1.0), (4, 12, "sqrt", 0.7), (6, 30, "balanced", 1.0))]
+    grown = []
+    for way in ("levels", "apart"):
+        monkeypatch.setattr(apart, "HELD_BYTES", held)
+        fits = {i: b.start_fit(matrix, p) for i, p in enumerate(params)}
+        found = []
+        for rounds in (2, 30, 1):
+            if way == "levels":
+                b.grow(matrix, fits, rounds)
+                found.append(b.aucs(matrix, fits))
+            else:
+                found.append(apart.reach(matrix, fits, rounds))
+        grown.append((found, [(f.losses, f.gains, f.best, f.done, f.size) for f in fits.values()], [(t.levels, t.values.tolist()) for f in fits.values() for t in f.trees]))
+    assert grown[0] == grown[1] and any(f[3] for f in grown[0][1])
+
+
+LIMITS = [{}, {"PAIR_ROWS": 0}, {"PAIR_ROWS": 0, "BLOCK_ROWS": 16}, {"PIECE_ROWS": 1, "BLOCK_ROWS": 40, "SLAB_ROWS": 7}, {"GROUP_BYTES": 1, "KEPT_BYTES": 0}, {"LOW": 19, "HIGH": 20, "PAIR_ROWS": 0}, {"MOST_WEIGHT": 0}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+@pytest.mark.parametrize(("classes", "weight"), [(2, 1.0), (3, 1.0), (3, 700.0)])
+def test_blocks_pairs_and_pieces_grow_the_same_trees(spark, monkeypatch, limits, classes, weight):
+    matrix = build_matrix(frame(spark, 400, classes), NAMES, "target", bins=8)
+    for name, value in limits.items():
+        monkeypatch.setattr(apart, name, value)
+    grown = []
+    for way in ("levels", "apart"):
+        fit = b.start_fit(matrix, b.Params(depth=4, min_rows=6, patience=99))
+        fit.weights[:] = weight
+        if way == "levels":
+            b.grow(matrix, {0: fit}, 3)
+            ((_, found),) = b.aucs(matrix, {0: fit}).items()
+        else:
+            blocks = matrix.table.select("y", "p", "bins").collect()
+            found = apart.grow_here(fit, 3, *[apart.rows_of(blocks, parts, 3) for parts in (fit.train, fit.val)], matrix.bins)
+        grown.append((found, fit.losses, fit.gains, [(t.levels, t.values.tolist()) for t in fit.trees]))
+    assert grown[0] == grown[1] and len(grown[0][3]) == 3
